@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import repeats, simhash
+from tarn.llm import histogramsort, repeats, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,26 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = histogramsort.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_repeats, op9_simhash)}
+    return {f.__name__: f for f in (op5_suffix_repeats, op8_histogram_sort, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
