@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import histogramsort, repeats, simhash
+from tarn.llm import histogramsort, raking, repeats, revisits, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "; "))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = raking.mix(table(spark, sf_dir, "documents"))
+    return drawn.select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("tokens"),
+        F.round("_ratio", 6).alias("ratio"),
+        F.round("_probability", 6).alias("probability"),
+        F.col("_kept").alias("kept"),
+    )
+
+
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return found.select(
@@ -44,8 +64,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_repeats, op8_histogram_sort, op9_simhash)}
+    return {f.__name__: f for f in (op1_revisits, op4_mixing, op5_suffix_repeats, op8_histogram_sort, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_revisits": revisits.REVISITS_SQL, "op4_mixing": raking.mix_sql()}
