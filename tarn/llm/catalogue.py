@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import histogramsort, raking, repeats, revisits, simhash
+from tarn.llm import histogramsort, normbuckets, permutations, raking, repeats, revisits, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, "; "))
 
 
+def op2_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normbuckets.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = raking.mix(table(spark, sf_dir, "documents"))
     return drawn.select(
@@ -45,6 +49,10 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutations.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20)
+
+
 def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = histogramsort.shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return placed.select(
@@ -64,7 +72,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_revisits, op4_mixing, op5_suffix_repeats, op8_histogram_sort, op9_simhash)}
+    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op4_mixing, op5_suffix_repeats, op7_permutations, op8_histogram_sort, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
