@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import histogramsort, normbuckets, permutations, raking, repeats, revisits, simhash
+from tarn.llm import histogramsort, language, normbuckets, permutations, quality, raking, repeats, revisits, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutations.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20)
 
@@ -71,8 +75,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "nats")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op4_mixing, op5_suffix_repeats, op7_permutations, op8_histogram_sort, op9_simhash)}
+    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op4_mixing, op5_suffix_repeats, op6_quality, op7_permutations, op8_histogram_sort, op9_simhash, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
