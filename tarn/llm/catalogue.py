@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import histogramsort, language, normbuckets, permutations, quality, raking, repeats, revisits, simhash
+from tarn.llm import histogramsort, language, normbuckets, packing, permutations, quality, raking, repeats, revisits, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = packing.TOKENIZER) -> str:
+    """Where the public tokenizer's file is; its folder is a parameter of the environment, not of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
@@ -24,6 +31,10 @@ def op2_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normbuckets.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = raking.mix(table(spark, sf_dir, "documents"))
     return drawn.select(
@@ -81,7 +92,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op4_mixing, op5_suffix_repeats, op6_quality, op7_permutations, op8_histogram_sort, op9_simhash, op10_language)}
+    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op3_packing, op4_mixing, op5_suffix_repeats, op6_quality, op7_permutations, op8_histogram_sort, op9_simhash, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -349,3 +349,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if plain:
         return out.withColumnRenamed("key", "doc_id").withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
     return out.join(names, "key").select("doc_id", "n_bytes", "n_removed", "spans", "kept")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeats cut out of ``text`` and n_chars counted anew; texts cut to nothing go.
+
+    Bytes of characters that a cut splits are dropped. A text that was empty
+    before stays. doc_id must be unique, as after near-duplicate removal; rows
+    that repeat one, or have none, are kept as they are.
+    """
+    left = remove_repeats(docs.select("doc_id", "text"), length)
+    cut = left.filter(F.col("n_removed") > 0).select("doc_id", F.try_validate_utf8("kept").alias("_whole"), F.make_valid_utf8("kept").alias("_kept"))
+    cut = cut.select("doc_id", F.coalesce("_whole", F.replace("_kept", F.lit("\ufffd"), F.lit(""))).alias("_kept"))
+    single = cut.groupBy("doc_id").agg(F.count("*").alias("_n"), F.first("_kept").alias("_kept")).filter("_n = 1").select("doc_id", "_kept")
+    joined = docs.join(single, "doc_id", "left")
+    kept = joined.filter(F.col("_kept").isNull() | (F.trim("_kept") != ""))
+    out = kept.withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

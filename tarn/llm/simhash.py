@@ -253,3 +253,17 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     groups = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(groups, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns.
+
+    Rows without a doc_id are kept. Where rows repeat a doc_id and its text, one of them is kept.
+    """
+    found = near_duplicates(docs, words)
+    first = write_table(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "simhash-first")
+    rows = first.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    kept = docs.join(first.distinct(), "doc_id", "left_semi")
+    if rows.rows != rows.ids:
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
