@@ -1 +1 @@
-
+"""Column expressions that operators share."""

@@ -1 +1 @@
-
+"""DataFrame operators: profiling, preparation, reduction and fidelity."""

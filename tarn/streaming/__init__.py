@@ -1 +1 @@
-
+"""Nothing streams here: reduction and scoring are batch work over whole tables."""
