@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType
 
 from tarn.operators.drawing import check_size, placed, subsample
 from tarn.operators.ordered import quantiles
@@ -81,11 +82,21 @@ def fit_centres(df: DataFrame, k: int, key: Sequence[str], seed: int) -> np.ndar
     return np.array(KMeans(k=max(2, k), seed=seed, maxIter=20).fit(drawn).clusterCenters()) if k > 1 else np.array([np.mean([r.features.toArray() for r in drawn.collect()], axis=0)])
 
 
+def points_of(column: pa.Array) -> np.ndarray:
+    """A features column as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def assign(df: DataFrame, centres: np.ndarray) -> DataFrame:
-    """``df`` with _cluster and _distance: the nearest of at most MOST_BASE centres, as plain expressions."""
-    per = [sum(((F.col("features")[i] - F.lit(float(x))) * (F.col("features")[i] - F.lit(float(x))) for i, x in enumerate(c)), F.lit(0.0)) for c in centres]
-    best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(per)]))
-    return df.withColumn("_best", best).withColumns({"_cluster": F.col("_best")["i"], "_distance": F.sqrt(F.col("_best")["d"])}).drop("_best")
+    """``df`` with _cluster and _distance: the nearest of at most MOST_BASE centres."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, near = nearest_centre(points_of(batch.column("features")), centres)
+                yield batch.append_column("_cluster", pa.array(own, pa.int32())).append_column("_distance", pa.array(near))
+
+    return df.mapInArrow(task, StructType([*df.schema.fields, StructField("_cluster", IntegerType()), StructField("_distance", DoubleType())]))
 
 
 def outlier_clusters(rows: int) -> int:
@@ -97,10 +108,12 @@ def without_outliers(df: DataFrame, key: Sequence[str], seed: int = 0, share: fl
     rows = df.count()
     if rows < OUTLIER_LEAST_ROWS or share <= 0:
         return df, 0
-    far = assign(df, fit_centres(df, outlier_clusters(rows), key, seed))
+    far = assign(df, fit_centres(df, outlier_clusters(rows), key, seed)).persist()
     edge = quantiles(far, "_distance", [1 - share])[1 - share]
-    kept = far.filter(F.col("_distance") <= F.lit(edge)).drop("_cluster", "_distance")
-    return kept, rows - kept.count()
+    kept = far.filter(F.col("_distance") <= F.lit(edge)).drop("_cluster", "_distance").persist()
+    gone = rows - kept.count()
+    far.unpersist()
+    return kept, gone
 
 
 def floored_allocation(sizes: DataFrame, n: int, order: Sequence[str], floor: int = MIN_PER_CLUSTER) -> DataFrame:
@@ -119,16 +132,16 @@ def _sub_centres(seed: int):
     return fit
 
 
-def _sub_assign(centres: dict[int, np.ndarray], schema_names: list[str]):
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rep = np.zeros(len(frame), np.int64)
-            cluster = frame["_cluster"].to_numpy()
-            for c in np.unique(cluster):
-                at = np.flatnonzero(cluster == c)
-                points = np.array([frame["features"].iat[i] for i in at])
-                rep[at] = (int(c) << 32) + nearest_centre(points, centres[int(c)])[0]
-            yield frame.assign(rep_id=rep)[schema_names]
+def _sub_assign(centres: dict[int, np.ndarray]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                points, cluster = points_of(batch.column("features")), batch.column("_cluster").to_numpy(zero_copy_only=False)
+                rep = np.zeros(len(cluster), np.int64)
+                for c in np.unique(cluster):
+                    at = np.flatnonzero(cluster == c)
+                    rep[at] = (int(c) << 32) + nearest_centre(points[at], centres[int(c)])[0]
+                yield batch.append_column("rep_id", pa.array(rep))
 
     return task
 
@@ -136,7 +149,7 @@ def _sub_assign(centres: dict[int, np.ndarray], schema_names: list[str]):
 def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int) -> tuple[DataFrame, int]:
     """``df`` with rep_id: base clusters split into about n groups by size; and how many clusters were lifted."""
     k = int(min(MOST_BASE, max(LEAST_BASE, round(n / max(floor, 1)))))
-    based = assign(df, fit_centres(df, min(k, max(1, df.count())), key, seed)).drop("_distance")
+    based = assign(df, fit_centres(df, min(k, max(1, df.count())), key, seed)).drop("_distance").persist()
     sizes = based.groupBy("_cluster").agg(F.count("*").alias("size"))
     alloc = floored_allocation(sizes, n, ["_cluster"], floor).select(F.col("_cluster").alias("_of"), "alloc", "lifted").persist()
     lifted = alloc.agg(F.count_if("lifted")).first()[0]
@@ -145,9 +158,8 @@ def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int)
     fitted = sample.groupBy("_cluster").applyInPandas(_sub_centres(seed), "_cluster int, centres array<double>").collect()  # about n centres
     width = len(df.select("features").first().features)
     centres = {r["_cluster"]: np.array(r.centres).reshape(-1, width) for r in fitted}
-    names = [*df.columns, "rep_id"]
-    schema = based.select(*df.columns).schema.add("rep_id", "long")
-    return based.mapInPandas(_sub_assign(centres, names), schema), lifted
+    schema = StructType([*based.schema.fields, StructField("rep_id", LongType())])
+    return based.mapInArrow(_sub_assign(centres), schema).drop("_cluster"), lifted
 
 
 def group_means(grouped: DataFrame, width: int) -> DataFrame:

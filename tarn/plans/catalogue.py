@@ -70,7 +70,7 @@ RATED = "round(100 * (1 - least(1, 0.6 * js + 0.4 * gap)), 1) AS score, round(js
 
 def ks_sql(o: str, r: str) -> str:
     """KS over two selects of a column v."""
-    return f"""both_sides AS (SELECT v, 1 AS o, 0 AS r FROM ({o}) UNION ALL SELECT v, 0, 1 FROM ({r})),
+    return f"""both_sides AS (SELECT v, 1 AS o, 0 AS r FROM ({o}) AS x(v) UNION ALL SELECT v, 0, 1 FROM ({r}) AS y(v)),
 steps AS (SELECT v, sum(o) AS o, sum(r) AS r FROM both_sides GROUP BY v),
 ecdf AS (SELECT sum(o) OVER (ORDER BY v) / (SELECT sum(o) FROM steps) AS fo, sum(r) OVER (ORDER BY v) / (SELECT sum(r) FROM steps) AS fr FROM steps),
 ks AS (SELECT max(abs(fo - fr))::DOUBLE AS ks FROM ecdf)"""
@@ -164,11 +164,11 @@ def allocation_sql(table: str, stratum: str, n: int) -> str:
     return f"""sizes AS (SELECT {stratum} AS stratum, count(*) AS size FROM {table} GROUP BY 1),
 raws AS (SELECT *, size * {n}::DOUBLE / sum(size) OVER () AS raw FROM sizes),
 base AS (SELECT *, least(size, greatest(1, floor(raw)::BIGINT)) AS a FROM raws),
-spare AS (SELECT *, {n} - sum(a) OVER () AS spare, row_number() OVER (ORDER BY stratum) AS at FROM base),
-gain AS (SELECT *, CASE WHEN size > a AND row_number() OVER (ORDER BY CASE WHEN size > a THEN 0 ELSE 1 END, raw - a DESC, at) <= spare THEN 1 ELSE 0 END AS g FROM spare),
-steps AS (SELECT at, spare, row_number() OVER (ORDER BY a - raw - j DESC, at) AS turn FROM (SELECT at, spare, a, raw, unnest(range(0, a - 1)) AS j FROM spare WHERE spare < 0)),
-loss AS (SELECT at, count(*) AS l FROM steps WHERE turn <= -spare GROUP BY at),
-alloc AS (SELECT stratum, size, raw, (a + g - coalesce(l, 0))::BIGINT AS alloc FROM gain LEFT JOIN loss USING (at))"""
+spare AS (SELECT *, {n} - sum(a) OVER () AS spare, row_number() OVER (ORDER BY stratum) AS pos FROM base),
+gain AS (SELECT *, CASE WHEN size > a AND row_number() OVER (ORDER BY CASE WHEN size > a THEN 0 ELSE 1 END, raw - a DESC, pos) <= spare THEN 1 ELSE 0 END AS g FROM spare),
+steps AS (SELECT pos, spare, row_number() OVER (ORDER BY a - raw - j DESC, pos) AS turn FROM (SELECT pos, spare, a, raw, unnest(range(0, a - 1)) AS j FROM spare WHERE spare < 0)),
+loss AS (SELECT pos, count(*) AS l FROM steps WHERE turn <= -spare GROUP BY pos),
+alloc AS (SELECT stratum, size, raw, (a + g - coalesce(l, 0))::BIGINT AS alloc FROM gain LEFT JOIN loss USING (pos))"""
 
 
 @query(f"WITH {allocation_sql('documents', 'source', 137)} SELECT stratum, size, round(raw, 9) AS raw, alloc FROM alloc")
@@ -363,7 +363,7 @@ def grouped_similarity(spark, sf_dir):
 
 def table_sql(c: str, top: int) -> str:
     return f"""SELECT '{c}' AS "column", CASE WHEN place > {top} THEN '(rest: ' || count(*) || ' values)' ELSE min(value) END AS value, sum(orig_rows)::BIGINT AS orig_rows, round(sum(p), 9) AS orig_ratio,
-sum(reduced_rows)::BIGINT AS reduced_rows, round(sum(q), 9) AS reduced_ratio, round((sum(q) - sum(p)) * 100, 6) AS gap_pp FROM (
+sum(reduced_rows)::BIGINT AS reduced_rows, round(sum(q), 9) AS reduced_ratio, round((sum(q) - sum(p)) * 100, 6) + 0.0::DOUBLE AS gap_pp FROM (
 SELECT o.value, o.n AS orig_rows, coalesce(r.n, 0) AS reduced_rows, o.n / sum(o.n) OVER ()::DOUBLE AS p, coalesce(r.w / (SELECT sum(w) FROM kept), 0) AS q,
 least({top + 1}, row_number() OVER (ORDER BY o.n DESC, o.value)) AS place FROM (SELECT {c}::VARCHAR AS value, count(*) AS n FROM keyed GROUP BY 1) o
 LEFT JOIN (SELECT {c}::VARCHAR AS value, count(*) AS n, sum(w) AS w FROM kept GROUP BY 1) r USING (value)) GROUP BY place"""
@@ -372,7 +372,7 @@ LEFT JOIN (SELECT {c}::VARCHAR AS value, count(*) AS n, sum(w) AS w FROM kept GR
 @query(f"{UNIT_PARTS} " + " UNION ALL ".join(table_sql(c, 4) for c in COLUMNS))
 def distribution_table(spark, sf_dir):
     out = catfidelity.distribution_table(*units_of(spark, sf_dir), COLUMNS, top=4)
-    return out.withColumns({"orig_ratio": F.round("orig_ratio", 9), "reduced_ratio": F.round("reduced_ratio", 9), "gap_pp": F.round("gap_pp", 6)})
+    return out.withColumns({"orig_ratio": F.round("orig_ratio", 9), "reduced_ratio": F.round("reduced_ratio", 9), "gap_pp": F.round("gap_pp", 6) + F.lit(0.0)})
 
 
 # --- profile and features --------------------------------------------------
@@ -601,7 +601,7 @@ def unit_size_hist(spark, sf_dir):
 @query(f"{UNIT_PARTS} SELECT *, max(abs(gap_pp)) OVER (PARTITION BY \"column\") AS max_gap_pp FROM (" + " UNION ALL ".join(table_sql(c, 12) for c in COLUMNS) + ")")
 def distribution_panels(spark, sf_dir):
     out = charts.distribution_panels(*units_of(spark, sf_dir), COLUMNS)
-    return out.withColumns({"orig_ratio": F.round("orig_ratio", 9), "reduced_ratio": F.round("reduced_ratio", 9), "gap_pp": F.round("gap_pp", 6), "max_gap_pp": F.round("max_gap_pp", 6)})
+    return out.withColumns({"orig_ratio": F.round("orig_ratio", 9), "reduced_ratio": F.round("reduced_ratio", 9), "gap_pp": F.round("gap_pp", 6) + F.lit(0.0), "max_gap_pp": F.round("max_gap_pp", 6)})
 
 
 @query()
