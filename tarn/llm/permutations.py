@@ -102,10 +102,10 @@ def nearest(
     table = V.usable(vectors, id_column, vector_column).filter(V.length(F.col("v")) > 0)
     slots = V.slots_for(table.count(), rows)
     chosen = choose_pivots(table, pivots)
-    blocks = V.packed(table.repartition(slots, "id"), rows)
+    blocks = V.packed(table.repartition(slots), rows)
     index = write_table(blocks.mapInArrow(_post_task(chosen), V.BLOCK_SCHEMA + ", posted binary"), "permutations")
     asked = table.filter(F.col("id") % every == 0)
     spread = V.slots_for(asked.count(), V.QUERY_ROWS)
-    queries = V.packed(asked.repartition(spread, "id"), V.QUERY_ROWS)
+    queries = V.packed(asked.repartition(spread), V.QUERY_ROWS)
     found = V.pairs(index, queries, slots).mapInArrow(V.search_task(_search(chosen, files, share, k), pa.float64()), "query_id long, vec_id long, score double")
     return V.best(found, k)
