@@ -63,10 +63,10 @@ class Leader:
 
 def _train_task(orders: int, bits: int, passes: int):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat(list(frames), ignore_index=True)
+        parts = list(frames)
         model = Leader(1 << bits)
-        if len(sample):
-            sample = sample.sort_values("dealt", kind="stable", ignore_index=True)
+        if parts:
+            sample = pd.concat(parts, ignore_index=True).sort_values("dealt", kind="stable", ignore_index=True)
             bucket = [np.append(np.frombuffer(x, np.int32), np.int32(1 << bits)) for x in sample["buckets"]]
             value = [np.append(np.frombuffer(x, np.float32), np.float32(1)) for x in sample["values"]]
             label = sample["label"].to_numpy(np.float64)
