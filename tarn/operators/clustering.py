@@ -104,11 +104,17 @@ def outlier_clusters(rows: int) -> int:
 
 
 def without_outliers(df: DataFrame, key: Sequence[str], seed: int = 0, share: float = OUTLIER_SHARE) -> tuple[DataFrame, int]:
-    """Rows no farther from their centre than the (1 - share) quantile, and how many went."""
+    """Rows no farther from their centre than the (1 - share) quantile, and how many went.
+
+    A centre that holds no more than that share of the rows is an outlier's own and does not count.
+    """
     rows = df.count()
     if rows < OUTLIER_LEAST_ROWS or share <= 0:
         return df, 0
-    far = assign(df, fit_centres(df, outlier_clusters(rows), key, seed)).persist()
+    centres = fit_centres(df, outlier_clusters(rows), key, seed)
+    sizes = {r["_cluster"]: r["count"] for r in assign(df, centres).groupBy("_cluster").count().collect()}  # at most MOST_BASE rows
+    held = [i for i in range(len(centres)) if sizes.get(i, 0) > max(1, share * rows)]
+    far = assign(df, centres[held] if held else centres).persist()
     edge = quantiles(far, "_distance", [1 - share])[1 - share]
     kept = far.filter(F.col("_distance") <= F.lit(edge)).drop("_cluster", "_distance").persist()
     gone = rows - kept.count()

@@ -557,6 +557,14 @@ def choose_method(spark, sf_dir):
     return attempt_frame(spark, search.choose_method(problem_of(spark, sf_dir), 300)[1])
 
 
+@query()
+def reduce_lineitem(spark, sf_dir):
+    """The whole reduction of lineitem: size search, then the comparison of methods at that size."""
+    p = problem_of(spark, sf_dir, "lineitem", tuple(LINE_KEY), ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+    first, _ = search.search_size(p)
+    return attempt_frame(spark, search.choose_method(p, first.size)[1])
+
+
 @query()
 def ratio_search(spark, sf_dir):
     made = search.search_ratio(read(spark, sf_dir, "lineitem"), UNIT, STRATA, ORDER, COLUMNS)
