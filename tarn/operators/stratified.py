@@ -15,7 +15,7 @@ LEVELS = (2, 50)  # fixed values: fewest and most levels of a stratification col
 
 
 def entropies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, levels, entropy in nats) for categorical columns, nulls left out of nothing."""
+    """(at, column, levels, entropy in nats) for categorical columns; a null is a level."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), level(c).alias("value")) for i, c in enumerate(columns)])).alias("s")).select("s.*")
     counts = stacked.groupBy("at", "column", "value").agg(F.count("*").alias("n"))
     totals = counts.groupBy("at", "column").agg(F.sum("n").alias("all"), F.count("*").alias("levels"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
