@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.buffers import chunks, runs, utf8, words_at
+from tarn.llm.buffers import chunks, runs, tidy, utf8, words_at
 from tarn.llm.components import components
 from tarn.llm.scratch import write_table
 
@@ -154,7 +154,8 @@ def _with_fingerprint(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints(batch.column(1), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            rest = batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *rest])
 
     return task
 
@@ -162,7 +163,7 @@ def _with_fingerprint(words: int):
 def simhash(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row of ``docs``; fp is the fingerprint as a signed long."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_with_fingerprint(words), f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_with_fingerprint(words)), f"doc_id {kind}, fp long")
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     posting = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
     lists = distinct.select(F.explode(posting).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    links = write_table(lists.mapInArrow(_link_task, "a long, b long").distinct(), "simhash-links")
+    links = write_table(lists.mapInArrow(tidy(_link_task), "a long, b long").distinct(), "simhash-links")
     roots = components(links)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     groups = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -255,15 +256,129 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns.
+INDEX_WORDS = 2  # shorter shingles move fewer bits per edit, so near copies share more bytes
+INDEX_SHARED_BYTES = 2
+CANDIDATE_BITS = 12
+ALL_PAIRS = 16
+
+
+def _groups_task(links):
+    """Run ``links`` over whole lists of rows sorted by their first column; a list may span batches."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[last:] for x in rows]
+            if last:
+                yield links(*[x[:last] for x in rows])
+        if held is not None:
+            yield links(*held)
+
+    return task
+
+
+def candidate_pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Pairs in posting lists that share enough positional bytes and lie within CANDIDATE_BITS.
+
+    A short list gives all of them. In a long one, as of very many near copies,
+    every member is paired with the first one near it; lists are in an order of
+    their own each, so members meet other partners in other lists.
+    """
+    fps = fps.view(np.uint64)
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    size = np.diff(cut)
+    short = np.repeat(size <= ALL_PAIRS, size)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a ^ b
+        close = np.bitwise_count(x) <= CANDIDATE_BITS
+        shared = sum(((x >> U(8 * byte)) & U(255) == 0).astype(np.uint8) for byte in range(8))
+        return close & (shared >= INDEX_SHARED_BYTES)
+
+    left, right = [], []
+    for d in range(1, int(size[size <= ALL_PAIRS].max(initial=1))):
+        i = np.flatnonzero((keys[d:] == keys[:-d]) & short[d:])
+        i = i[near(fps[i], fps[i + d])]
+        left.append(i)
+        right.append(i + d)
+    for g in np.flatnonzero(size > ALL_PAIRS):
+        for i in range(cut[g], cut[g + 1], 512):
+            rows = np.arange(i, min(i + 512, cut[g + 1]))
+            for j in range(cut[g], rows[-1] + 1, BLOCK):
+                others = np.arange(j, min(j + BLOCK, rows[-1] + 1))
+                hit = near(fps[rows][:, None], fps[others][None, :]) & (others[None, :] < rows[:, None])
+                found = hit.any(axis=1)
+                left.append(others[hit.argmax(axis=1)[found]])
+                right.append(rows[found])
+                rows = rows[~found]
+                if not len(rows):
+                    break
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    a, b = ids[a], ids[b]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def _sets_task(words: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            sets: list[np.ndarray] = []
+            for a, b in chunks(offsets):
+                flat, start, size, per_row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                cut = np.cumsum(per_row)
+                sets += [np.unique(h) for h in np.split(xxh64(flat, start, size).view(np.int64), cut[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+
+    return task
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` with a doc_id: groups of texts alike in ``words``-word shingles.
+
+    Equal texts meet first, as one row. The fingerprints of their INDEX_WORDS-word
+    shingles are posted under every two of their eight positional bytes; pairs that
+    share a posting, INDEX_SHARED_BYTES bytes at least, and lie within
+    CANDIDATE_BITS are compared by the Jaccard similarity of their sets of
+    shingles (64-bit hashes). Texts without words are alike only if equal.
+    """
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = write_table(hashed.mapInArrow(tidy(_with_fingerprint(INDEX_WORDS)), "doc_id long, fp long, text_hash long"), "similar-marks")
+    texts = write_table(marked.groupBy("text_hash", "fp").agg(F.min("doc_id").alias("rep")), "similar-texts")
+    signed = [m - 2**64 if m >= 2**63 else m for m in ((0xFF << 8 * i) | (0xFF << 8 * j) for i, j in combinations(range(8), 2))]
+    posting = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    lists = texts.select(F.explode(posting).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
+    pairs = write_table(lists.mapInArrow(tidy(_groups_task(candidate_pairs)), "a long, b long").distinct(), "similar-pairs")
+    met = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    grams = rows.join(met, "doc_id", "left_semi").mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>").dropDuplicates(["id"])
+    grams = write_table(grams, "similar-shingles")
+    both = (
+        pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+        .join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+        .withColumn("same", F.size(F.array_intersect("x", "y")))
+    )
+    every = F.size("x") + F.size("y") - F.col("same")
+    links = write_table(both.filter((every > 0) & (F.col("same") >= F.lit(similarity) * every)).select("a", "b"), "similar-links")
+    roots = components(links)
+    named = texts.join(roots, F.col("rep") == F.col("node"), "left").select("text_hash", "fp", F.coalesce("root", "rep").alias("component_id"))
+    return marked.join(named, ["text_hash", "fp"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of similar documents, all columns.
 
     Rows without a doc_id are kept. Where rows repeat a doc_id and its text, one of them is kept.
     """
-    found = near_duplicates(docs, words)
-    first = write_table(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "simhash-first")
+    found = similar_documents(docs, words, similarity)
+    first = write_table(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "similar-first")
     rows = first.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    kept = docs.join(first.distinct(), "doc_id", "left_semi")
+    kept = docs.hint("merge").join(first.distinct(), "doc_id", "left_semi")
     if rows.rows != rows.ids:
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

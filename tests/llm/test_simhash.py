@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -74,6 +75,48 @@ def test_lists_may_span_batches():
     assert len(links) == 3
 
 
+def jaccard_groups(rows, k=5, least=0.8):
+    """Smallest id of each group of texts alike in k-word shingles, by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = {" ".join(words[j : j + k]) for j in range(len(words) - k + 1)} or ({" ".join(words)} if words else {text or ""})
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if root[a] < root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                    root[b] = root[a]
+                    changed = True
+    return root
+
+
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5)))
+    rows = []
+    for base in range(25):
+        text = [word() for _ in range(rng.randint(60, 160))]
+        rows.append((base * 10, " ".join(text)))
+        for copy in range(1, 5):
+            changed = list(text)
+            for _ in range(rng.choice([0, 1, 2, 8])):
+                changed[rng.randrange(len(changed))] = word()
+            rows.append((base * 10 + copy, " ".join(changed)))
+    rows += [(900, ""), (901, ""), (902, "one two"), (903, "ONE  two"), (904, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == jaccard_groups(rows)
+
+
+def test_long_lists_pair_every_member(monkeypatch):
+    fps = np.array([1 << 3, 0, 1, 3, 7] * 8, np.uint64) + (np.arange(40, dtype=np.uint64) << np.uint64(56))
+    ids = np.arange(40)
+    found = simhash.candidate_pairs(np.zeros(40, np.int64), fps.view(np.int64), ids).to_pydict()
+    assert set(found["a"]) | set(found["b"]) == set(ids.tolist()) and len(found["a"]) >= 39
+
+
 def test_empty_table_and_kept_rows(docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
