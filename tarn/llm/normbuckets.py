@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.buffers import tidy
 from tarn.llm import vectorblocks as V
 from tarn.llm.scratch import write_table
 
@@ -114,9 +115,9 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector_column: str, every: i
     queries = V.packed(asked.repartition(spread, "id"), V.QUERY_ROWS)
     longest = buckets.orderBy(F.desc("longest"), "block").limit(1)
     rows_schema = "query_id long, vec_id long, score long"
-    first = V.pairs(longest.withColumn("block", F.lit(0).cast("long")), queries, 1).mapInArrow(V.search_task(_first_pass(k), pa.int64()), rows_schema)
+    first = V.pairs(longest.withColumn("block", F.lit(0).cast("long")), queries, 1).mapInArrow(tidy(V.search_task(_first_pass(k), pa.int64())), rows_schema)
     floors = first.select(F.col("query_id").alias("id"), "score").distinct()
     armed = asked.join(floors, "id", "left").select("id", F.concat(F.array(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))), "v").alias("v"))
     ready = write_table(V.packed(armed.repartition(spread, "id"), V.QUERY_ROWS), "norm-queries")
-    found = V.pairs(buckets, ready, slots).mapInArrow(V.search_task(_pruned(k), pa.int64()), rows_schema)
+    found = V.pairs(buckets, ready, slots).mapInArrow(tidy(V.search_task(_pruned(k), pa.int64())), rows_schema)
     return V.best(found, k)

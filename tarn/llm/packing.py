@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.buffers import chunks, runs, utf8, words_at
+from tarn.llm.buffers import chunks, runs, tidy, utf8, words_at
 from tarn.llm.scratch import write_table
 from tarn.llm.wordhash import mix
 
@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 GROUP_ROWS = 20_000
-KEPT_UNITS = 200_000  # in each of a worker's two generations
+KEPT_UNITS = 120_000  # in each of a worker's two generations
 SIGNS = b",.!?;:#%&*$()-"
 OTHER_KIND = 8
 FULL_ENOUGH = 0.995
@@ -174,7 +174,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and ``end_id``, cut every ``capacity`` ids."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces_task(path, capacity, end_id, keep_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_pieces_task(path, capacity, end_id, keep_ids)), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.buffers import tidy
 from tarn.llm import vectorblocks as V
 from tarn.llm.scratch import write_table
 
@@ -103,9 +104,9 @@ def nearest(
     slots = V.slots_for(table.count(), rows)
     chosen = choose_pivots(table, pivots)
     blocks = V.packed(table.repartition(slots), rows)
-    index = write_table(blocks.mapInArrow(_post_task(chosen), V.BLOCK_SCHEMA + ", posted binary"), "permutations")
+    index = write_table(blocks.mapInArrow(tidy(_post_task(chosen)), V.BLOCK_SCHEMA + ", posted binary"), "permutations")
     asked = table.filter(F.col("id") % every == 0)
     spread = V.slots_for(asked.count(), V.QUERY_ROWS)
     queries = V.packed(asked.repartition(spread), V.QUERY_ROWS)
-    found = V.pairs(index, queries, slots).mapInArrow(V.search_task(_search(chosen, files, share, k), pa.float64()), "query_id long, vec_id long, score double")
+    found = V.pairs(index, queries, slots).mapInArrow(tidy(V.search_task(_search(chosen, files, share, k), pa.float64())), "query_id long, vec_id long, score double")
     return V.best(found, k)

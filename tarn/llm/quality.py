@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.buffers import chunks, utf8
+from tarn.llm.buffers import chunks, tidy, utf8
 from tarn.llm.wordhash import ngrams, tokens
 
 ORDERS = 2
@@ -101,7 +101,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS, orders: int = ORDERS,
     Rows are visited in the order of ``dealt``. Without rows all weights are 0.
     """
     ready = labelled.select("dealt", "text", F.col("label").cast("int").alias("label")).mapInArrow(
-        _features_task(orders, bits), "dealt long, label int, buckets binary, values binary"
+        tidy(_features_task(orders, bits)), "dealt long, label int, buckets binary, values binary"
     )
     fitted = ready.orderBy("dealt").limit(sample).coalesce(1).mapInPandas(_train_task(orders, bits, passes), "weights binary").collect()
     return np.frombuffer(fitted[0].weights, np.float32) if fitted else np.zeros((1 << bits) + 1, np.float32)
@@ -144,7 +144,7 @@ def score_quality(
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("dealt", "text", "label")
     weights = spark.sparkContext.broadcast(train(labelled, sample, orders, bits))  # 4 bytes for each of 2**bits buckets
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", "text").mapInArrow(_score_task(weights, orders, bits), f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(_score_task(weights, orders, bits)), f"doc_id {kind}, score double")
     return scored.select(
         "doc_id",
         (crc_remainder(F.col("doc_id"), folds) == held).alias("held_out"),

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tarn.llm.buffers import tidy
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
@@ -82,7 +83,7 @@ def _pack_task(rows: int):
 
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
     """Blocks of at most ``rows`` vectors, in the row order of each partition."""
-    return vectors.select("id", "v").mapInArrow(_pack_task(rows), BLOCK_SCHEMA)
+    return vectors.select("id", "v").mapInArrow(tidy(_pack_task(rows)), BLOCK_SCHEMA)
 
 
 def matrix(vectors: bytes, dim: int, width: int) -> np.ndarray:
