@@ -16,23 +16,25 @@ their whole content. No task receives all rows of a frequent passage.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tarn.llm.buffers import runs, utf8
+from tarn.llm.buffers import chunks, runs, tidy, utf8
 from tarn.llm.scratch import write_table
 from tarn.llm.suffixsort import Block
 
 LENGTH = 100
 GRAM = 20
 SLICE = 1 << 20
+CHUNK_BYTES = 4 << 20
 LONGEST_RUN = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # A k-gram with more than this share of the candidate runs is heavy; at most 1/share can be.
 HEAVY_SHARE = 1 / 1000
 HEAVY_LEAST = 20_000
@@ -125,17 +127,22 @@ def _batch(*columns: tuple[str, pa.Array]) -> pa.RecordBatch:
 def _runs_task(length: int, gram: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            owner, row, start, count, twice = window_runs(*utf8(batch.column(1)), length, gram)
-            owner = owner.view(np.int64)
-            by = np.argsort(owner, kind="stable")
-            owner, row, start, count, twice = owner[by], row[by], start[by], count[by], twice[by]
-            first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-            size = np.diff(np.append(np.flatnonzero(first), len(owner)))
-            known = np.repeat(size > 1, size) | twice
-            # One row per k-gram goes where the k-gram is counted; the rest are known to repeat.
-            dealt = np.where(known & ~first, key[row] ^ (start << 20), owner)
-            yield _batch(("owner", owner), ("key", key[row]), ("span", (start << 11) | (count << 1) | known), ("dealt", dealt))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(batch.column(1))
+            for a, b in chunks(offsets, CHUNK_BYTES):
+                yield runs_of(keys[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+    def runs_of(key: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        owner, row, start, count, twice = window_runs(data, offsets, length, gram)
+        owner = owner.view(np.int64)
+        by = np.argsort(owner, kind="stable")
+        owner, row, start, count, twice = owner[by], row[by], start[by], count[by], twice[by]
+        first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+        size = np.diff(np.append(np.flatnonzero(first), len(owner)))
+        known = np.repeat(size > 1, size) | twice
+        # One row per k-gram goes where the k-gram is counted; the rest are known to repeat.
+        dealt = np.where(known & ~first, key[row] ^ (start << 20), owner)
+        return _batch(("owner", owner), ("key", key[row]), ("span", (start << 11) | (count << 1) | known), ("dealt", dealt))
 
     return task
 
@@ -173,7 +180,7 @@ def _packed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = utf8(batch.column(1))
         raw = memoryview(data)
         packed = [squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield _batch(("key", batch.column(0)), ("packed", pa.array(packed, pa.binary())))
+        yield _batch(("key", batch.column(0)), ("packed", pa.array(packed, pa.binary())), ("rest", batch.column(2)))
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -293,6 +300,7 @@ def _removed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         size, gone, spans, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield _batch(
             ("key", batch.column(0)),
+            ("rest", batch.column(3)),
             ("n_bytes", pa.array(size, pa.int64())),
             ("n_removed", pa.array(gone, pa.int64())),
             ("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))),
@@ -301,28 +309,32 @@ def _removed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_spans(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(key, start, n) of every span of repeats, and the compressed texts by key, for (key, text)."""
-    spark = texts.sparkSession
-    found = texts.mapInArrow(_runs_task(length, gram), "owner long, key long, span long, dealt long")
+    """(key, start, n) of every span of repeats, and (key, packed, rest), for (key, text, rest)."""
+    found = texts.select("key", "text").mapInArrow(tidy(_runs_task(length, gram)), "owner long, key long, span long, dealt long")
     sorted_runs = found.repartition("dealt").select("owner", "key", "span").sortWithinPartitions("owner")
-    candidates = write_table(sorted_runs.mapInArrow(_repeated_task, "owner long, key long, span long"), "repeat-runs")
+    candidates = write_table(sorted_runs.mapInArrow(tidy(_repeated_task), "owner long, key long, span long"), "repeat-runs")
     total = candidates.count()
     most = max(HEAVY_LEAST, int(total * HEAVY_SHARE))
     heavy = frozenset(r.owner for r in candidates.groupBy("owner").count().filter(F.col("count") > most).collect()) if total > most else frozenset()
-    packed = texts.mapInArrow(_packed_task, "key long, packed binary")
+    # Both joins below read all of these columns by the same key, so the texts are exchanged once.
+    schema = StructType([StructField("key", LongType()), StructField("packed", BinaryType()), texts.schema["rest"]])
+    packed = texts.mapInArrow(tidy(_packed_task), schema).filter(F.col("key").isNotNull())
     per_text = candidates.groupBy("key").agg(F.collect_list(F.struct("owner", "span")).alias("runs"))
     strings = (
-        packed.join(per_text, "key")
-        .select("key", "packed", "runs")
-        .mapInArrow(_strings_task(length, heavy), "dealt long, key long, start long, windows long, value binary")
+        packed.hint("merge")
+        .join(per_text, "key")
+        .select("key", "packed", "runs", "rest")
+        .mapInArrow(tidy(_strings_task(length, heavy)), "dealt long, key long, start long, windows long, value binary")
         .repartition("dealt")
         .sortWithinPartitions("dealt")
     )
-    return strings.mapInArrow(_sorting_task(length), "key long, start long, n long"), packed
+    return strings.mapInArrow(tidy(_sorting_task(length)), "key long, start long, n long"), packed
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept) for every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept, rest) for every row of ``docs`` (doc_id, text).
+
+    ``rest`` is a struct of the row's ``carry`` columns and its text_is_null.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     earlier: in a smaller doc_id, or earlier in the same text. Texts are whole
@@ -335,36 +347,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         raise ValueError("length must be at least 16 and gram between 4 and length")
     ids = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     plain = ids.rows == ids.ids and dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    rows = docs.select("doc_id", "text", F.struct(F.col("doc_id"), F.col("text").isNull().alias("text_is_null"), *carry).alias("rest"))
     if plain:
-        texts, names = docs.select(F.col("doc_id").cast("long").alias("key"), "text"), None
+        texts = rows.select(F.col("doc_id").cast("long").alias("key"), "text", "rest")
     else:
-        ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_last(), "text")
+        ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), "text")
         numbered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id())
-        kept = write_table(numbered, "repeat-texts")
-        texts, names = kept.select("key", "text"), kept.select("key", "doc_id")
+        texts = write_table(numbered, "repeat-texts").select("key", "text", "rest")
     spans, packed = repeated_spans(texts, length, gram)
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    schema = "key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    out = packed.join(per_text, "key", "left").select("key", "packed", "spans").mapInArrow(_removed_task, schema)
-    if plain:
-        return out.withColumnRenamed("key", "doc_id").withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
-    return out.join(names, "key").select("doc_id", "n_bytes", "n_removed", "spans", "kept")
+    fields = "key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    schema = StructType([StructField("key", LongType()), texts.schema["rest"], *StructType.fromDDL(fields).fields[1:]])
+    out = packed.hint("merge").join(per_text, "key", "left").select("key", "packed", "spans", "rest").mapInArrow(tidy(_removed_task), schema)
+    return out.select(F.col("rest.doc_id").alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", "rest")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeats cut out of ``text`` and n_chars counted anew; texts cut to nothing go.
 
-    Bytes of characters that a cut splits are dropped. A text that was empty
-    before stays. doc_id must be unique, as after near-duplicate removal; rows
-    that repeat one, or have none, are kept as they are.
+    Bytes of characters that a cut splits are dropped. Texts that hold no repeat,
+    null ones included, stay as they are.
     """
-    left = remove_repeats(docs.select("doc_id", "text"), length)
-    cut = left.filter(F.col("n_removed") > 0).select("doc_id", F.try_validate_utf8("kept").alias("_whole"), F.make_valid_utf8("kept").alias("_kept"))
-    cut = cut.select("doc_id", F.coalesce("_whole", F.replace("_kept", F.lit("\ufffd"), F.lit(""))).alias("_kept"))
-    single = cut.groupBy("doc_id").agg(F.count("*").alias("_n"), F.first("_kept").alias("_kept")).filter("_n = 1").select("doc_id", "_kept")
-    joined = docs.join(single, "doc_id", "left")
-    kept = joined.filter(F.col("_kept").isNull() | (F.trim("_kept") != ""))
-    out = kept.withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = remove_repeats(docs, length, carry=others)
+    # Half characters become replacement marks, and only those that the cut made are taken out.
+    repaired = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    whole = F.try_validate_utf8(F.col("kept").cast("string"))
+    cut = F.col("n_removed") > 0
+    text = F.when(F.col("rest.text_is_null"), None).otherwise(F.when(cut, F.coalesce(whole, repaired)).otherwise(F.col("kept").cast("string")))
+    made = left.withColumn("_text", text).filter(~cut | (F.trim("_text") != ""))
+    out = made.select("doc_id", F.col("_text").alias("text"), *[F.col(f"rest.{c}").alias(c) for c in others], cut.alias("_cut"))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
