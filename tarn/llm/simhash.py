@@ -356,7 +356,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     lists = texts.select(F.explode(posting).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
     pairs = write_table(lists.mapInArrow(tidy(_groups_task(candidate_pairs)), "a long, b long").distinct(), "similar-pairs")
     met = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    grams = rows.join(met, "doc_id", "left_semi").mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>").dropDuplicates(["id"])
+    # A merge join at every size: the ids grow with the corpus and are not to be broadcast.
+    grams = rows.hint("merge").join(met, "doc_id", "left_semi").mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>").dropDuplicates(["id"])
     grams = write_table(grams, "similar-shingles")
     both = (
         pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
