@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm import histogramsort, language, normbuckets, packing, permutations, quality, raking, repeats, revisits, simhash
 
+from tarn.llm.scratch import write_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,7 +24,8 @@ def tokenizer_path(name: str = packing.TOKENIZER) -> str:
 
 
 def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
+    # The captures are derived from the pages' bodies: once, and without them from there on.
+    found = revisits.resolve_revisits(write_table(revisits.captures(table(spark, sf_dir, "pages")), "captures"))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.withColumn("headers", F.array_join(lines, "; "))
 
