@@ -259,7 +259,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 INDEX_WORDS = 2  # shorter shingles move fewer bits per edit, so near copies share more bytes
 INDEX_SHARED_BYTES = 2
 CANDIDATE_BITS = 12
-ALL_PAIRS = 16
+SHORT_LIST = 16
+PARTNERS = 8  # of each member of a longer list in the first round
+MORE_PARTNERS = 8  # times as many in every further round
 
 
 def _groups_task(links):
@@ -282,46 +284,72 @@ def _groups_task(links):
     return task
 
 
-def candidate_pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Pairs in posting lists that share enough positional bytes and lie within CANDIDATE_BITS.
-
-    A short list gives all of them. In a long one, as of very many near copies,
-    every member is paired with the first one near it; lists are in an order of
-    their own each, so members meet other partners in other lists.
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which fingerprints share enough positional bytes and lie within CANDIDATE_BITS."""
+    x = a ^ b
+    shared = sum(((x >> U(8 * byte)) & U(255) == 0).astype(np.uint8) for byte in range(8))
+    return (np.bitwise_count(x) <= CANDIDATE_BITS) & (shared >= INDEX_SHARED_BYTES)
+
+
+def _list_partners(fps: np.ndarray, roots: np.ndarray, partners: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """For each member of one list its first ``partners`` near members of other roots, and whether any has more."""
+    left, right, more = [], [], False
+    if (roots == roots[0]).all():
+        return left, right, more
+    for i in range(0, len(fps), 512):
+        rows = np.arange(i, min(i + 512, len(fps)))
+        taken = np.zeros(len(rows), np.int64)
+        for j in range(0, int(rows[-1]) + 1, BLOCK):
+            others = np.arange(j, min(j + BLOCK, int(rows[-1]) + 1))
+            hit = _near(fps[rows][:, None], fps[others][None, :]) & (roots[rows][:, None] != roots[others][None, :]) & (others[None, :] < rows[:, None])
+            r, o = np.nonzero(hit)
+            count = np.bincount(r, minlength=len(rows))
+            place = np.arange(len(r)) - (np.cumsum(count) - count)[r] + taken[r]
+            left.append(others[o[place < partners]])
+            right.append(rows[r[place < partners]])
+            taken += count
+            more |= bool((taken > partners).any())
+            rows, taken = rows[taken <= partners], taken[taken <= partners]
+            if not len(rows):
+                break
+    return left, right, more
+
+
+def candidate_pairs(partners: int):
+    """Pairs (a, b) within posting lists that are near and not yet known to be connected.
+
+    A short list gives all of them. In a longer one every member is given its
+    first ``partners``; a list in which a member has more of them is given
+    back whole, as rows (a, b null, key, fp), for another round.
     """
-    fps = fps.view(np.uint64)
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    size = np.diff(cut)
-    short = np.repeat(size <= ALL_PAIRS, size)
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = a ^ b
-        close = np.bitwise_count(x) <= CANDIDATE_BITS
-        shared = sum(((x >> U(8 * byte)) & U(255) == 0).astype(np.uint8) for byte in range(8))
-        return close & (shared >= INDEX_SHARED_BYTES)
-
-    left, right = [], []
-    for d in range(1, int(size[size <= ALL_PAIRS].max(initial=1))):
-        i = np.flatnonzero((keys[d:] == keys[:-d]) & short[d:])
-        i = i[near(fps[i], fps[i + d])]
-        left.append(i)
-        right.append(i + d)
-    for g in np.flatnonzero(size > ALL_PAIRS):
-        for i in range(cut[g], cut[g + 1], 512):
-            rows = np.arange(i, min(i + 512, cut[g + 1]))
-            for j in range(cut[g], rows[-1] + 1, BLOCK):
-                others = np.arange(j, min(j + BLOCK, rows[-1] + 1))
-                hit = near(fps[rows][:, None], fps[others][None, :]) & (others[None, :] < rows[:, None])
-                found = hit.any(axis=1)
-                left.append(others[hit.argmax(axis=1)[found]])
-                right.append(rows[found])
-                rows = rows[~found]
-                if not len(rows):
-                    break
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    a, b = ids[a], ids[b]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    def links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+        bits = fps.view(np.uint64)
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        size = np.diff(cut)
+        short = np.repeat(size <= SHORT_LIST, size)
+        left, right, again = [], [], []
+        for d in range(1, int(size[size <= SHORT_LIST].max(initial=1))):
+            i = np.flatnonzero((keys[d:] == keys[:-d]) & (roots[d:] != roots[:-d]) & short[d:])
+            i = i[_near(bits[i], bits[i + d])]
+            left.append(i)
+            right.append(i + d)
+        for g in np.flatnonzero(size > SHORT_LIST):
+            a, b, more = _list_partners(bits[cut[g] : cut[g + 1]], roots[cut[g] : cut[g + 1]], partners)
+            left += [x + cut[g] for x in a]
+            right += [x + cut[g] for x in b]
+            if more:
+                again.append(np.arange(cut[g], cut[g + 1]))
+        a, b, rest = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, again))
+        a, b = ids[a], ids[b]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        columns = [(pairs[:, 0], ids[rest]), (pairs[:, 1], None), (None, keys[rest]), (None, fps[rest])]
+        gone = pa.nulls(len(rest), pa.int64())
+        made = [pa.concat_arrays([none if x is None else pa.array(x.copy()), gone if y is None else pa.array(y)]) for x, y in columns]
+        return pa.RecordBatch.from_arrays(made, names=["a", "b", "key", "fp"])
+
+    return links
 
 
 def _sets_task(words: int):
@@ -338,6 +366,17 @@ def _sets_task(words: int):
     return task
 
 
+def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
+    both = (
+        pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+        .join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+        .withColumn("same", F.size(F.array_intersect("x", "y")))
+    )
+    every = F.size("x") + F.size("y") - F.col("same")
+    return both.filter((every > 0) & (F.col("same") >= F.lit(similarity) * every)).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row of ``docs`` with a doc_id: groups of texts alike in ``words``-word shingles.
 
@@ -346,6 +385,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     share a posting, INDEX_SHARED_BYTES bytes at least, and lie within
     CANDIDATE_BITS are compared by the Jaccard similarity of their sets of
     shingles (64-bit hashes). Texts without words are alike only if equal.
+
+    Lists with many near members are compared in rounds: each round gives their
+    members more partners, but none that is in the same group by then. The last
+    round leaves no near pair that is neither compared nor inside one group.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -353,20 +396,28 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     texts = write_table(marked.groupBy("text_hash", "fp").agg(F.min("doc_id").alias("rep")), "similar-texts")
     signed = [m - 2**64 if m >= 2**63 else m for m in ((0xFF << 8 * i) | (0xFF << 8 * j) for i, j in combinations(range(8), 2))]
     posting = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    lists = texts.select(F.explode(posting).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
-    pairs = write_table(lists.mapInArrow(tidy(_groups_task(candidate_pairs)), "a long, b long").distinct(), "similar-pairs")
-    met = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # A merge join at every size: the ids grow with the corpus and are not to be broadcast.
-    grams = rows.hint("merge").join(met, "doc_id", "left_semi").mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>").dropDuplicates(["id"])
-    grams = write_table(grams, "similar-shingles")
-    both = (
-        pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-        .join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-        .withColumn("same", F.size(F.array_intersect("x", "y")))
-    )
-    every = F.size("x") + F.size("y") - F.col("same")
-    links = write_table(both.filter((every > 0) & (F.col("same") >= F.lit(similarity) * every)).select("a", "b"), "similar-links")
-    roots = components(links)
+    lists = texts.select(F.explode(posting).alias("key"), "fp", "rep", F.col("rep").alias("root"))
+    grams = tried = links = None
+    partners = PARTNERS
+    while True:
+        dealt = lists.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
+        met = write_table(dealt.mapInArrow(tidy(_groups_task(candidate_pairs(partners))), "a long, b long, key long, fp long"), "similar-lists")
+        pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
+        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
+        if grams is None:
+            ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
+            # A merge join at every size: the ids grow with the corpus and are not to be broadcast.
+            held = rows.hint("merge").join(ids, "doc_id", "left_semi").mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>")
+            grams = write_table(held.dropDuplicates(["id"]), "similar-shingles")
+        fresh = write_table(_alike(pairs, grams, similarity), "similar-links")
+        links = fresh if links is None else links.unionByName(fresh)
+        roots = components(links)
+        open_lists = met.filter(F.col("key").isNotNull()).select("key", "fp", F.col("a").alias("rep"))
+        if open_lists.isEmpty():
+            break
+        lists = open_lists.join(roots, F.col("rep") == F.col("node"), "left").select("key", "fp", "rep", F.coalesce("root", "rep").alias("root"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        partners *= MORE_PARTNERS
     named = texts.join(roots, F.col("rep") == F.col("node"), "left").select("text_hash", "fp", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(named, ["text_hash", "fp"]).select("doc_id", "component_id")
 

@@ -110,11 +110,36 @@ def test_similar_documents_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == jaccard_groups(rows)
 
 
-def test_long_lists_pair_every_member(monkeypatch):
+def test_long_lists_give_partners_in_rounds():
     fps = np.array([1 << 3, 0, 1, 3, 7] * 8, np.uint64) + (np.arange(40, dtype=np.uint64) << np.uint64(56))
-    ids = np.arange(40)
-    found = simhash.candidate_pairs(np.zeros(40, np.int64), fps.view(np.int64), ids).to_pydict()
-    assert set(found["a"]) | set(found["b"]) == set(ids.tolist()) and len(found["a"]) >= 39
+    ids, key = np.arange(40), np.zeros(40, np.int64)
+    every = {(a, b) for a in range(40) for b in range(a + 1, 40) if simhash._near(fps[[a]], fps[[b]])[0]}
+    found = simhash.candidate_pairs(3)(key, fps.view(np.int64), ids, ids).to_pylist()
+    pairs = {(r["a"], r["b"]) for r in found if r["key"] is None}
+    assert pairs < every and {b for _, b in pairs} == {b for _, b in every}
+    assert [r["a"] for r in found if r["key"] is not None] == ids.tolist()
+    found = simhash.candidate_pairs(40)(key, fps.view(np.int64), ids, ids % 2).to_pylist()
+    assert {(r["a"], r["b"]) for r in found} == {(a, b) for a, b in every if (a - b) % 2}
+    assert not simhash.candidate_pairs(3)(key, fps.view(np.int64), ids, ids * 0).num_rows
+
+
+def test_rounds_lose_no_link_in_large_groups(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    rows = []
+    for i in range(120):  # near one another, but alike only along a chain
+        text = list(base)
+        for j in range(i % 40):
+            text[10 * j] = f"x{j}"
+        text[399] = f"y{i % 3}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(simhash, "PARTNERS", 1)
+    monkeypatch.setattr(simhash, "MORE_PARTNERS", 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (0.8, 0.97):
+        wanted = jaccard_groups(rows, least=least)
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(df, similarity=least).collect()}
+        assert found == wanted
 
 
 def test_empty_table_and_kept_rows(docs, no_docs):
