@@ -60,8 +60,8 @@ def fit(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int) -> Data
                 F.col("level").alias(dimension),
                 F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(total) / F.col("now")).otherwise(0.0).alias("factor"),
             )
-            fitted = fitted.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        fitted = write_table(fitted, "raked")
+            # Written each time: every further step would read the plan before it twice.
+            fitted = write_table(fitted.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
     return fitted
 
 
