@@ -260,7 +260,7 @@ INDEX_WORDS = 2  # shorter shingles move fewer bits per edit, so near copies sha
 INDEX_SHARED_BYTES = 2
 CANDIDATE_BITS = 12
 SHORT_LIST = 16
-PARTNERS = 8  # of each member of a longer list in the first round
+PARTNERS = 1  # of each member of a longer list in the first round: chains join a group, the next round finds it whole
 MORE_PARTNERS = 8  # times as many in every further round
 
 
@@ -400,7 +400,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     grams = tried = links = None
     partners = PARTNERS
     while True:
-        dealt = lists.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
+        # One order in all lists: two texts that meet in many of them make the same pair.
+        dealt = lists.repartition("key").sortWithinPartitions("key", "rep")
         met = write_table(dealt.mapInArrow(tidy(_groups_task(candidate_pairs(partners))), "a long, b long, key long, fp long"), "similar-lists")
         pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
