@@ -256,10 +256,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-INDEX_WORDS = 2  # shorter shingles move fewer bits per edit, so near copies share more bytes
 INDEX_SHARED_BYTES = 2
 CANDIDATE_BITS = 12
 SHORT_LIST = 16
+SKETCH = 8  # longs of parity bits for each set of shingles
+ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5000, 3, 1 << 17  # only order the shingles: any order finds all pairs
 PARTNERS = 1  # of each member of a longer list in the first round: chains join a group, the next round finds it whole
 MORE_PARTNERS = 8  # times as many in every further round
 
@@ -291,7 +292,21 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(x) <= CANDIDATE_BITS) & (shared >= INDEX_SHARED_BYTES)
 
 
-def _list_partners(fps: np.ndarray, roots: np.ndarray, partners: int) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+def _may_be_alike(similarity: float):
+    """Which sets (size, parity bits) can have that Jaccard similarity; none that has it is left out.
+
+    Elements in one of two sets only are at least as many as the parity bits that differ.
+    """
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = a[..., 0].astype(np.int64), b[..., 0].astype(np.int64)
+        apart = sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int64) for k in range(1, a.shape[-1]))
+        return (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (apart <= (x + y) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+    return near
+
+
+def _list_partners(fps: np.ndarray, roots: np.ndarray, partners: int, near) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
     """For each member of one list its first ``partners`` near members of other roots, and whether any has more."""
     left, right, more = [], [], False
     if (roots == roots[0]).all():
@@ -301,7 +316,7 @@ def _list_partners(fps: np.ndarray, roots: np.ndarray, partners: int) -> tuple[l
         taken = np.zeros(len(rows), np.int64)
         for j in range(0, int(rows[-1]) + 1, BLOCK):
             others = np.arange(j, min(j + BLOCK, int(rows[-1]) + 1))
-            hit = _near(fps[rows][:, None], fps[others][None, :]) & (roots[rows][:, None] != roots[others][None, :]) & (others[None, :] < rows[:, None])
+            hit = near(fps[rows][:, None], fps[others][None, :]) & (roots[rows][:, None] != roots[others][None, :]) & (others[None, :] < rows[:, None])
             r, o = np.nonzero(hit)
             count = np.bincount(r, minlength=len(rows))
             place = np.arange(len(r)) - (np.cumsum(count) - count)[r] + taken[r]
@@ -315,27 +330,28 @@ def _list_partners(fps: np.ndarray, roots: np.ndarray, partners: int) -> tuple[l
     return left, right, more
 
 
-def candidate_pairs(partners: int):
-    """Pairs (a, b) within posting lists that are near and not yet known to be connected.
+def candidate_pairs(partners: int, near=_near):
+    """Pairs (a, b) within posting lists that are ``near`` and not yet known to be connected.
 
     A short list gives all of them. In a longer one every member is given its
     first ``partners``; a list in which a member has more of them is given
-    back whole, as rows (a, b null, key, fp), for another round.
+    back whole, as rows (a, b null, key, fp), for another round. ``near`` is given
+    fp, or, where there are further columns, fp and these along the last axis.
     """
 
-    def links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
-        bits = fps.view(np.uint64)
+    def links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, *sketch: np.ndarray) -> pa.RecordBatch:
+        bits = np.stack([fps, *sketch], axis=1).view(np.uint64) if sketch else fps.view(np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         size = np.diff(cut)
         short = np.repeat(size <= SHORT_LIST, size)
         left, right, again = [], [], []
         for d in range(1, int(size[size <= SHORT_LIST].max(initial=1))):
             i = np.flatnonzero((keys[d:] == keys[:-d]) & (roots[d:] != roots[:-d]) & short[d:])
-            i = i[_near(bits[i], bits[i + d])]
+            i = i[near(bits[i], bits[i + d])]
             left.append(i)
             right.append(i + d)
         for g in np.flatnonzero(size > SHORT_LIST):
-            a, b, more = _list_partners(bits[cut[g] : cut[g + 1]], roots[cut[g] : cut[g + 1]], partners)
+            a, b, more = _list_partners(bits[cut[g] : cut[g + 1]], roots[cut[g] : cut[g + 1]], partners, near)
             left += [x + cut[g] for x in a]
             right += [x + cut[g] for x in b]
             if more:
@@ -344,28 +360,85 @@ def candidate_pairs(partners: int):
         a, b = ids[a], ids[b]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
         none = pa.nulls(len(pairs), pa.int64())
-        columns = [(pairs[:, 0], ids[rest]), (pairs[:, 1], None), (None, keys[rest]), (None, fps[rest])]
+        columns = [(pairs[:, 0], ids[rest]), (pairs[:, 1], None), (None, keys[rest]), *[(None, x[rest]) for x in (fps, *sketch)]]
         gone = pa.nulls(len(rest), pa.int64())
         made = [pa.concat_arrays([none if x is None else pa.array(x.copy()), gone if y is None else pa.array(y)]) for x, y in columns]
-        return pa.RecordBatch.from_arrays(made, names=["a", "b", "key", "fp"])
+        return pa.RecordBatch.from_arrays(made, names=["a", "b", "key", "fp", *[f"s{k}" for k in range(len(sketch))]])
 
     return links
 
 
+def shared_lists(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The rows of posting lists with more than one member."""
+    same = keys[1:] == keys[:-1]
+    on = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(ids[on])], names=["key", "rep"])
+
+
+def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    data, offsets = utf8(column)
+    sets: list[np.ndarray] = []
+    for a, b in chunks(offsets):
+        flat, start, size, per_row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+        sets += [np.unique(h) for h in np.split(xxh64(flat, start, size).view(np.int64), np.cumsum(per_row)[:-1])]
+    return sets
+
+
 def _sets_task(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            sets: list[np.ndarray] = []
-            for a, b in chunks(offsets):
-                flat, start, size, per_row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                cut = np.cumsum(per_row)
-                sets += [np.unique(h) for h in np.split(xxh64(flat, start, size).view(np.int64), cut[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sets(batch.column(1), words), pa.list_(pa.int64()))], names=["id", "grams"])
+
+    return task
+
+
+def prefix(grams: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of the ``grams`` in one order for all sets, rare ones ahead of ``common`` ones.
+
+    Two sets of that Jaccard similarity have ``similarity`` times the size of either
+    in common, so the first element they share is among the first of both.
+    """
+    size = len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1 if len(grams) else 0
+    at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
+    often = common[at] == grams if len(common) else np.zeros(len(grams), bool)
+    last = grams[often][np.argsort(rank[at[often]])]
+    return np.concatenate([grams[~often], last])[:size]
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 x SKETCH slices of the hashes whether an odd number of the ``grams`` is in it."""
+    odd = np.bincount((grams.view(U) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _marks_task(words: int, similarity: float, shared):
+    """(doc_id, text, text_hash, text_hash_2) in; size, parity bits and prefix of the set of shingles instead of the text out."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
+        for batch in batches:
+            sets = _sets(batch.column(1), words)
+            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, SKETCH)
+            heads = pa.array([prefix(x, similarity, common, rank) for x in sets], pa.list_(pa.int64()))
+            made = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array(bits[:, k].copy()) for k in range(SKETCH)], heads]
+            names = ["doc_id", "text_hash", "text_hash_2", "size", *[f"s{k}" for k in range(SKETCH)], "head"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=names)
 
     return task
 
 
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles found in several of some ORDER_TEXTS texts, sorted by hash, and their place by frequency."""
+    share = min(1.0, ORDER_TEXTS / max(1, rows.count()))
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text")
+    grams = some.mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>").select(F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "gram").limit(ORDER_MOST)
+    common = np.array([r.gram for r in often.collect()], np.int64)  # most frequent first; at most ORDER_MOST
+    order = np.argsort(common)
+    return common[order], -order
+
+
 def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
     both = (
@@ -380,29 +453,37 @@ def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row of ``docs`` with a doc_id: groups of texts alike in ``words``-word shingles.
 
-    Equal texts meet first, as one row. The fingerprints of their INDEX_WORDS-word
-    shingles are posted under every two of their eight positional bytes; pairs that
-    share a posting, INDEX_SHARED_BYTES bytes at least, and lie within
-    CANDIDATE_BITS are compared by the Jaccard similarity of their sets of
-    shingles (64-bit hashes). Texts without words are alike only if equal.
+    Equal texts meet first, as one row. Each text is posted under the prefix of its
+    set of shingles (64-bit hashes): two sets of that Jaccard similarity share one
+    posting at least, however the texts were edited. Pairs in a posting list whose
+    sizes and parity bits allow the similarity are compared exactly by their sets.
+    Texts without words are alike only if equal.
 
     Lists with many near members are compared in rounds: each round gives their
     members more partners, but none that is in the same group by then. The last
     round leaves no near pair that is neither compared nor inside one group.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = write_table(hashed.mapInArrow(tidy(_with_fingerprint(INDEX_WORDS)), "doc_id long, fp long, text_hash long"), "similar-marks")
-    texts = write_table(marked.groupBy("text_hash", "fp").agg(F.min("doc_id").alias("rep")), "similar-texts")
-    signed = [m - 2**64 if m >= 2**63 else m for m in ((0xFF << 8 * i) | (0xFF << 8 * j) for i, j in combinations(range(8), 2))]
-    posting = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    lists = texts.select(F.explode(posting).alias("key"), "fp", "rep", F.col("rep").alias("root"))
+    text = F.coalesce("text", F.lit(""))
+    hashed = rows.withColumns({"text_hash": F.xxhash64(text), "text_hash_2": F.xxhash64(F.lit(1), text)})
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    longs = ", ".join(f"{s} long" for s in sketch)
+    schema = f"doc_id long, text_hash long, text_hash_2 long, size long, {longs}, head array<long>"
+    marked = write_table(hashed.mapInArrow(tidy(_marks_task(words, similarity, shared)), schema), "similar-marks")
+    first = marked.groupBy("text_hash", "text_hash_2").agg(F.min(F.struct("doc_id", "size", *sketch, "head")).alias("row"))
+    texts = write_table(first.select("text_hash", "text_hash_2", F.col("row.doc_id").alias("rep"), "row.size", *[f"row.{s}" for s in sketch], "row.head"), "similar-texts")
+    posted = texts.select(F.explode("head").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
+    met = posted.mapInArrow(tidy(_groups_task(shared_lists)), "key long, rep long")
+    sized = texts.select("rep", F.col("size").alias("fp"), *sketch).dropDuplicates(["rep"])
+    lists = met.hint("merge").join(sized, "rep").select("key", "fp", "rep", F.col("rep").alias("root"), *sketch)
+    near = _may_be_alike(similarity)
     grams = tried = links = None
     partners = PARTNERS
     while True:
         # One order in all lists: two texts that meet in many of them make the same pair.
         dealt = lists.repartition("key").sortWithinPartitions("key", "rep")
-        met = write_table(dealt.mapInArrow(tidy(_groups_task(candidate_pairs(partners))), "a long, b long, key long, fp long"), "similar-lists")
+        met = write_table(dealt.mapInArrow(tidy(_groups_task(candidate_pairs(partners, near))), f"a long, b long, key long, fp long, {longs}"), "similar-lists")
         pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
         if grams is None:
@@ -413,14 +494,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         fresh = write_table(_alike(pairs, grams, similarity), "similar-links")
         links = fresh if links is None else links.unionByName(fresh)
         roots = components(links)
-        open_lists = met.filter(F.col("key").isNotNull()).select("key", "fp", F.col("a").alias("rep"))
+        open_lists = met.filter(F.col("key").isNotNull()).select("key", "fp", F.col("a").alias("rep"), *sketch)
         if open_lists.isEmpty():
             break
-        lists = open_lists.join(roots, F.col("rep") == F.col("node"), "left").select("key", "fp", "rep", F.coalesce("root", "rep").alias("root"))
+        lists = open_lists.join(roots, F.col("rep") == F.col("node"), "left").select("key", "fp", "rep", F.coalesce("root", "rep").alias("root"), *sketch)
         tried = pairs if tried is None else tried.unionByName(pairs)
         partners *= MORE_PARTNERS
-    named = texts.join(roots, F.col("rep") == F.col("node"), "left").select("text_hash", "fp", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(named, ["text_hash", "fp"]).select("doc_id", "component_id")
+    named = texts.join(roots, F.col("rep") == F.col("node"), "left").select("text_hash", "text_hash_2", F.coalesce("root", "rep").alias("component_id"))
+    return marked.join(named, ["text_hash", "text_hash_2"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

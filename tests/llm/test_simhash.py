@@ -110,6 +110,30 @@ def test_similar_documents_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == jaccard_groups(rows)
 
 
+def test_similar_documents_equal_brute_force_for_added_and_cut_parts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    rows = []
+    for base in range(40):
+        text = [word() for _ in range(rng.randint(60, 600))]
+        part = [word() for _ in range(int(len(text) * rng.uniform(0.15, 0.24)))]
+        copies = [text, text + part, part + text, text[: -len(part)], text[len(part) :]]
+        rows += [(base * 10 + i, " ".join(copy)) for i, copy in enumerate(copies)]
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == jaccard_groups(rows)
+
+
+def test_prefixes_and_parity_lose_no_pair_at_the_bound():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 9, 90, 900):
+        whole = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        common, near = np.sort(whole[rng.random(size) < 0.5]), simhash._may_be_alike(0.8)
+        part = np.sort(rng.choice(whole, int(np.ceil(0.8 * size)), replace=False))
+        heads = [simhash.prefix(x, 0.8, common, np.arange(len(common))) for x in (whole, part)]
+        marks = [np.concatenate([[len(x)], simhash.parity(x)]).view(np.uint64) for x in (whole, part)]
+        assert set(heads[0].tolist()) & set(heads[1].tolist()) and near(*marks)
+
+
 def test_long_lists_give_partners_in_rounds():
     fps = np.array([1 << 3, 0, 1, 3, 7] * 8, np.uint64) + (np.arange(40, dtype=np.uint64) << np.uint64(56))
     ids, key = np.arange(40), np.zeros(40, np.int64)
