@@ -1,14 +1,19 @@
-"""Mixing to target weights by iterative proportional fitting, in DataFrame operations only.
+"""Mixing to target weights by iterative proportional fitting.
 
 Documents are summed into cells (one per source, language and topic) once. Each
 round scales the cells' token weights to every marginal in turn; documents are
 then drawn with the probability that carries their cell to its fitted weight.
+``fit`` and ``calibrate`` do so in DataFrame operations and cut probabilities at 1
+afterwards; ``fit_bounded`` rakes the cells under that bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import warnings
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,7 @@ from tarn.llm.scratch import write_table
 MISSING = "(none)"
 WORDS = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
+BOUNDED_ROUNDS, KEEP_STEP, LEAST_KEEP = 300, 0.95, 0.05
 
 
 def words_in(text: Column) -> Column:
@@ -83,6 +89,79 @@ def calibrate(fitted: DataFrame, keep: float, rounds: int) -> DataFrame:
     return rated.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)))
 
 
+def _to_level(tokens: np.ndarray, rest: np.ndarray, goal: float) -> float:
+    """The factor f with sum(tokens * min(1, f * rest)) = goal; infinite if all tokens are needed."""
+    order = np.argsort(-rest)
+    t, r = tokens[order], rest[order]
+    full = np.concatenate([[0.0], np.cumsum(t)])[:-1]  # tokens of the cells ahead, at their bound
+    open_ = np.cumsum((t * r)[::-1])[::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.where(open_ > 0, (goal - full) / open_, np.inf)
+    fits = np.flatnonzero(f * r <= 1)
+    return max(0.0, float(f[fits[0]])) if len(fits) else np.inf
+
+
+def rake_bounded(codes: Sequence[np.ndarray], tokens: np.ndarray, shares: Sequence[np.ndarray], keep: float, tolerance: float) -> tuple[np.ndarray, float]:
+    """Probability of each cell, at most 1, and the largest gap between a marginal and its target.
+
+    ``codes`` gives each cell's level by dimension, ``shares`` the target of each
+    level; a gap is relative to the target of ``keep`` times all tokens.
+    """
+    wanted = [s * keep * tokens.sum() for s in shares]
+    members = [[np.flatnonzero(c == level) for level in range(len(s))] for c, s in zip(codes, shares, strict=True)]
+    factors = [np.ones(len(s)) for s in shares]
+    gap = np.inf
+    for _ in range(BOUNDED_ROUNDS):
+        for d, goal in enumerate(wanted):
+            rest = np.prod([factors[e][codes[e]] for e in range(len(codes)) if e != d], axis=0) * np.ones(len(tokens))
+            for level, at in enumerate(members[d]):
+                factors[d][level] = min(1e12, _to_level(tokens[at], rest[at], goal[level]))
+        chance = np.minimum(1.0, np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0))
+        got = [np.bincount(c, tokens * chance, len(g)) for c, g in zip(codes, wanted, strict=True)]
+        gap = max(float(np.max(np.abs(x - g) / np.maximum(g, 1e-12), where=g > 0, initial=0.0)) for x, g in zip(got, wanted, strict=True))
+        if gap <= tolerance:
+            break
+    return chance, gap
+
+
+def fit_bounded(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, dimensions: Sequence[str], temperature: float, keep: float, tolerance: float) -> DataFrame:
+    """``cells`` with ratio, probability and gap: the share kept is the largest the targets allow, ``keep`` at most.
+
+    No level can give more tokens than it has, which bounds the share kept; where
+    the levels together allow less, it is lowered by KEEP_STEP until all marginals
+    are within ``tolerance``. If none down to LEAST_KEEP of the bound is, the one
+    with the least gap is taken. One task holds the cells, never documents.
+    """
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        if not parts:
+            return
+        frame = pd.concat(parts, ignore_index=True)
+        heavy = frame["tokens"].to_numpy() > 0
+        tokens = frame.loc[heavy, "tokens"].to_numpy(np.float64)
+        codes, shares, bound = [], [], keep
+        for d in dimensions:
+            code, levels = pd.factorize(frame.loc[heavy, d])
+            natural = np.bincount(code, tokens, len(levels))
+            goal = np.array([float(targets[d].get(x, 0.0)) for x in levels]) if targets and d in targets else natural**temperature
+            codes.append(code)
+            shares.append(goal / goal.sum() if goal.sum() else goal)
+            bound = min([bound, *(natural / tokens.sum() / np.maximum(shares[-1], 1e-300))])
+        at, best, chance, gap = bound, bound, np.full(len(tokens), bound), np.inf
+        while len(tokens) and gap > tolerance and at >= LEAST_KEEP * bound:
+            found, apart = rake_bounded(codes, tokens, shares, at, tolerance)
+            if apart < gap:
+                best, chance, gap = at, found, apart
+            at *= KEEP_STEP
+        frame["probability"] = best
+        frame.loc[heavy, "probability"] = chance
+        yield frame.assign(ratio=frame["probability"] / best, gap=gap if len(tokens) else 0.0)
+
+    names = ", ".join(f"{d} string" for d in dimensions)
+    return cells.select(*dimensions, "tokens").coalesce(1).mapInPandas(task, f"{names}, tokens long, probability double, ratio double, gap double")
+
+
 def mix(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
@@ -92,6 +171,7 @@ def mix(
     rounds: int = 8,
     scale_rounds: int = 6,
     seed: int = 0,
+    tolerance: float | None = None,
 ) -> DataFrame:
     """``docs`` with _tokens, _ratio, _probability and _kept.
 
@@ -103,6 +183,10 @@ def mix(
     and is kept with probability ``keep`` times the fitted scale. A ``topic``
     column is used if there is one, else the form of the text. An empty table
     gives an empty result. The four new columns replace any of their names.
+
+    With a ``tolerance`` the expected shares after the draw meet the targets to
+    that relative distance, and ``keep`` is an upper bound: a smaller share of the
+    tokens is kept where a level has too few of them. A warning tells if no share does.
     """
     own = {d: F.col(d) if d in docs.columns else form_topic(F.col("text")) if d == "topic" else F.lit(None) for d in dimensions}
     marked = docs.withColumns(
@@ -111,14 +195,20 @@ def mix(
     at = [F.col(f"_at_{d}").alias(d) for d in dimensions]
     cells = write_table(marked.groupBy(*at).agg(F.sum("_tokens").alias("tokens")), "cells")
     spark = docs.sparkSession
-    goals: dict[str, DataFrame] = {}
-    for d in dimensions:
-        if targets and d in targets:
-            whole = sum(targets[d].values())
-            goals[d] = spark.createDataFrame([(k, v / whole) for k, v in targets[d].items()], "level string, share double")
-        else:
-            goals[d] = write_table(tempered(cells, d, temperature), "targets")
-    drawn = calibrate(fit(cells, goals, rounds), keep, scale_rounds)
+    if tolerance is None:
+        goals: dict[str, DataFrame] = {}
+        for d in dimensions:
+            if targets and d in targets:
+                whole = sum(targets[d].values())
+                goals[d] = spark.createDataFrame([(k, v / whole) for k, v in targets[d].items()], "level string, share double")
+            else:
+                goals[d] = write_table(tempered(cells, d, temperature), "targets")
+        drawn = calibrate(fit(cells, goals, rounds), keep, scale_rounds)
+    else:
+        drawn = write_table(fit_bounded(cells, targets, dimensions, temperature, keep, tolerance), "bounded")
+        gap = drawn.agg(F.max("gap")).first()[0] or 0.0
+        if gap > tolerance:
+            warnings.warn(f"mixing: a marginal is {gap:.2%} from its target", stacklevel=2)
     rates = write_table(drawn.select(*[F.col(d).alias(f"_at_{d}") for d in dimensions], F.col("ratio").alias("_ratio"), F.col("probability").alias("_probability")), "rates")
     kept = marked.drop("_ratio", "_probability", "_kept").join(rates, [f"_at_{d}" for d in dimensions])
     return kept.withColumn("_kept", uniform(F.col("doc_id"), seed) < F.col("_probability")).withColumnsRenamed({f"_at_{d}": f"_{d}" for d in dimensions})

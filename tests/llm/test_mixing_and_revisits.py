@@ -33,7 +33,22 @@ def test_rows_equal_the_sql(spark, unique_docs):
     assert sorted((r.doc_id, r._topic, r._tokens, r._kept) for r in out.collect()) == wanted
 
 
+def test_bounded_weights_reach_their_targets_with_few_tokens_of_a_level(spark):
+    made = [(f"{'many' if i % 20 else 'few'}", "en" if i % 3 else "es", "!!" if i % 10 == 0 else "x") for i in range(3000)]
+    df = spark.createDataFrame([(i, "w " * (5 + i % 7) + t, s, lang) for i, (s, lang, t) in enumerate(made)], "doc_id long, text string, source string, lang string")
+    rows = raking.mix(df, keep=0.9, tolerance=0.001).collect()
+    total, drawn = sum(r._tokens for r in rows), sum(r._tokens * r._probability for r in rows)
+    assert 0.2 < drawn / total <= 0.9 and max(r._probability for r in rows) <= 1
+    for d in ("_source", "_lang", "_topic"):
+        levels = {r[d] for r in rows}
+        natural = {x: sum(r._tokens for r in rows if r[d] == x) for x in levels}
+        for x in levels:
+            target = natural[x] ** 0.7 / sum(n**0.7 for n in natural.values())
+            assert abs(sum(r._tokens * r._probability for r in rows if r[d] == x) / drawn / target - 1) < 0.005
+
+
 def test_empty_table(no_docs):
+    assert raking.mix(no_docs, tolerance=0.001).count() == 0
     assert raking.mix(no_docs).count() == 0
 
 
