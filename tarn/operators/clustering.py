@@ -1,8 +1,8 @@
 """Cluster-based reduction: outliers, proportional allocation, sub-groups, representatives.
 
-Centres are fitted on bounded draws (FIT_ROWS rows, and SUB_ROWS or four per
-sub-group in a cluster); every row is then assigned where it lies, so no cluster
-is ever held by one task.
+Centres are fitted on all rows, in rounds that sum where the rows lie; a draw
+(SUB_ROWS rows, or four per sub-group in a cluster) only gives the sub-groups'
+first centres. No cluster is ever held by one task.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType
 
-from tarn.operators.drawing import check_size, placed, subsample
+from tarn.operators.drawing import check_size, placed
 from tarn.operators.ordered import quantiles
 from tarn.operators.stratified import allocate
 
 # Fixed values of the reduction.
 MIN_PER_CLUSTER, LEAST_BASE, MOST_BASE, OUTLIER_SHARE, OUTLIER_LEAST_ROWS = 30, 5, 50, 0.001, 10
-FIT_ROWS, SUB_ROWS, LLOYD_ROUNDS = 50_000, 2_000, 12
+SUB_ROWS, LLOYD_ROUNDS = 2_000, 12
 
 
 @dataclass
@@ -73,13 +73,15 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray, step: int = 1024) ->
     return own, near
 
 
-def fit_centres(df: DataFrame, k: int, key: Sequence[str], seed: int) -> np.ndarray:
-    """k-means centres of ``features`` by MLlib, on a uniform draw of at most FIT_ROWS rows."""
+def fit_centres(df: DataFrame, k: int, seed: int) -> np.ndarray:
+    """k-means centres of the ``features`` of all rows, by MLlib."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    drawn = subsample(df, FIT_ROWS, key, seed).select(array_to_vector("features").alias("features"))
-    return np.array(KMeans(k=max(2, k), seed=seed, maxIter=20).fit(drawn).clusterCenters()) if k > 1 else np.array([np.mean([r.features.toArray() for r in drawn.collect()], axis=0)])
+    if k > 1:
+        return np.array(KMeans(k=k, seed=seed, maxIter=20).fit(df.select(array_to_vector("features").alias("features"))).clusterCenters())
+    width = len(df.select("features").first().features)
+    return np.array([df.agg(*[F.avg(F.col("features")[i]) for i in range(width)]).first()], float)
 
 
 def points_of(column: pa.Array) -> np.ndarray:
@@ -111,7 +113,7 @@ def without_outliers(df: DataFrame, key: Sequence[str], seed: int = 0, share: fl
     rows = df.count()
     if rows < OUTLIER_LEAST_ROWS or share <= 0:
         return df, 0
-    centres = fit_centres(df, outlier_clusters(rows), key, seed)
+    centres = fit_centres(df, outlier_clusters(rows), seed)
     sizes = {r["_cluster"]: r["count"] for r in assign(df, centres).groupBy("_cluster").count().collect()}  # at most MOST_BASE rows
     held = [i for i in range(len(centres)) if sizes.get(i, 0) > max(1, share * rows)]
     far = assign(df, centres[held] if held else centres).persist()
@@ -152,10 +154,43 @@ def _sub_assign(centres: dict[int, np.ndarray]):
     return task
 
 
+def _sub_sums(centres: dict[int, np.ndarray]):
+    """Rows and summed features of each sub-group in a task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: np.zeros((len(x), x.shape[1] + 1)) for c, x in centres.items()}
+        for batch in batches:
+            if batch.num_rows:
+                points, cluster = points_of(batch.column("features")), batch.column("_cluster").to_numpy(zero_copy_only=False)
+                for c in np.unique(cluster):
+                    at = points[cluster == c]
+                    np.add.at(sums[int(c)], nearest_centre(at, centres[int(c)])[0], np.column_stack([np.ones(len(at)), at]))
+        for c, x in sums.items():
+            on = np.flatnonzero(x[:, 0])
+            rep = pa.array((c << 32) + on, pa.int64())
+            yield pa.RecordBatch.from_arrays([rep, pa.array(x[on].tolist(), pa.list_(pa.float64()))], names=["rep_id", "sums"])
+
+    return task
+
+
+def sub_lloyd(based: DataFrame, centres: dict[int, np.ndarray], width: int) -> dict[int, np.ndarray]:
+    """``centres`` of each cluster's sub-groups after k-means rounds over all rows; an empty one stays."""
+    for _ in range(LLOYD_ROUNDS):
+        parts = based.select("_cluster", "features").mapInArrow(_sub_sums(centres), "rep_id long, sums array<double>")
+        total = parts.groupBy("rep_id").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 1)]).alias("sums"))
+        moved = {c: x.copy() for c, x in centres.items()}
+        for r in total.collect():  # about n rows
+            moved[r.rep_id >> 32][r.rep_id & 0xFFFFFFFF] = np.array(r.sums[1:]) / r.sums[0]
+        if all(np.allclose(moved[c], centres[c]) for c in centres):
+            break
+        centres = moved
+    return centres
+
+
 def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int) -> tuple[DataFrame, int]:
     """``df`` with rep_id: base clusters split into about n groups by size; and how many clusters were lifted."""
     k = int(min(MOST_BASE, max(LEAST_BASE, round(n / max(floor, 1)))))
-    based = assign(df, fit_centres(df, min(k, max(1, df.count())), key, seed)).drop("_distance").persist()
+    based = assign(df, fit_centres(df, min(k, max(1, df.count())), seed)).drop("_distance").persist()
     sizes = based.groupBy("_cluster").agg(F.count("*").alias("size"))
     alloc = floored_allocation(sizes, n, ["_cluster"], floor).select(F.col("_cluster").alias("_of"), "alloc", "lifted").persist()
     lifted = alloc.agg(F.count_if("lifted")).first()[0]
@@ -163,7 +198,8 @@ def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int)
     sample = drawn.filter(F.col("_place") <= F.greatest(F.lit(SUB_ROWS), 4 * F.col("alloc"))).select("_cluster", "alloc", "features")
     fitted = sample.groupBy("_cluster").applyInPandas(_sub_centres(seed), "_cluster int, centres array<double>").collect()  # about n centres
     width = len(df.select("features").first().features)
-    centres = {r["_cluster"]: np.array(r.centres).reshape(-1, width) for r in fitted}
+    first = {r["_cluster"]: np.array(r.centres).reshape(-1, width) for r in fitted}
+    centres = sub_lloyd(based, first, width)
     schema = StructType([*based.schema.fields, StructField("rep_id", LongType())])
     return based.mapInArrow(_sub_assign(centres), schema).drop("_cluster"), lifted
 

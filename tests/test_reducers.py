@@ -150,3 +150,20 @@ def test_limit_errors(values, limits, mode):
 def test_limit_text_errors(text):
     with pytest.raises(ValueError):
         vocabulary.parse_limits(text)
+
+
+def test_subgroups_are_fitted_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "SUB_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x), float(y)]) for i, (x, y) in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "k long, features array<double>")
+    found = clustering.subgroups(df, 60, ["k"], 0, 30)[0].collect()
+    points, rep = np.array([r.features for r in found]), np.array([r.rep_id for r in found])
+    spread = sum(((points[rep == g] - points[rep == g].mean(0)) ** 2).sum() for g in np.unique(rep))
+    best = clustering.lloyd(points, len(np.unique(rep)), 0)
+    assert spread < 1.25 * (clustering.nearest_centre(points, best)[1] ** 2).sum()
+
+
+def test_centres_are_means_of_all_rows(spark):
+    df = spark.createDataFrame([(i, [float(i % 7)]) for i in range(60_000)], "k long, features array<double>")
+    assert abs(clustering.fit_centres(df, 1, 0)[0][0] - np.mean([i % 7 for i in range(60_000)])) < 1e-9
