@@ -11,7 +11,9 @@ and packed once more across groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from zlib import crc32
 
@@ -29,7 +31,9 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 GROUP_ROWS = 20_000
-KEPT_UNITS = 120_000  # in each of a worker's two generations
+KEPT_UNITS = 400_000  # in each of a worker's two generations, about 50 bytes each
+UNITS_AT_ONCE = 1000
+CHUNK_BYTES = 4 << 20
 SIGNS = b",.!?;:#%&*$()-"
 OTHER_KIND = 8
 FULL_ENOUGH = 0.995
@@ -44,27 +48,74 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@dataclass
+class UnitTable:
+    """Units by hash, ascending: a second hash, and where and how many their ids are in ``flat``."""
+
+    key: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    check: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each unit is or would be, and which of them are here."""
+        at = np.searchsorted(self.key, key)
+        there = np.minimum(at, max(0, len(self.key) - 1))
+        return at, (self.key[there] == key) & (self.check[there] == check) if len(self.key) else np.zeros(len(key), bool)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the units at these places, one after the other."""
+        size = self.size[at]
+        return self.flat[np.repeat(self.start[at], size) + runs(size)]
+
+    def add(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Take units in that are not here, keys ascending; of two with one key the first stays."""
+        at = np.searchsorted(self.key, key)
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        if len(self.key):
+            new &= self.key[np.minimum(at, len(self.key) - 1)] != key
+        start = np.cumsum(size) - size + len(self.flat)
+        self.flat = np.concatenate([self.flat, flat])
+        self.key, self.check = np.insert(self.key, at[new], key[new]), np.insert(self.check, at[new], check[new])
+        self.start, self.size = np.insert(self.start, at[new], start[new]), np.insert(self.size, at[new], size[new])
+
+
 class KnownUnits:
     """Ids of units already encoded, in two generations: the older one is dropped when the newer is full."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.new, self.old = _tokenizer(path), {}, {}
-
-    def __call__(self, units: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each unit."""
-        if len(self.new) > KEPT_UNITS:
-            self.old, self.new = self.new, {}
-        fresh = []
-        for u in units:
-            if u not in self.new:
-                if (ids := self.old.get(u)) is None:
-                    fresh.append(u)
-                else:
-                    self.new[u] = ids
-        if fresh:
-            coded = self.tokenizer.encode_batch([u.decode("utf-8", "replace") for u in fresh], add_special_tokens=False)
-            self.new.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(fresh, coded, strict=True))
-        return [self.new[u] for u in units]
+        self.tokenizer, self.new, self.old = _tokenizer(path), UnitTable(), UnitTable()
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each unit, one after the other, and how many each has."""
+        # Many units make one input of separate words: one result for all, not one for each.
+        lists = [units[a : a + UNITS_AT_ONCE] for a in range(0, len(units), UNITS_AT_ONCE)]
+        coded = self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)
+        sizes = [np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) for e, part in zip(coded, lists, strict=True)]
+        return np.concatenate([np.array(e.ids, np.uint32) for e in coded]), np.concatenate(sizes)
+
+    def __call__(self, key: np.ndarray, check: np.ndarray, units: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of units given by two hashes, keys ascending; ``units`` gives the texts at some places."""
+        if len(self.new.key) > KEPT_UNITS:
+            self.old, self.new = self.new, UnitTable()
+        _, known = self.new.find(key, check)
+        at, older = self.old.find(key, check)
+        older &= ~known
+        if older.any():
+            self.new.add(key[older], check[older], self.old.size[at[older]], self.old.ids(at[older]))
+        fresh = np.flatnonzero(~known & ~older)
+        if len(fresh):
+            flat, size = self.encode(units(fresh))
+            self.new.add(key[fresh], check[fresh], size, flat)
+        at, known = self.new.find(key, check)
+        start, size = self.new.start[np.where(known, at, 0)], self.new.size[np.where(known, at, 0)]
+        if known.all():
+            return self.new.flat, start, size
+        other = np.flatnonzero(~known)  # a unit whose key another one holds is encoded each time
+        extra, extra_size = self.encode(units(other))
+        start[other], size[other] = len(self.new.flat) + np.cumsum(extra_size) - extra_size, extra_size
+        return np.concatenate([self.new.flat, extra]), start, size
 
 
 known_units = lru_cache(maxsize=2)(KnownUnits)
@@ -109,16 +160,17 @@ def word_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarr
         return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
     key, check = _unit_keys(data, start, end - start)
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    if (check != check[first][which]).any():  # two units of one hash: compare by both
+    if (check != check[first][which]).any():  # two units of one hash: tell them apart by both
         _, first, which = np.unique(np.stack([key, check], axis=1), axis=0, return_index=True, return_inverse=True)
         which = which.ravel()
     raw = data.tobytes()
-    ids = known_units(path)([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    at = np.cumsum(size) - size
+
+    def texts(at: np.ndarray) -> list[str]:
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[at]].tolist(), end[first[at]].tolist(), strict=True)]
+
+    flat, place, size = known_units(path)(key[first], check[first], texts)
     per_unit = size[which]
-    out = flat[np.repeat(at[which], per_unit) + runs(per_unit)]
+    out = flat[np.repeat(place[which], per_unit) + runs(per_unit)]
     ends = np.concatenate([[0], np.cumsum(per_unit)])
     return out, np.diff(ends[np.searchsorted(start, offsets)])
 
@@ -138,34 +190,36 @@ def _unit_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[n
     return low, high
 
 
-def pieces_of(column: pa.Array, path: str, capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, piece, start, length, ids) of every piece of every text."""
-    data, offsets = utf8(column)
-    for a, b in chunks(offsets):
-        ids, count = word_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path)
-        at = np.cumsum(count) - count
-        for row in range(b - a):
-            own = np.append(ids[at[row] : at[row] + count[row]], np.uint32(end_id))
-            for piece, start in enumerate(range(0, len(own), capacity)):
-                part = own[start : start + capacity]
-                yield a + row, piece, start, len(part), part
+def _pieces(ids: np.ndarray, count: np.ndarray, capacity: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids with ends, row, piece, start, length): every row's ids and ``end_id``, cut every ``capacity`` ids."""
+    whole = count + 1
+    ended = np.full(int(whole.sum()), end_id, "<u4")
+    ended[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
+    per_row = -(-whole // capacity)
+    row, piece = np.repeat(np.arange(len(count)), per_row), runs(per_row)
+    return ended, row, piece, piece * capacity, np.minimum(capacity, whole[row] - piece * capacity)
 
 
 def _pieces_task(path: str, capacity: int, end_id: int, keep_ids: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         for batch in batches:
-            row, piece, start, length, ids = zip(*pieces_of(batch.column(1), path, capacity, end_id), strict=True) if batch.num_rows else ((),) * 5
-            raw = [x.astype("<u4").tobytes() for x in ids]
-            columns = {
-                "doc_id": batch.column(0).take(pa.array(row, pa.int64())),
-                "piece": pa.array(piece, pa.int32()),
-                "start": pa.array(start, pa.int64()),
-                "length": pa.array(length, pa.int64()),
-                "ids_crc32": pa.array([crc32(x) for x in raw], pa.int64()),
-            }
-            if keep_ids:
-                columns["ids"] = pa.array(raw, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            data, offsets = utf8(batch.column(1))
+            for a, b in chunks(offsets, CHUNK_BYTES):
+                ids, count = word_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path)
+                ended, row, piece, start, length = _pieces(ids, count, capacity, end_id)
+                cut = np.cumsum(length)
+                raw = [ended[i:j].tobytes() for i, j in zip((cut - length).tolist(), cut.tolist(), strict=True)]
+                columns = {
+                    "doc_id": batch.column(0).take(pa.array(a + row)),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int64()),
+                    "ids_crc32": pa.array([crc32(x) for x in raw], pa.int64()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.array(raw, pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return task
 

@@ -101,8 +101,13 @@ def test_known_units_drop_the_older_generation(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_UNITS", 3)
     known = packing.KnownUnits(tokenizer_path())
     for text in ("a b c d e", "a x y z", "b q"):
-        units = [w.encode() for w in text.split()]
-        assert [np.frombuffer(x, "<u4").tolist() for x in known(units)] == [tokens(w)[:-1] for w in text.split()]
+        words = sorted(text.split())
+        key = np.array([ord(w) for w in words], np.uint64)
+        flat, start, size = known(key, key + np.uint64(1), lambda at, words=words: [words[i] for i in at])
+        assert [flat[a : a + n].tolist() for a, n in zip(start, size, strict=True)] == [tokens(w)[:-1] for w in words]
+    # Another unit with the key of "b" is not taken for it.
+    flat, start, size = known(np.array([ord("b")], np.uint64), np.array([7], np.uint64), lambda at: ["zebra"])
+    assert flat[start[0] : start[0] + size[0]].tolist() == tokens("zebra")[:-1]
 
 
 def test_empty_table(no_docs):
