@@ -3,120 +3,40 @@
 Two 64-bit fingerprints that differ in at most two bits share at least six of
 their eight positional bytes, and so at least two of the four byte pairs
 (0,1) (2,3) (4,5) (6,7). A posting list is kept for every choice of two byte
-pairs and the four byte values found there; inside a list the shared positional
-bytes of each pair are tallied, pairs below six are dropped and the rest are
-verified by counting bits. Only a spanning forest of each list leaves it.
+pairs and the four byte values found there. Inside a list the shared positional
+bytes of each pair are tallied, pairs that reach six are kept, and only these are
+verified by their bits. A list of very many fingerprints is split by further byte
+positions instead: its members are posted once more under every choice of two of
+their other bytes, so that meeting there is the tally, and such a list holds
+65536 fingerprints at most. Only a spanning forest of each list leaves it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.buffers import chunks, runs, tidy, utf8, words_at
+from tarn.llm.buffers import chunks, tidy, utf8
 from tarn.llm.components import components
 from tarn.llm.scratch import write_table
+from tarn.llm.shingles import shingles, xxh64
+from tarn.llm.wordhash import mix
 
-SEED = 42
 MAX_BITS = 2
-MIN_SHARED_BYTES = 8 - MAX_BITS
-LONG_SHINGLE = 256
+POSITIONS = 8
+LEAST_SHARED = POSITIONS - MAX_BITS
 SMALL_LIST = 48
-BLOCK = 2048
+LONG_LIST = 1024
 
 U = np.uint64
-# Fixed values of the public XXH64 algorithm.
-P1, P2, P3, P4, P5 = (
-    U(11400714785074694791),
-    U(14029467366897019727),
-    U(1609587929392839161),
-    U(9650029242287828579),
-    U(2870177450012600261),
-)
-
-
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << U(r)) | (x >> U(64 - r))
-
-
-def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
-    return _rotl(acc + lane * P2, 31) * P1
-
-
-def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of the slices ``data[start : start + length]``, all at once."""
-    data = np.concatenate([data, np.zeros(8, np.uint8)])
-    q8, q4 = words_at(data, 8), words_at(data, 4)
-    h = np.empty(len(start), np.uint64)
-    at, left = start.astype(np.int64).copy(), length.astype(np.int64).copy()
-    long = left > LONG_SHINGLE
-    for i in np.flatnonzero(long):
-        h[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + left[i]].tobytes(), seed)
-    left[long] = 0
-    h[~long] = U(seed) + P5
-    striped = np.flatnonzero(left >= 32)
-    if len(striped):
-        s, n = at[striped], left[striped] // 32
-        acc = [np.full(len(s), U((seed + add) % 2**64)) for add in (int(P1) + int(P2), int(P2), 0, -int(P1))]
-        for r in range(int(n.max())):
-            on = np.flatnonzero(n > r)
-            for lane in range(4):
-                acc[lane][on] = _round(acc[lane][on], q8[s[on] + 32 * r + 8 * lane].astype(np.uint64))
-        merged = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
-        for lane in acc:
-            merged = (merged ^ _round(np.zeros_like(lane), lane)) * P1 + P4
-        h[striped] = merged
-        at[striped] += 32 * n
-        left[striped] -= 32 * n
-    h[~long] += length[~long].astype(np.uint64)
-    while len(on := np.flatnonzero(left >= 8)):
-        h[on] = _rotl(h[on] ^ _round(np.zeros(len(on), np.uint64), q8[at[on]].astype(np.uint64)), 27) * P1 + P4
-        at[on] += 8
-        left[on] -= 8
-    if len(on := np.flatnonzero(left >= 4)):
-        h[on] = _rotl(h[on] ^ (q4[at[on]].astype(np.uint64) * P1), 23) * P2 + P3
-        at[on] += 4
-        left[on] -= 4
-    while len(on := np.flatnonzero(left > 0)):
-        h[on] = _rotl(h[on] ^ (data[at[on]].astype(np.uint64) * P5), 11) * P1
-        at[on] += 1
-        left[on] -= 1
-    final = h.copy()
-    final ^= final >> U(33)
-    final *= P2
-    final ^= final >> U(29)
-    final *= P3
-    final ^= final >> U(32)
-    return np.where(long, h, final)
-
-
-def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised bytes, start and length of every shingle, and shingles per row."""
-    data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
-    solid = (data != 32) & ((data < 9) | (data > 13))
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
-    begins = np.flatnonzero(solid & (~before | edge[:-1]))
-    after = np.concatenate([solid[1:], [False]]) if len(data) else solid
-    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    size = ends - begins
-    flat = np.full(int(size.sum()) + len(size), 32, np.uint8)
-    flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[solid]
-    at = np.cumsum(size + 1) - (size + 1)
-    first = np.searchsorted(begins, offsets)
-    count = np.diff(first)
-    per_row = np.where(count >= words, count - words + 1, np.minimum(count, 1))
-    head = np.repeat(first[:-1], per_row) + runs(per_row)
-    tail = head + np.repeat(np.minimum(count, words), per_row) - 1
-    start = at[head]
-    return flat, start, at[tail] + size[tail] - start, per_row
+PAIRS_OF_BYTES = [(0, 1), (2, 3), (4, 5), (6, 7)]
+# The byte positions of a posting's key: two of the four byte pairs.
+KEYS = [a + b for a, b in combinations(PAIRS_OF_BYTES, 2)]
 
 
 def _ones(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -166,13 +86,14 @@ def simhash(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(_with_fingerprint(words)), f"doc_id {kind}, fp long")
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs share enough positional bytes and differ in few enough bits."""
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally: how many positional bytes the fingerprints share."""
     x = a ^ b
-    shared = np.zeros(x.shape, np.uint8)
-    for byte in range(8):
-        shared += (x >> U(8 * byte)) & U(255) == 0
-    return (shared >= MIN_SHARED_BYTES) & (np.bitwise_count(x) <= MAX_BITS)
+    return sum(((x >> U(8 * byte)) & U(255) == 0).astype(np.uint8) for byte in range(POSITIONS))
+
+
+def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= MAX_BITS
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int, root: np.ndarray | None = None) -> np.ndarray:
@@ -189,47 +110,134 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int, root: np.ndarray | None = None
             root = up
 
 
+def _lists(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lists of equal ``keys``, which stand side by side, begin, and their sizes."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return first, np.diff(np.append(first, len(keys)))
+
+
 def link_lists(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forest links inside posting lists: equal ``keys`` stand side by side."""
-    n = len(keys)
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if n else np.zeros(1, int)
-    size = np.diff(cut)
-    root = np.arange(n)
+    """Forest links inside lists of four shared bytes: tally the bytes of each pair, keep six and more, verify."""
+    n, root = len(keys), np.arange(len(keys))
+    first, size = _lists(keys)
     small = np.repeat(size <= SMALL_LIST, size)
     for d in range(1, int(size[size <= SMALL_LIST].max(initial=1))):
         i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
-        i = i[close_pairs(fps[i], fps[i + d])]
+        i = i[shared_bytes(fps[i], fps[i + d]) >= LEAST_SHARED]
+        i = i[verified(fps[i], fps[i + d])]
         root = _forest(i, i + d, n, root)
-    for g in np.flatnonzero(size > SMALL_LIST):
-        for i in range(cut[g], cut[g + 1], BLOCK):
-            for j in range(i, cut[g + 1], BLOCK):
-                left, right = fps[i : min(i + BLOCK, cut[g + 1])], fps[j : min(j + BLOCK, cut[g + 1])]
-                p, q = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= MAX_BITS)
-                keep = close_pairs(left[p], right[q])
-                root = _forest(p[keep] + i, q[keep] + j, n, root)
+    for a, m in zip(first[size > SMALL_LIST].tolist(), size[size > SMALL_LIST].tolist(), strict=True):
+        own = fps[a : a + m]
+        p, q = np.nonzero(np.triu(shared_bytes(own[:, None], own[None, :]) >= LEAST_SHARED, 1))
+        keep = verified(own[p], own[q])
+        root = _forest(p[keep] + a, q[keep] + a, n, root)
     linked = np.flatnonzero(root != np.arange(n))
     return fps[linked], fps[root[linked]]
 
 
-def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (slot, key, fp) rows in, forest links out; a list may span batches."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def split_links(keys: np.ndarray, fps: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest links inside lists of six shared bytes, which are in the tally by their key alone; ``positions`` are the other two.
 
-    def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = link_lists(k, f)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    Of the 16 bits left every way to change two at most is looked up, so the work grows with the list.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, m in zip(*(x.tolist() for x in _lists(keys)), strict=True):
+        own = np.sort(fps[a : a + m])
+        bits = [U(1) << U(8 * byte + bit) for byte in range(POSITIONS) if positions[a] >> byte & 1 for bit in range(8)]
+        root = np.arange(m)
+        for change in [*bits, *(x | y for x, y in combinations(bits, 2))]:
+            other = own ^ change
+            at = np.minimum(np.searchsorted(own, other), m - 1)
+            i = np.flatnonzero(own[at] == other)
+            root = _forest(i, at[i], m, root)
+        linked = np.flatnonzero(root != np.arange(m))
+        out.append((own[linked], own[root[linked]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (fps, fps)
+
+
+def _reposted(fps: np.ndarray, key_positions: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, positions left, fp) under every choice of two more byte positions."""
+    free = [p for p in range(POSITIONS) if p not in key_positions]
+    keys, lefts, out = [], [], []
+    for left in combinations(free, 2):
+        mask = U(sum(255 << (8 * p) for p in range(POSITIONS) if p not in left))
+        bits = sum(1 << p for p in left)
+        keys.append(mix((fps & mask) ^ mix(np.array([bits], U))))
+        lefts.append(np.full(len(fps), bits, np.int64))
+        out.append(fps)
+    return np.concatenate(keys), np.concatenate(lefts), np.concatenate(out)
+
+
+def _rows(a: np.ndarray, b: np.ndarray, key: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b), and postings for the second round as (fp, null, key, left)."""
+    gone = np.concatenate([np.zeros(len(b), bool), np.ones(len(key), bool)])
+    b, key, left = np.concatenate([b, np.zeros(len(key), U)]), np.concatenate([np.zeros(len(b), U), key]), np.concatenate([np.zeros(len(b), np.int64), left])
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64), mask=gone), pa.array(key.view(np.int64), mask=~gone), pa.array(left, mask=~gone)], names=["a", "b", "key", "left"])
+
+
+def whole_lists(links: Callable[..., pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Run ``links`` over whole lists of rows sorted by their first column; a list may span batches."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+        if not len(rows[0]):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [x[last:] for x in rows]
+        if last:
+            yield links(*[x[:last] for x in rows])
+    if held is not None:
+        yield links(*held)
+
+
+def _tally_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, choice, fp) sorted by key: links of lists up to LONG_LIST, and longer ones posted once more as they pass."""
+    none = np.zeros(0, U)
+    passing: int | None = None  # the key of a long list whose rows are being posted again
+    held = [np.zeros(0, np.int64)] * 3
+
+    def settle(keys: np.ndarray, choice: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, size = _lists(keys)
+        short = np.repeat(size <= LONG_LIST, size)
+        yield _rows(*link_lists(keys[short], fps[short]), none, np.zeros(0, np.int64))
+        for at, n in zip(first[size > LONG_LIST].tolist(), size[size > LONG_LIST].tolist(), strict=True):
+            key, left, again = _reposted(fps[at : at + n], KEYS[int(choice[at])])
+            yield _rows(again, none, key, left)
 
     for batch in batches:
-        k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-        f = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if not len(k):
+        fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        keys, choice, fps = (np.concatenate(x) for x in zip(held, fresh, strict=True))
+        if not len(keys):
             continue
-        last = int(np.searchsorted(-(k != k[-1]).astype(int), 0)) if k[0] != k[-1] else 0
-        held_k, held_f = k[last:], f[last:]
+        if passing is not None:
+            done = int(np.searchsorted(keys, passing, side="right"))
+            if done:
+                key, left, again = _reposted(fps[:done].view(U), KEYS[int(choice[0])])
+                yield _rows(again, none, key, left)
+            keys, choice, fps = keys[done:], choice[done:], fps[done:]
+            passing = None if len(keys) else passing
+        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if last:
-            yield links(k[:last], f[:last])
-    if len(held_k):
-        yield links(held_k, held_f)
+            yield from settle(keys[:last], choice[:last], fps[:last].view(U))
+        held = [keys[last:], choice[last:], fps[last:]]
+        if len(held[0]) > LONG_LIST:  # never held whole
+            passing = int(held[0][0])
+            key, left, again = _reposted(held[2].view(U), KEYS[int(held[1][0])])
+            yield _rows(again, none, key, left)
+            held = [np.zeros(0, np.int64)] * 3
+    if len(held[0]):
+        yield from settle(held[0], held[1], held[2].view(U))
+
+
+def _split_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, left, fp) sorted by key: links of the split lists."""
+
+    def links(keys: np.ndarray, left: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = split_links(keys, fps.view(U), left)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return whole_lists(links, batches)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -243,276 +251,15 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     fps = write_table(simhash(docs, words), "simhash")
     # Copies share a fingerprint: they meet once, as one row, before any pairing.
     distinct = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    pair = [0xFFFF << (16 * i) for i in range(4)]
-    masks = [(pair[i] | pair[j]) for i, j in combinations(range(4), 2)]
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    posting = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    lists = distinct.select(F.explode(posting).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    links = write_table(lists.mapInArrow(tidy(_link_task), "a long, b long").distinct(), "simhash-links")
+    masks = [sum(255 << (8 * p) for p in positions) for positions in KEYS]
+    posting = [F.struct(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m))).alias("key"), F.lit(i).cast("long").alias("choice")) for i, m in enumerate(masks)]
+    lists = distinct.select(F.explode(F.array(*posting)).alias("p"), "fp").select("p.key", "p.choice", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    met = write_table(lists.mapInArrow(tidy(_tally_task), "a long, b long, key long, left long"), "simhash-tally")
+    again = met.filter(F.col("key").isNotNull()).select("key", "left", F.col("a").alias("fp")).repartition("key").sortWithinPartitions("key", "fp")
+    split = again.mapInArrow(tidy(_split_task), "a long, b long")
+    links = write_table(met.filter(F.col("b").isNotNull()).select("a", "b").union(split).distinct(), "simhash-links")
     roots = components(links)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     groups = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(groups, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-INDEX_SHARED_BYTES = 2
-CANDIDATE_BITS = 12
-SHORT_LIST = 16
-SKETCH = 8  # longs of parity bits for each set of shingles
-ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5000, 3, 1 << 17  # only order the shingles: any order finds all pairs
-PARTNERS = 1  # of each member of a longer list in the first round: chains join a group, the next round finds it whole
-MORE_PARTNERS = 8  # times as many in every further round
-
-
-def _groups_task(links):
-    """Run ``links`` over whole lists of rows sorted by their first column; a list may span batches."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
-            if not len(rows[0]):
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            held = [x[last:] for x in rows]
-            if last:
-                yield links(*[x[:last] for x in rows])
-        if held is not None:
-            yield links(*held)
-
-    return task
-
-
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which fingerprints share enough positional bytes and lie within CANDIDATE_BITS."""
-    x = a ^ b
-    shared = sum(((x >> U(8 * byte)) & U(255) == 0).astype(np.uint8) for byte in range(8))
-    return (np.bitwise_count(x) <= CANDIDATE_BITS) & (shared >= INDEX_SHARED_BYTES)
-
-
-def _may_be_alike(similarity: float):
-    """Which sets (size, parity bits) can have that Jaccard similarity; none that has it is left out.
-
-    Elements in one of two sets only are at least as many as the parity bits that differ.
-    """
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = a[..., 0].astype(np.int64), b[..., 0].astype(np.int64)
-        apart = sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int64) for k in range(1, a.shape[-1]))
-        return (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (apart <= (x + y) * (1 - similarity) / (1 + similarity) + 1e-6)
-
-    return near
-
-
-def _list_partners(fps: np.ndarray, roots: np.ndarray, partners: int, near) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
-    """For each member of one list its first ``partners`` near members of other roots, and whether any has more."""
-    left, right, more = [], [], False
-    if (roots == roots[0]).all():
-        return left, right, more
-    for i in range(0, len(fps), 512):
-        rows = np.arange(i, min(i + 512, len(fps)))
-        taken = np.zeros(len(rows), np.int64)
-        for j in range(0, int(rows[-1]) + 1, BLOCK):
-            others = np.arange(j, min(j + BLOCK, int(rows[-1]) + 1))
-            hit = near(fps[rows][:, None], fps[others][None, :]) & (roots[rows][:, None] != roots[others][None, :]) & (others[None, :] < rows[:, None])
-            r, o = np.nonzero(hit)
-            count = np.bincount(r, minlength=len(rows))
-            place = np.arange(len(r)) - (np.cumsum(count) - count)[r] + taken[r]
-            left.append(others[o[place < partners]])
-            right.append(rows[r[place < partners]])
-            taken += count
-            more |= bool((taken > partners).any())
-            rows, taken = rows[taken <= partners], taken[taken <= partners]
-            if not len(rows):
-                break
-    return left, right, more
-
-
-def candidate_pairs(partners: int, near=_near):
-    """Pairs (a, b) within posting lists that are ``near`` and not yet known to be connected.
-
-    A short list gives all of them. In a longer one every member is given its
-    first ``partners``; a list in which a member has more of them is given
-    back whole, as rows (a, b null, key, fp), for another round. ``near`` is given
-    fp, or, where there are further columns, fp and these along the last axis.
-    """
-
-    def links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, *sketch: np.ndarray) -> pa.RecordBatch:
-        bits = np.stack([fps, *sketch], axis=1).view(np.uint64) if sketch else fps.view(np.uint64)
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        size = np.diff(cut)
-        short = np.repeat(size <= SHORT_LIST, size)
-        left, right, again = [], [], []
-        for d in range(1, int(size[size <= SHORT_LIST].max(initial=1))):
-            i = np.flatnonzero((keys[d:] == keys[:-d]) & (roots[d:] != roots[:-d]) & short[d:])
-            i = i[near(bits[i], bits[i + d])]
-            left.append(i)
-            right.append(i + d)
-        for g in np.flatnonzero(size > SHORT_LIST):
-            a, b, more = _list_partners(bits[cut[g] : cut[g + 1]], roots[cut[g] : cut[g + 1]], partners, near)
-            left += [x + cut[g] for x in a]
-            right += [x + cut[g] for x in b]
-            if more:
-                again.append(np.arange(cut[g], cut[g + 1]))
-        a, b, rest = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, again))
-        a, b = ids[a], ids[b]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        none = pa.nulls(len(pairs), pa.int64())
-        columns = [(pairs[:, 0], ids[rest]), (pairs[:, 1], None), (None, keys[rest]), *[(None, x[rest]) for x in (fps, *sketch)]]
-        gone = pa.nulls(len(rest), pa.int64())
-        made = [pa.concat_arrays([none if x is None else pa.array(x.copy()), gone if y is None else pa.array(y)]) for x, y in columns]
-        return pa.RecordBatch.from_arrays(made, names=["a", "b", "key", "fp", *[f"s{k}" for k in range(len(sketch))]])
-
-    return links
-
-
-def shared_lists(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """The rows of posting lists with more than one member."""
-    same = keys[1:] == keys[:-1]
-    on = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(ids[on])], names=["key", "rep"])
-
-
-def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles."""
-    data, offsets = utf8(column)
-    sets: list[np.ndarray] = []
-    for a, b in chunks(offsets):
-        flat, start, size, per_row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-        sets += [np.unique(h) for h in np.split(xxh64(flat, start, size).view(np.int64), np.cumsum(per_row)[:-1])]
-    return sets
-
-
-def _sets_task(words: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sets(batch.column(1), words), pa.list_(pa.int64()))], names=["id", "grams"])
-
-    return task
-
-
-def prefix(grams: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first of the ``grams`` in one order for all sets, rare ones ahead of ``common`` ones.
-
-    Two sets of that Jaccard similarity have ``similarity`` times the size of either
-    in common, so the first element they share is among the first of both.
-    """
-    size = len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1 if len(grams) else 0
-    at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
-    often = common[at] == grams if len(common) else np.zeros(len(grams), bool)
-    last = grams[often][np.argsort(rank[at[often]])]
-    return np.concatenate([grams[~often], last])[:size]
-
-
-def parity(grams: np.ndarray) -> np.ndarray:
-    """For each of 64 x SKETCH slices of the hashes whether an odd number of the ``grams`` is in it."""
-    odd = np.bincount((grams.view(U) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _marks_task(words: int, similarity: float, shared):
-    """(doc_id, text, text_hash, text_hash_2) in; size, parity bits and prefix of the set of shingles instead of the text out."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
-        for batch in batches:
-            sets = _sets(batch.column(1), words)
-            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, SKETCH)
-            heads = pa.array([prefix(x, similarity, common, rank) for x in sets], pa.list_(pa.int64()))
-            made = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array(bits[:, k].copy()) for k in range(SKETCH)], heads]
-            names = ["doc_id", "text_hash", "text_hash_2", "size", *[f"s{k}" for k in range(SKETCH)], "head"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=names)
-
-    return task
-
-
-def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles found in several of some ORDER_TEXTS texts, sorted by hash, and their place by frequency."""
-    share = min(1.0, ORDER_TEXTS / max(1, rows.count()))
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text")
-    grams = some.mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>").select(F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "gram").limit(ORDER_MOST)
-    common = np.array([r.gram for r in often.collect()], np.int64)  # most frequent first; at most ORDER_MOST
-    order = np.argsort(common)
-    return common[order], -order
-
-
-def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
-    both = (
-        pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-        .join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-        .withColumn("same", F.size(F.array_intersect("x", "y")))
-    )
-    every = F.size("x") + F.size("y") - F.col("same")
-    return both.filter((every > 0) & (F.col("same") >= F.lit(similarity) * every)).select("a", "b")
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs`` with a doc_id: groups of texts alike in ``words``-word shingles.
-
-    Equal texts meet first, as one row. Each text is posted under the prefix of its
-    set of shingles (64-bit hashes): two sets of that Jaccard similarity share one
-    posting at least, however the texts were edited. Pairs in a posting list whose
-    sizes and parity bits allow the similarity are compared exactly by their sets.
-    Texts without words are alike only if equal.
-
-    Lists with many near members are compared in rounds: each round gives their
-    members more partners, but none that is in the same group by then. The last
-    round leaves no near pair that is neither compared nor inside one group.
-    """
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = F.coalesce("text", F.lit(""))
-    hashed = rows.withColumns({"text_hash": F.xxhash64(text), "text_hash_2": F.xxhash64(F.lit(1), text)})
-    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
-    sketch = [f"s{k}" for k in range(SKETCH)]
-    longs = ", ".join(f"{s} long" for s in sketch)
-    schema = f"doc_id long, text_hash long, text_hash_2 long, size long, {longs}, head array<long>"
-    marked = write_table(hashed.mapInArrow(tidy(_marks_task(words, similarity, shared)), schema), "similar-marks")
-    first = marked.groupBy("text_hash", "text_hash_2").agg(F.min(F.struct("doc_id", "size", *sketch, "head")).alias("row"))
-    texts = write_table(first.select("text_hash", "text_hash_2", F.col("row.doc_id").alias("rep"), "row.size", *[f"row.{s}" for s in sketch], "row.head"), "similar-texts")
-    posted = texts.select(F.explode("head").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
-    met = posted.mapInArrow(tidy(_groups_task(shared_lists)), "key long, rep long")
-    sized = texts.select("rep", F.col("size").alias("fp"), *sketch).dropDuplicates(["rep"])
-    lists = met.hint("merge").join(sized, "rep").select("key", "fp", "rep", F.col("rep").alias("root"), *sketch)
-    near = _may_be_alike(similarity)
-    grams = tried = links = None
-    partners = PARTNERS
-    while True:
-        # One order in all lists: two texts that meet in many of them make the same pair.
-        dealt = lists.repartition("key").sortWithinPartitions("key", "rep")
-        met = write_table(dealt.mapInArrow(tidy(_groups_task(candidate_pairs(partners, near))), f"a long, b long, key long, fp long, {longs}"), "similar-lists")
-        pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
-        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
-        if grams is None:
-            ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
-            # A merge join at every size: the ids grow with the corpus and are not to be broadcast.
-            held = rows.hint("merge").join(ids, "doc_id", "left_semi").mapInArrow(tidy(_sets_task(words)), "id long, grams array<long>")
-            grams = write_table(held.dropDuplicates(["id"]), "similar-shingles")
-        fresh = write_table(_alike(pairs, grams, similarity), "similar-links")
-        links = fresh if links is None else links.unionByName(fresh)
-        roots = components(links)
-        open_lists = met.filter(F.col("key").isNotNull()).select("key", "fp", F.col("a").alias("rep"), *sketch)
-        if open_lists.isEmpty():
-            break
-        lists = open_lists.join(roots, F.col("rep") == F.col("node"), "left").select("key", "fp", "rep", F.coalesce("root", "rep").alias("root"), *sketch)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        partners *= MORE_PARTNERS
-    named = texts.join(roots, F.col("rep") == F.col("node"), "left").select("text_hash", "text_hash_2", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(named, ["text_hash", "text_hash_2"]).select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of similar documents, all columns.
-
-    Rows without a doc_id are kept. Where rows repeat a doc_id and its text, one of them is kept.
-    """
-    found = similar_documents(docs, words, similarity)
-    first = write_table(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "similar-first")
-    rows = first.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    kept = docs.hint("merge").join(first.distinct(), "doc_id", "left_semi")
-    if rows.rows != rows.ids:
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import random
 import re
 
 import numpy as np
@@ -70,105 +69,34 @@ def test_links_within_two_bits_survive_large_lists(spark):
 def test_lists_may_span_batches():
     fps = np.array([8, 9, 11, 1 << 40, (1 << 40) + 1], np.uint64)
     keys = np.array([1, 1, 1, 2, 2])
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 1]), pa.array(fps[i : i + 1].view(np.int64))], names=["key", "fp"]) for i in range(5)]
-    links = [tuple(r.values()) for b in simhash._link_task(iter(batches)) for r in b.to_pylist()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 1]) for x in (keys, keys * 0, fps.view(np.int64))], names=["key", "choice", "fp"]) for i in range(5)]
+    links = [tuple(r.values()) for b in simhash._tally_task(iter(batches)) for r in b.to_pylist()]
     assert len(links) == 3
 
 
-def jaccard_groups(rows, k=5, least=0.8):
-    """Smallest id of each group of texts alike in k-word shingles, by comparing all pairs."""
-    sets = {}
-    for i, text in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets[i] = {" ".join(words[j : j + k]) for j in range(len(words) - k + 1)} or ({" ".join(words)} if words else {text or ""})
-    root = {i: i for i in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a in sets:
-            for b in sets:
-                if root[a] < root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
-                    root[b] = root[a]
-                    changed = True
-    return root
-
-
-def test_similar_documents_equal_brute_force(spark):
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5)))
-    rows = []
-    for base in range(25):
-        text = [word() for _ in range(rng.randint(60, 160))]
-        rows.append((base * 10, " ".join(text)))
-        for copy in range(1, 5):
-            changed = list(text)
-            for _ in range(rng.choice([0, 1, 2, 8])):
-                changed[rng.randrange(len(changed))] = word()
-            rows.append((base * 10 + copy, " ".join(changed)))
-    rows += [(900, ""), (901, ""), (902, "one two"), (903, "ONE  two"), (904, "one two three")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
-    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == jaccard_groups(rows)
-
-
-def test_similar_documents_equal_brute_force_for_added_and_cut_parts(spark):
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
-    rows = []
-    for base in range(40):
-        text = [word() for _ in range(rng.randint(60, 600))]
-        part = [word() for _ in range(int(len(text) * rng.uniform(0.15, 0.24)))]
-        copies = [text, text + part, part + text, text[: -len(part)], text[len(part) :]]
-        rows += [(base * 10 + i, " ".join(copy)) for i, copy in enumerate(copies)]
-    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id: r.component_id for r in found.collect()} == jaccard_groups(rows)
-
-
-def test_prefixes_and_parity_lose_no_pair_at_the_bound():
-    rng = np.random.default_rng(3)
-    for size in (1, 2, 5, 9, 90, 900):
-        whole = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
-        common, near = np.sort(whole[rng.random(size) < 0.5]), simhash._may_be_alike(0.8)
-        part = np.sort(rng.choice(whole, int(np.ceil(0.8 * size)), replace=False))
-        heads = [simhash.prefix(x, 0.8, common, np.arange(len(common))) for x in (whole, part)]
-        marks = [np.concatenate([[len(x)], simhash.parity(x)]).view(np.uint64) for x in (whole, part)]
-        assert set(heads[0].tolist()) & set(heads[1].tolist()) and near(*marks)
-
-
-def test_long_lists_give_partners_in_rounds():
-    fps = np.array([1 << 3, 0, 1, 3, 7] * 8, np.uint64) + (np.arange(40, dtype=np.uint64) << np.uint64(56))
-    ids, key = np.arange(40), np.zeros(40, np.int64)
-    every = {(a, b) for a in range(40) for b in range(a + 1, 40) if simhash._near(fps[[a]], fps[[b]])[0]}
-    found = simhash.candidate_pairs(3)(key, fps.view(np.int64), ids, ids).to_pylist()
-    pairs = {(r["a"], r["b"]) for r in found if r["key"] is None}
-    assert pairs < every and {b for _, b in pairs} == {b for _, b in every}
-    assert [r["a"] for r in found if r["key"] is not None] == ids.tolist()
-    found = simhash.candidate_pairs(40)(key, fps.view(np.int64), ids, ids % 2).to_pylist()
-    assert {(r["a"], r["b"]) for r in found} == {(a, b) for a, b in every if (a - b) % 2}
-    assert not simhash.candidate_pairs(3)(key, fps.view(np.int64), ids, ids * 0).num_rows
-
-
-def test_rounds_lose_no_link_in_large_groups(spark, monkeypatch):
-    rng = random.Random(4)
-    base = [f"w{rng.randrange(9999)}" for _ in range(400)]
-    rows = []
-    for i in range(120):  # near one another, but alike only along a chain
-        text = list(base)
-        for j in range(i % 40):
-            text[10 * j] = f"x{j}"
-        text[399] = f"y{i % 3}"
-        rows.append((i, " ".join(text)))
-    monkeypatch.setattr(simhash, "PARTNERS", 1)
-    monkeypatch.setattr(simhash, "MORE_PARTNERS", 2)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for least in (0.8, 0.97):
-        wanted = jaccard_groups(rows, least=least)
-        found = {r.doc_id: r.component_id for r in simhash.similar_documents(df, similarity=least).collect()}
-        assert found == wanted
-
-
-def test_empty_table_and_kept_rows(docs, no_docs):
+def test_long_lists_are_split_and_lose_no_link(monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_LIST", 6)
+    rng = np.random.default_rng(4)
+    base = np.uint64(0x1122334455667788)
+    fps = [base ^ np.uint64(1 << int(a) | 1 << int(b)) for a, b in rng.integers(32, 64, (60, 2))] + [base ^ np.uint64(x) for x in (3 << 40, 7 << 50, 15 << 33)]
+    fps += [np.uint64(x) for x in (5, 4, 9 << 60)]
+    fps = np.unique(np.array(fps, np.uint64))
+    postings = []
+    for choice, positions in enumerate(simhash.KEYS):
+        mask = np.uint64(sum(255 << (8 * p) for p in positions))
+        postings += [(hash((int(f & mask), choice)) >> 1, choice, int(f.view(np.int64))) for f in fps]
+    postings.sort()
+    columns = [np.array(c, np.int64) for c in zip(*postings, strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 5]) for c in columns], names=["key", "choice", "fp"]) for i in range(0, len(postings), 5)]
+    met = [r for b in simhash._tally_task(iter(batches)) for r in b.to_pylist()]
+    again = sorted((r["key"], r["left"], r["a"]) for r in met if r["key"] is not None)
+    assert again and all(n <= 65536 for n in (len(again),))
+    split = pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*again, strict=True)], names=["key", "left", "fp"])
+    links = [(r["a"], r["b"]) for r in met if r["b"] is not None] + [(r["a"], r["b"]) for b in simhash._split_task(iter([split])) for r in b.to_pylist()]
+    at = {int(f.view(np.int64)): i for i, f in enumerate(fps)}
+    root = simhash._forest(np.array([at[a] for a, _ in links]), np.array([at[b] for _, b in links]), len(fps))
+    assert root.tolist() == brute([(i, int(f)) for i, f in enumerate(fps)]).tolist()
+
+
+def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
-    assert len(kept) == len(set(kept))
-    assert 110 in kept and not {111, 112, 113, 114} & set(kept)
-    assert simhash.keep_one(no_docs).count() == 0
