@@ -8,21 +8,29 @@ from tarn.llm import raking, revisits
 
 
 def test_marginals_reach_their_targets(docs):
-    clashing = docs.withColumn("_kept", F.lit("x")).withColumn("tokens", F.lit(1)).withColumn("weight", F.lit(1))
-    targets = {"source": {"a": 1, "b": 1, "hot": 1, "(none)": 1}, "lang": {"en": 2, "de": 1, "fr": 0.1, "(none)": 1}}
-    out = raking.mix(clashing, targets=targets, dimensions=("source", "lang"), rounds=40, keep=0.2)
-    rows = out.select("_source", "_lang", "_tokens", "_ratio", "_probability", "_kept").collect()
-    assert len(rows) == docs.count() and all(0 <= r._probability <= 1 for r in rows)
-    total = sum(r._tokens * r._ratio for r in rows)
-    for level, share in (("a", 0.25), ("hot", 0.25)):
-        assert abs(sum(r._tokens * r._ratio for r in rows if r._source == level) / total - share) < 0.02
+    clashing = docs.withColumns({n: F.lit("x") for n in ("_kept", "_lang", "_source", "_topic", "_at_lang", "_gap", "tokens", "weight", "goal_lang", "at", "total")})
+    targets = {"source": {"a": 1, "b": 1, "hot": 0.1, "(none)": 1}, "lang": {"en": 2, "de": 1, "fr": 0.0001, "(none)": 1}}
+    out = raking.mix(clashing, targets=targets, dimensions=("source", "lang"), tolerance=0.01)
+    rows = out.select("_source", "_lang", "_tokens", "_ratio", "_probability", "_gap", "_kept", "tokens", "at", "total").collect()
+    assert len(rows) == docs.count() and all(0 <= r._probability <= 1 and r["total"] == r["at"] == r.tokens == "x" for r in rows)
+    drawn = sum(r._tokens * r._probability for r in rows)
+    assert all(r._gap <= 0.01 for r in rows)
+    for level, share in (("a", 1 / 3.1), ("hot", 0.1 / 3.1)):
+        assert abs(sum(r._tokens * r._probability for r in rows if r._source == level) / drawn - share) < 0.01
 
 
 def test_draws_depend_on_the_id_alone_and_keep_the_share(spark):
     df = spark.createDataFrame([(i, "w " * 10, "s", "en") for i in range(4000)], "doc_id long, text string, source string, lang string")
-    kept = [r.doc_id for r in raking.mix(df, keep=0.3, rounds=1).filter("_kept").collect()]
+    kept = [r.doc_id for r in raking.mix(df, keep=0.3).filter("_kept").collect()]
     assert abs(len(kept) - 1200) < 120
-    assert sorted(kept) == sorted(r.doc_id for r in raking.mix(df.repartition(7), keep=0.3, rounds=1).filter("_kept").collect())
+    assert sorted(kept) == sorted(r.doc_id for r in raking.mix(df.repartition(7), keep=0.3).filter("_kept").collect())
+
+
+@pytest.mark.filterwarnings("ignore:mixing")
+def test_targets_that_no_draw_meets_leave_a_gap(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2], "xy"[i % 2]) for i in range(100)], "doc_id long, text string, source string, lang string")
+    out = raking.mix(df, targets={"source": {"a": 1, "b": 3}, "lang": {"x": 3, "y": 1}}, dimensions=("source", "lang"))
+    assert out.first()["_gap"] > 0.1 and out.count() == 100
 
 
 def test_rows_equal_the_sql(spark, unique_docs):
@@ -48,7 +56,6 @@ def test_bounded_weights_reach_their_targets_with_few_tokens_of_a_level(spark):
 
 
 def test_empty_table(no_docs):
-    assert raking.mix(no_docs, tolerance=0.001).count() == 0
     assert raking.mix(no_docs).count() == 0
 
 
@@ -87,6 +94,14 @@ def test_outcomes(records, slice_rows):
     assert found[11].headers["etag"] == '"a"' and found[13].headers is None
 
 
+def test_a_popular_response_is_copied_for_its_revisits(spark):
+    rows = [(0, "http://a.b/", 1, "response", 200, '"e"', None, None, {"k": "v"})] + [(i, "http://a.b/", 1 + i, "revisit", 304, '"e"', None, None, {}) for i in range(1, 60)]
+    rows += [(100 + i, f"http://c{i}.d/", 5, "revisit", 304, '"e"', None, None, {}) for i in range(20)]
+    found = revisits.resolve_revisits(spark.createDataFrame(rows, RECORDS), hot_rows=10).collect()
+    assert len(found) == 79 and sum(r.refers_to == 0 and r.headers == {"k": "v"} for r in found) == 59
+    assert all(r.outcome == "no-response" for r in found if r.record_id >= 100)
+
+
 def test_repeated_rows_and_empty(records):
     assert revisits.resolve_revisits(records).filter("record_id = 18").count() == 2
     assert revisits.resolve_revisits(records.limit(0)).count() == 0
