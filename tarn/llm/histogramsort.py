@@ -20,7 +20,9 @@ from tarn.llm.scratch import write_table
 
 ROW_OVERHEAD = 16
 FAN_BITS = 10
-RUN_ROWS = 200_000
+RUN_ROWS = 1_000_000  # rows that one task numbers, about
+DIGEST_BITS, MOST_KEY = 60, 2**63 - 1
+MOST_HOT, CUTS = 1000, 256  # texts with more than that share of all rows are cut between their copies
 
 Key = tuple[int, int]
 
@@ -40,7 +42,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with _size, _crc, and the two parts of the sort key, _k0 and _k1."""
     text = F.coalesce(F.col("text"), F.lit(""))
     as_text = F.col("doc_id").cast("string")
-    return docs.withColumns(
+    return docs.drop("_of", "_part", "_ahead").withColumns(
         {
             "_size": (F.octet_length(text) + ROW_OVERHEAD).cast("long"),
             "_crc": F.crc32(text.cast("binary")),
@@ -102,7 +104,7 @@ def splitters(table: DataFrame, shards: int, tolerance: int = 0) -> list[Key]:
     return [s.high for s in wanted]
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, tolerance: int = 0) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, tolerance: int = 0, run_rows: int = RUN_ROWS) -> DataFrame:
     """``docs`` with _size, _crc, _shard and _slot (gapless from 0 in a shard).
 
     Law ``bytes``: in key order, a row is in shard floor(shards * bytes before it
@@ -111,25 +113,50 @@ def shard_documents(docs: DataFrame, shards: int = 40, tolerance: int = 0) -> Da
     besides its text. Rows that repeat both doc_id and text share one key and
     stay together; rows without a doc_id use the key of a null. An empty table
     gives an empty result. Clashing columns named _size, _crc, _k0, _k1, _run,
-    _shard, _slot are replaced; all others pass through.
+    _of, _part, _ahead, _shard, _slot are replaced or left out; all others pass through.
     """
     table = keyed(docs)
     keys = write_table(table.select("_size", "_k0", "_k1"), "shard-keys")
     bounds = splitters(keys, shards, tolerance)
-    shard = sum((_beyond(b).cast("int") for b in bounds), F.lit(0))
-    # A shard of very many rows is numbered in runs, so that no task holds it whole.
-    rows = keys.count()
-    run_count = max(1, -(-rows // (shards * RUN_ROWS)))
-    placed = table.withColumns({"_shard": shard, "_run": F.pmod(F.col("_k1"), F.lit(run_count))})
+    numbered = with_runs(table.withColumn("_shard", _passed(bounds)), keys, run_rows)
     order = Window.partitionBy("_shard", "_run").orderBy("_k0", "_k1")
-    if run_count == 1:
-        return placed.withColumn("_slot", (F.row_number().over(order) - 1).cast("long")).drop("_k0", "_k1", "_run")
-    sizes = keys.withColumns({"_shard": shard, "_run": F.pmod(F.col("_k1"), F.lit(run_count))}).groupBy("_shard", "_run").count()
-    before = F.sum("count").over(Window.partitionBy("_shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_shard", "_run", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = placed.withColumn("_place", (F.row_number().over(order) - 1).cast("long"))
-    return (
-        numbered.join(offsets, ["_shard", "_run"])
-        .withColumn("_slot", F.col("_before") + F.col("_place"))
-        .drop("_k0", "_k1", "_run", "_before", "_place")
-    )
+    placed = numbered.withColumn("_slot", (F.row_number().over(order) - 1).cast("long"))
+    if keys.count() > run_rows:
+        sizes = with_runs(keys.withColumn("_shard", _passed(bounds)), keys, run_rows).groupBy("_shard", "_run").count()
+        before = F.sum("count").over(Window.partitionBy("_shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sizes.select(F.col("_shard").alias("_of"), F.col("_run").alias("_part"), F.coalesce(before, F.lit(0)).alias("_ahead"))
+        met = placed.join(offsets, (F.col("_shard") == F.col("_of")) & (F.col("_run") == F.col("_part")))
+        placed = met.withColumn("_slot", F.col("_ahead") + F.col("_slot")).drop("_of", "_part", "_ahead")
+    return placed.drop("_k0", "_k1", "_run")
+
+
+def with_runs(df: DataFrame, keys: DataFrame, run_rows: int) -> DataFrame:
+    """``df`` with _run, which grows with the key and holds about ``run_rows`` rows: a shard is numbered run by run, by no task whole.
+
+    Digests are even, so their first bits cut them; the copies of a text with very
+    many of them are cut between sampled quantiles of the second part of the key.
+    """
+    rows = keys.count()
+    shift = DIGEST_BITS - max(0, rows // run_rows).bit_length()
+    least = max(run_rows, rows // MOST_HOT)
+    counts = keys.groupBy("_k0").count().filter(F.col("count") > least).select("_k0") if rows > run_rows else None
+    hot = sorted(r["_k0"] for r in counts.collect()) if counts is not None else []  # fewer than MOST_HOT
+    first = F.shiftright("_k0", shift)
+    if not hot:
+        return df.withColumn("_run", F.struct(first.alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")))
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = keys.join(F.broadcast(counts), "_k0").groupBy(F.col("_k0").alias("_of")).agg(F.percentile_approx("_k1", shares).alias("_part"))
+    place = _passed([(h, MOST_KEY) for h in hot]) * 2 + F.col("_k0").isin(hot).cast("int")
+    piece = F.coalesce(F.size(F.filter("_part", lambda c: c < F.col("_k1"))), F.lit(0))
+    met = df.join(F.broadcast(cuts), F.col("_k0") == F.col("_of"), "left")  # fewer than MOST_HOT rows of CUTS numbers
+    return met.withColumn("_run", F.struct(first.alias("a"), place.alias("b"), F.when(F.col("_of").isNull(), 0).otherwise(piece).alias("c"))).drop("_of", "_part")
+
+
+def _passed(bounds: list[Key]) -> Column:
+    """How many of the ``bounds`` a row's key lies beyond, by halving."""
+    if not bounds:
+        return F.lit(0)
+    if len(bounds) == 1:
+        return _beyond(bounds[0]).cast("int")
+    half = len(bounds) // 2
+    return F.when(_beyond(bounds[half]), _passed(bounds[half + 1 :]) + F.lit(half + 1)).otherwise(_passed(bounds[:half]))

@@ -23,17 +23,15 @@ def expected_shards(rows, shards):
 
 
 @pytest.mark.parametrize("run_rows", [200_000, 3])
-def test_shards_equal_brute_force(unique_docs, monkeypatch, run_rows):
-    monkeypatch.setattr(histogramsort, "RUN_ROWS", run_rows)
-    clashing = unique_docs.withColumn("_size", F.lit("x")).withColumn("_shard", F.lit(9))
-    found = histogramsort.shard_documents(clashing, shards=7).collect()
+def test_shards_equal_brute_force(unique_docs, run_rows):
+    clashing = unique_docs.withColumns({n: F.lit("x") for n in ("_size", "_before", "_place", "_of", "_run", "_k0")}).withColumn("_shard", F.lit(9))
+    found = histogramsort.shard_documents(clashing, shards=7, run_rows=run_rows).collect()
     wanted = expected_shards([(r.doc_id, r.text) for r in found], 7)
     assert {r.doc_id: (r._size, r._shard) for r in found} == {i: w[:2] for i, w in wanted.items()}
     for shard in range(7):
         slots = sorted(r._slot for r in found if r._shard == shard)
         assert slots == list(range(len(slots)))
-    if run_rows > 1000:
-        assert {r.doc_id: r._slot for r in found} == {i: w[2] for i, w in wanted.items()}
+    assert {r.doc_id: r._slot for r in found} == {i: w[2] for i, w in wanted.items()}
     assert all(r._crc == zlib.crc32((r.text or "").encode()) for r in found)
 
 
@@ -43,6 +41,14 @@ def test_one_text_with_most_rows_is_cut_between_copies(spark):
     assert len(counts) == 10 and max(counts.values()) - min(counts.values()) <= 6
 
 
+def test_slots_follow_the_key_where_a_text_is_cut_into_runs(spark):
+    rows = [(7 * i % 3001, "same text") for i in range(3001)] + [(9000 + i, f"other {i}") for i in range(150)] + [(5000 + i, "second text") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = histogramsort.shard_documents(df, shards=3, run_rows=100).collect()
+    wanted = expected_shards(rows, 3)
+    assert {r.doc_id: (r._size, r._shard, r._slot) for r in found} == wanted
+
+
 def test_tolerance_repeated_rows_and_empty(docs, no_docs):
     assert histogramsort.shard_documents(no_docs).count() == 0
     assert histogramsort.shard_documents(docs, shards=5, tolerance=4000).count() == docs.count()
