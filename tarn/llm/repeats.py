@@ -334,7 +334,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame,
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, rest) for every row of ``docs`` (doc_id, text).
 
-    ``rest`` is a struct of the row's ``carry`` columns and its text_is_null.
+    ``rest`` holds the row's text_is_null and, in ``carried``, its ``carry`` columns as c0, c1 and so on.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     earlier: in a smaller doc_id, or earlier in the same text. Texts are whole
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
         raise ValueError("length must be at least 16 and gram between 4 and length")
     ids = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     plain = ids.rows == ids.ids and dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
-    rows = docs.select("doc_id", "text", F.struct(F.col("doc_id"), F.col("text").isNull().alias("text_is_null"), *carry).alias("rest"))
+    rows = docs.select("doc_id", "text", F.struct(F.col("doc_id"), F.col("text").isNull().alias("text_is_null"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")).alias("rest"))
     if plain:
         texts = rows.select(F.col("doc_id").cast("long").alias("key"), "text", "rest")
     else:
@@ -375,8 +375,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
     cut = F.col("n_removed") > 0
     text = F.when(F.col("rest.text_is_null"), None).otherwise(F.when(cut, F.coalesce(whole, repaired)).otherwise(F.col("kept").cast("string")))
-    made = left.withColumn("_text", text).filter(~cut | (F.trim("_text") != ""))
-    out = made.select("doc_id", F.col("_text").alias("text"), *[F.col(f"rest.{c}").alias(c) for c in others], cut.alias("_cut"))
+    fields = [F.col(f"rest.carried.c{i}").alias(c) for i, c in enumerate(others)]
+    made = left.select("doc_id", text.alias("text"), cut.alias("cut"), F.struct(F.lit(0).alias("_"), *fields).alias("own")).filter(~F.col("cut") | (F.trim("text") != ""))
+    columns = {c: F.col(f"own.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own.n_chars"))
+    return made.select(*[columns[c].alias(c) for c in docs.columns])

@@ -11,8 +11,11 @@ LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_FALLBACK).rstrip("/")
+    """The session's ``spark.checkpoint.dir``; a local folder only where that is unset and there is one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

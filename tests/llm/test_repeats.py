@@ -99,3 +99,12 @@ def test_cut_keeps_rows_and_whole_characters(spark):
     out = {r.doc_id: r.text for r in repeats.cut_repeats(df).collect()}
     # The first text repeats itself from its second character on.
     assert set(out) == {1, 2, 3, 4} and out[3] is None and out[4] == "" and "�" not in "".join(x or "" for x in out.values())
+
+
+def test_cut_passes_clashing_columns_through(spark):
+    passage = "p" * 60 + "q" * 60
+    rows = [(1, passage, 120), (2, "x " + passage, 122), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({n: F.lit("k") for n in ("text_is_null", "_cut", "cut", "rest", "carried", "key", "own", "c0", "_text")})
+    out = {r.doc_id: r for r in repeats.cut_repeats(df).collect()}
+    assert out[1].text == passage and out[2].text == "x " and out[2].n_chars == 2 and out[3].text is None
+    assert all(r[n] == "k" for r in out.values() for n in ("text_is_null", "_cut", "rest", "own", "c0"))
