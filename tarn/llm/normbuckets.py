@@ -39,14 +39,15 @@ def _products(pair: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _first_pass(k: int):
     """For each query the k-th best product in the block, if it holds so many."""
 
-    def search(pair: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def search(pair: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         ids, vectors, queries, wanted = _products(pair, max(pair["dim"], pair["q_dim"]))
         products = wanted @ vectors.T  # whole numbers far below 2**53, so exact
         products[queries[:, None] == ids[None, :]] = -np.inf
         if products.shape[1] >= k:
             least = np.partition(products, products.shape[1] - k, axis=1)[:, -k]
             sure = np.isfinite(least)
-            yield queries[sure], queries[sure], least[sure].astype(np.int64)
+            rows = np.frombuffer(pair["q_rows"], np.int64)
+            yield rows[sure], queries[sure], queries[sure], least[sure].astype(np.int64)
 
     return search
 
@@ -73,21 +74,21 @@ def _chosen(own: np.ndarray, least: float, norms: np.ndarray, directions: np.nda
 
 
 def _pruned(k: int):
-    def search(pair: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def search(pair: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         ids, vectors, queries, armed = _products(pair, max(pair["dim"] + 1, pair["q_dim"]))
         floors, wanted, vectors = armed[:, 0], np.ascontiguousarray(armed[:, 1:]), np.ascontiguousarray(vectors[:, :-1])
         norms = np.sqrt((vectors * vectors).sum(1))
         by = np.argsort(-norms, kind="stable")
         ids, vectors, norms = ids[by], vectors[by], norms[by]
         directions = np.ascontiguousarray((vectors / np.where(norms > 0, norms, 1)[:, None]).T)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for query, least, own in zip(queries.tolist(), floors.tolist(), wanted, strict=True):
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for row, query, least, own in zip(np.frombuffer(pair["q_rows"], np.int64).tolist(), queries.tolist(), floors.tolist(), wanted, strict=True):
             at = _chosen(own, least, norms, directions)
             scores = (vectors if len(at) == len(ids) else vectors[at]) @ own
             keep = np.flatnonzero((scores >= least) & (ids[at] != query))
             at, scores = at[keep], scores[keep]
             top = V.top_rows(scores, ids[at], k)
-            out.append((np.full(len(top), query), ids[at[top]], scores[top].astype(np.int64)))
+            out.append((np.full(len(top), row), np.full(len(top), query), ids[at[top]], scores[top].astype(np.int64)))
         yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return search
@@ -101,7 +102,8 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector_column: str, every: i
     Vectors that are null or hold null or non-finite components take no part;
     of vectors of unequal length the shorter counts as zero beyond its end. Zero
     vectors take part and score 0. Ties go to smaller ids. Rows that repeat an
-    id are candidates each. Fewer than k candidates give all of them; an empty
+    id are candidates each, and queries each: their results stand under the same
+    query_id, each numbered from 1. Fewer than k candidates give all of them; an empty
     table gives an empty result.
     """
     table = V.usable(vectors, id_column, vector_column).withColumn("v", scaled(F.col("v"), factor))
@@ -110,14 +112,14 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector_column: str, every: i
     # Ranges of length are buckets; ids split a length that very many vectors share.
     ranged = table.repartitionByRange(slots, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
     buckets = write_table(V.packed(ranged, rows), "norm-buckets")
-    asked = table.filter(F.col("id") % every == 0).select("id", "v")
+    asked = table.filter(F.col("id") % every == 0).select("id", "row", "v")
     spread = V.slots_for(asked.count(), V.QUERY_ROWS)
     queries = V.packed(asked.repartition(spread, "id"), V.QUERY_ROWS)
     longest = buckets.orderBy(F.desc("longest"), "block").limit(1)
-    rows_schema = "query_id long, vec_id long, score long"
+    rows_schema = V.found_schema("long")
     first = V.pairs(longest.withColumn("block", F.lit(0).cast("long")), queries, 1).mapInArrow(tidy(V.search_task(_first_pass(k), pa.int64())), rows_schema)
-    floors = first.select(F.col("query_id").alias("id"), "score").distinct()
-    armed = asked.join(floors, "id", "left").select("id", F.concat(F.array(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))), "v").alias("v"))
+    floors = first.select(F.col("query_row").alias("row"), "score")
+    armed = asked.join(floors, "row", "left").select("id", "row", F.concat(F.array(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))), "v").alias("v"))
     ready = write_table(V.packed(armed.repartition(spread, "id"), V.QUERY_ROWS), "norm-queries")
     found = V.pairs(buckets, ready, slots).mapInArrow(tidy(V.search_task(_pruned(k), pa.int64())), rows_schema)
     return V.best(found, k)

@@ -19,14 +19,14 @@ from tarn.llm.buffers import tidy
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-BLOCK_SCHEMA = "block long, ids binary, vectors binary, dim long, longest double, shortest double"
+BLOCK_SCHEMA = "block long, ids binary, rows binary, vectors binary, dim long, longest double, shortest double"
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, v array<double>) of rows that have an id and a vector of finite components."""
+    """(id, row, v array<double>) of rows that have an id and a vector of finite components; ``row`` tells rows of one id apart."""
     v = F.col(vector_column).cast("array<double>")
     infinite = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~infinite)
+    return vectors.select(F.col(id_column).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~infinite)
 
 
 def length(v: Column) -> Column:
@@ -38,15 +38,15 @@ def _pack_task(rows: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
         count = 0
 
         def pack() -> pa.RecordBatch:
             nonlocal number
-            ids = np.concatenate([i for i, _ in held])
-            dim = max((len(x) for _, part in held for x in part), default=0)
+            ids, numbers = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            dim = max((len(x) for _, _, part in held for x in part), default=0)
             flat = np.zeros((len(ids), dim))
-            for row, x in enumerate(x for _, part in held for x in part):
+            for row, x in enumerate(x for _, _, part in held for x in part):
                 flat[row, : len(x)] = x
             norm = np.sqrt((flat * flat).sum(1))
             number += 1
@@ -54,6 +54,7 @@ def _pack_task(rows: int):
                 {
                     "block": [number],
                     "ids": [ids.tobytes()],
+                    "rows": [numbers.tobytes()],
                     "vectors": [flat.tobytes()],
                     "dim": [dim],
                     "longest": [float(norm.max())],
@@ -62,16 +63,16 @@ def _pack_task(rows: int):
             )
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            column = batch.column(1)
+            ids, numbers = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            column = batch.column(2)
             at = column.offsets.to_numpy()
             flat = column.values.to_numpy(zero_copy_only=False)
             parts = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             while len(parts):
                 take = rows - count
-                held.append((ids[:take], parts[:take]))
+                held.append((ids[:take], numbers[:take], parts[:take]))
                 count += len(parts[:take])
-                ids, parts = ids[take:], parts[take:]
+                ids, numbers, parts = ids[take:], numbers[take:], parts[take:]
                 if count == rows:
                     yield pack()
                     held, count = [], 0
@@ -83,7 +84,7 @@ def _pack_task(rows: int):
 
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
     """Blocks of at most ``rows`` vectors, in the row order of each partition."""
-    return vectors.select("id", "v").mapInArrow(tidy(_pack_task(rows)), BLOCK_SCHEMA)
+    return vectors.select("id", "row", "v").mapInArrow(tidy(_pack_task(rows)), BLOCK_SCHEMA)
 
 
 def matrix(vectors: bytes, dim: int, width: int) -> np.ndarray:
@@ -107,25 +108,30 @@ def slots_for(rows: int, block: int = BLOCK_ROWS) -> int:
     return max(1, -(-rows // block))
 
 
-Search = Callable[[dict], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+Search = Callable[[dict], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def found_schema(score: str) -> str:
+    return f"query_row long, query_id long, vec_id long, score {score}"
 
 
 def search_task(search: Search, score_type: pa.DataType):
-    """Run ``search`` on each pair of blocks; it yields query ids, candidate ids and scores."""
+    """Run ``search`` on each pair of blocks; it yields query rows, query ids, candidate ids and scores."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 pair = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                for q, c, s in search(pair):
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, score_type)], names=["query_id", "vec_id", "score"])
+                for r, q, c, s in search(pair):
+                    made = [pa.array(r, pa.int64()), pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, score_type)]
+                    yield pa.RecordBatch.from_arrays(made, names=["query_row", "query_id", "vec_id", "score"])
 
     return task
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query, ties to smaller ids, numbered from 1."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k highest scores of each query row, ties to smaller ids, numbered from 1."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

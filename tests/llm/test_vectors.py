@@ -54,16 +54,37 @@ def test_nearest_is_exact_on_small_blocks_and_scores_are_exact(vectors):
     assert all(abs(r.score - float(known[r.query_id] @ known[r.vec_id])) < 1e-9 for r in rows)
 
 
-def test_recall_with_pruning(spark):
+@pytest.mark.parametrize("lengths", [(1.0,), (0.5, 1.0, 2.0)])
+def test_recall_over_several_full_blocks_at_the_shipped_share(spark, lengths):
     rng = np.random.default_rng(0)
-    data = rng.normal(size=(3000, 32))
+    data = rng.normal(size=(12_500, 64))
     data /= np.linalg.norm(data, axis=1)[:, None]
+    data *= rng.choice(lengths, size=(len(data), 1))
+    data = data.astype(np.float32).astype(np.float64)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
     hit = total = 0
-    for q, found in permutations.nearest(df, "vec_id", "embedding", 50, 20, rows=1000).groupBy("query_id").agg(F.collect_set("vec_id")).collect():
-        near = np.argsort(-(data @ data[q]))[1:21]
-        hit, total = hit + len(set(near.tolist()) & set(found)), total + 20
-    assert hit / total >= 0.9
+    for q, found in permutations.nearest(df, "vec_id", "embedding", 200, 20).groupBy("query_id").agg(F.collect_set("vec_id")).collect():
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        hit, total = hit + len(set(np.argsort(-scores)[:20].tolist()) & set(found)), total + 20
+    assert hit / total >= 0.93
+
+
+def test_a_query_reads_the_postings_near_its_places():
+    place = np.array([[0, 1, 2], [1, 0, 1], [2, 2, 0]], np.int16)  # three pivots, three vectors
+    listed, begins = permutations.inverted(place)
+    assert listed.tolist() == [[0, 1, 2], [1, 0, 2], [2, 0, 1]] and begins[1].tolist() == [0, 1, 3, 3]
+    own = np.array([0, 1, 2], np.int16)
+    full = permutations.nearness(listed, begins, own, 3, 2, 3)
+    assert full.tolist() == (3 * 3 - np.abs(place - own[:, None]).sum(0)).tolist()
+    assert permutations.nearness(listed, begins, own, 1, 0, 3).tolist() == [1, 0, 0]
+
+
+@pytest.mark.parametrize("search", [normbuckets.exact_top_k, permutations.nearest])
+def test_rows_of_one_query_id_are_queries_each(spark, search):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    found = [(r.query_id, r["rank"], r.vec_id) for r in search(df, "vec_id", "embedding", 20, 5).collect()]
+    assert sorted(found) == [(0, 1, 1), (0, 1, 2), (0, 2, 1), (0, 2, 2)]
 
 
 def test_fewer_candidates_than_k_and_empty(spark):
