@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,30 @@ def scatter(df: DataFrame, reduced: DataFrame, key: Sequence[str], seed: int = 0
     return o.union(reduced.select(F.lit("reduced").alias("side"), *pc, point_size(F.col("_weight"), scale).alias("size")))
 
 
+def pair_scatter(original: DataFrame, reduced: DataFrame, pair: tuple[str, str], key: Sequence[str], seed: int = 0, limit: int = SCATTER_ROWS) -> DataFrame:
+    """(side, x, y, size) of one pair of columns: a draw of the original beside all representatives; rows without a value are left out."""
+    x, y = (F.col(c).cast("double") for c in pair)
+    there = x.isNotNull() & y.isNotNull()
+    scale = reduced.agg(F.avg("_weight")).first()[0] or 1.0
+    o = subsample(original.filter(there), limit, key, seed).select(F.lit("original").alias("side"), x.alias("x"), y.alias("y"), F.lit(2.0).alias("size"))
+    return o.union(reduced.filter(there).select(F.lit("reduced").alias("side"), x.alias("x"), y.alias("y"), point_size(F.col("_weight"), scale).alias("size")))
+
+
+def box_plots(original: DataFrame, reduced: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, side, least, low, q1, median, q3, high, most): quartiles, and whiskers within 1.5 times their distance."""
+    rows = []
+    for c in columns:
+        for side, df in (("original", original), ("reduced", reduced)):
+            q = quantiles(df, c, [0.25, 0.5, 0.75])
+            reach = 1.5 * ((q[0.75] or 0.0) - (q[0.25] or 0.0))
+            value = F.col(c).cast("double")
+            inside = value.between((q[0.25] or 0.0) - reach, (q[0.75] or 0.0) + reach)
+            ends = df.agg(F.min(value).alias("least"), F.min(F.when(inside, value)).alias("low"), F.max(F.when(inside, value)).alias("high"), F.max(value).alias("most"))
+            middle = [F.lit(q[s]).cast("double").alias(n) for s, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+            rows.append(ends.select(F.lit(c).alias("column"), F.lit(side).alias("side"), "least", "low", *middle, "high", "most"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def point_size(weight: Column, mean: float) -> Column:
     return F.least(F.lit(40.0), F.greatest(F.lit(2.0), 6 * weight / F.lit(mean)))
 

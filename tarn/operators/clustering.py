@@ -2,7 +2,8 @@
 
 Centres are fitted on all rows, in rounds that sum where the rows lie; a draw
 (SUB_ROWS rows, or four per sub-group in a cluster) only gives the sub-groups'
-first centres. No cluster is ever held by one task.
+first centres, and those of a cluster with very many sub-groups part by part. No
+cluster is ever held by one task.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType
 
-from tarn.operators.drawing import check_size, placed
+from tarn.operators.drawing import check_size, smallest_of_groups
 from tarn.operators.ordered import quantiles
 from tarn.operators.stratified import allocate
 
 # Fixed values of the reduction.
 MIN_PER_CLUSTER, LEAST_BASE, MOST_BASE, OUTLIER_SHARE, OUTLIER_LEAST_ROWS = 30, 5, 50, 0.001, 10
-SUB_ROWS, LLOYD_ROUNDS = 2_000, 12
+SUB_ROWS, LLOYD_ROUNDS, MOST_AT_ONCE = 2_000, 12, 128
+LEAST_GAIN = 0.01  # a round that lowers the squared distances by a smaller share is the last
 
 
 @dataclass
@@ -131,10 +133,19 @@ def floored_allocation(sizes: DataFrame, n: int, order: Sequence[str], floor: in
     return shared.withColumn("lifted", F.col("alloc") < least).withColumn("alloc", F.greatest("alloc", least))
 
 
+def first_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """About k centres; beyond MOST_AT_ONCE of parts of the points, each with its share of k."""
+    if k <= MOST_AT_ONCE:
+        return lloyd(points, k, seed)
+    parts = nearest_centre(points, lloyd(points, -(-k // MOST_AT_ONCE), seed))[0]
+    inside = [points[parts == part] for part in np.unique(parts)]
+    return np.concatenate([lloyd(x, max(1, round(k * len(x) / len(points))), seed) for x in inside])
+
+
 def _sub_centres(seed: int):
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         points = np.array(frame["features"].tolist())
-        centres = lloyd(points, int(frame["alloc"].iloc[0]), seed)
+        centres = first_centres(points, int(frame["_alloc"].iloc[0]), seed)
         return pd.DataFrame({"_cluster": int(frame["_cluster"].iloc[0]), "centres": [centres.ravel().tolist()]})
 
     return fit
@@ -155,16 +166,18 @@ def _sub_assign(centres: dict[int, np.ndarray]):
 
 
 def _sub_sums(centres: dict[int, np.ndarray]):
-    """Rows and summed features of each sub-group in a task."""
+    """Rows, summed features and summed squared distances of each sub-group in a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {c: np.zeros((len(x), x.shape[1] + 1)) for c, x in centres.items()}
+        sums = {c: np.zeros((len(x), x.shape[1] + 2)) for c, x in centres.items()}
         for batch in batches:
             if batch.num_rows:
                 points, cluster = points_of(batch.column("features")), batch.column("_cluster").to_numpy(zero_copy_only=False)
                 for c in np.unique(cluster):
                     at = points[cluster == c]
-                    np.add.at(sums[int(c)], nearest_centre(at, centres[int(c)])[0], np.column_stack([np.ones(len(at)), at]))
+                    own, near = nearest_centre(at, centres[int(c)])
+                    for k, x in enumerate([np.ones(len(at)), *at.T, near * near]):
+                        sums[int(c)][:, k] += np.bincount(own, x, minlength=len(sums[int(c)]))
         for c, x in sums.items():
             on = np.flatnonzero(x[:, 0])
             rep = pa.array((c << 32) + on, pa.int64())
@@ -175,33 +188,43 @@ def _sub_sums(centres: dict[int, np.ndarray]):
 
 def sub_lloyd(based: DataFrame, centres: dict[int, np.ndarray], width: int) -> dict[int, np.ndarray]:
     """``centres`` of each cluster's sub-groups after k-means rounds over all rows; an empty one stays."""
+    before = np.inf
     for _ in range(LLOYD_ROUNDS):
         parts = based.select("_cluster", "features").mapInArrow(_sub_sums(centres), "rep_id long, sums array<double>")
-        total = parts.groupBy("rep_id").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 1)]).alias("sums"))
-        moved = {c: x.copy() for c, x in centres.items()}
-        for r in total.collect():  # about n rows
-            moved[r.rep_id >> 32][r.rep_id & 0xFFFFFFFF] = np.array(r.sums[1:]) / r.sums[0]
-        if all(np.allclose(moved[c], centres[c]) for c in centres):
+        total = parts.groupBy("rep_id").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 2)]).alias("sums")).collect()  # about n rows
+        spread = sum(r.sums[-1] for r in total)
+        centres = {c: x.copy() for c, x in centres.items()}
+        for r in total:
+            centres[r.rep_id >> 32][r.rep_id & 0xFFFFFFFF] = np.array(r.sums[1:-1]) / r.sums[0]
+        if spread >= (1 - LEAST_GAIN) * before:
             break
-        centres = moved
+        before = spread
     return centres
 
 
-def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int) -> tuple[DataFrame, int]:
-    """``df`` with rep_id: base clusters split into about n groups by size; and how many clusters were lifted."""
-    k = int(min(MOST_BASE, max(LEAST_BASE, round(n / max(floor, 1)))))
-    based = assign(df, fit_centres(df, min(k, max(1, df.count())), seed)).drop("_distance").persist()
+def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int, known: dict[int, np.ndarray] | None = None) -> tuple[DataFrame, int]:
+    """``df`` with rep_id: base clusters split into about n groups by size; and how many clusters were lifted.
+
+    ``known`` holds base centres by their number; those fitted here are added. The result is persisted.
+    """
+    k = min(int(min(MOST_BASE, max(LEAST_BASE, round(n / max(floor, 1))))), max(1, df.count()))
+    known = {} if known is None else known
+    if k not in known:
+        known[k] = fit_centres(df, k, seed)
+    based = assign(df, known[k]).drop("_distance").persist()
     sizes = based.groupBy("_cluster").agg(F.count("*").alias("size"))
-    alloc = floored_allocation(sizes, n, ["_cluster"], floor).select(F.col("_cluster").alias("_of"), "alloc", "lifted").persist()
+    alloc = floored_allocation(sizes, n, ["_cluster"], floor).persist()  # at most MOST_BASE rows
     lifted = alloc.agg(F.count_if("lifted")).first()[0]
-    drawn = placed(based, ["_cluster"], key, seed).join(alloc, F.col("_cluster") == F.col("_of"))
-    sample = drawn.filter(F.col("_place") <= F.greatest(F.lit(SUB_ROWS), 4 * F.col("alloc"))).select("_cluster", "alloc", "features")
+    takes = alloc.select("_cluster", F.col("alloc").alias("_alloc"), F.greatest(F.lit(SUB_ROWS), 4 * F.col("alloc")).alias("_take"))
+    sample = smallest_of_groups(based, ["_cluster"], takes, key, seed).select("_cluster", "_alloc", "features")
     fitted = sample.groupBy("_cluster").applyInPandas(_sub_centres(seed), "_cluster int, centres array<double>").collect()  # about n centres
     width = len(df.select("features").first().features)
-    first = {r["_cluster"]: np.array(r.centres).reshape(-1, width) for r in fitted}
-    centres = sub_lloyd(based, first, width)
+    centres = sub_lloyd(based, {r["_cluster"]: np.array(r.centres).reshape(-1, width) for r in fitted}, width)
     schema = StructType([*based.schema.fields, StructField("rep_id", LongType())])
-    return based.mapInArrow(_sub_assign(centres), schema).drop("_cluster"), lifted
+    grouped = based.mapInArrow(_sub_assign(centres), schema).drop("_cluster").persist()
+    grouped.count()
+    based.unpersist(), alloc.unpersist()
+    return grouped, lifted
 
 
 def group_means(grouped: DataFrame, width: int) -> DataFrame:
@@ -233,18 +256,23 @@ def virtual_rows(grouped: DataFrame, columns: Sequence[str]) -> DataFrame:
     return grouped.groupBy("rep_id").agg(*parts, F.count("*").cast("double").alias("_weight"))
 
 
+def representatives(grouped: DataFrame, key: Sequence[str], virtual: bool) -> DataFrame:
+    """The rows that stand for the groups of ``grouped`` (with features and rep_id): members, or made-up ones."""
+    width = len(grouped.select("features").first().features)
+    means = group_means(grouped, width)
+    if not virtual:
+        return medoids(grouped, means, key)
+    plain = [c for c in grouped.columns if c not in ("features", "rep_id")]
+    return virtual_rows(grouped, plain).join(means.select("rep_id", F.col("centre").alias("features")), "rep_id").drop("rep_id")
+
+
+def notes_of(gone: int, lifted: int, floor: int = MIN_PER_CLUSTER) -> list[str]:
+    return [f"{gone} outliers left out"] * bool(gone) + [f"{lifted} rare clusters keep at least {floor} rows"] * bool(lifted)
+
+
 def cluster_reduce(df: DataFrame, n: int, key: Sequence[str], seed: int = 0, virtual: bool = False, floor: int = MIN_PER_CLUSTER, drop_outliers: bool = True) -> ClusterReduction:
     """About n representatives of ``df`` (with features); the weights and excluded rows add up to all rows."""
     n = check_size(n, df.count())
     live, gone = without_outliers(df, key, seed) if drop_outliers else (df, 0)
     grouped, lifted = subgroups(live, n, key, seed, floor)
-    grouped = grouped.persist()
-    notes = [f"{gone} outliers left out"] * bool(gone) + [f"{lifted} rare clusters keep at least {floor} rows"] * bool(lifted)
-    width = len(df.select("features").first().features)
-    means = group_means(grouped, width)
-    plain = [c for c in df.columns if c != "features"]
-    if virtual:
-        rows = virtual_rows(grouped, plain).join(means.select("rep_id", F.col("centre").alias("features")), "rep_id").drop("rep_id")
-    else:
-        rows = medoids(grouped, means, key)
-    return ClusterReduction(rows, grouped.select(*key, "rep_id"), gone, notes)
+    return ClusterReduction(representatives(grouped, key, virtual), grouped.select(*key, "rep_id"), gone, notes_of(gone, lifted, floor))

@@ -1,25 +1,32 @@
 """Exact-size draws: the rows with the smallest digests of each group.
 
-Digests are counted by their first characters; a row's place in its group is the
-count of the slices before it plus its place in its own slice. Groups of any size
-are spread over tasks, and the size of the draw is exact.
+Only digests are counted, by their first characters, until the characters that
+the last drawn row begins with hold few rows. Rows below them are taken by a
+filter; only the few rows that begin with them are ranked. Rows that are not
+drawn are neither exchanged nor sorted, and groups of any size stay spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions.expressions import composite_key, digest
 
-PREFIX = 3  # hexadecimal characters: 4096 slices a group
+PREFIX, DIGEST = 3, 32  # hexadecimal characters: 4096 slices a step
+EDGE_ROWS = 50_000  # rows that share the last drawn row's characters, at most, unless their digests are equal
+
+
+def drawn_by(df: DataFrame, key: Sequence[str], seed: int) -> Column:
+    """The digest that orders the rows of a draw."""
+    return digest(composite_key(df, list(key)), seed)
 
 
 def placed(df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
-    """``df`` with _place, from 1: each row's place in its group by digest, ties by key."""
+    """``df`` with _place, from 1: each row's place in its group by digest, ties by key. For narrow tables: all rows are ranked."""
     drawn = df.withColumn("_key", composite_key(df, list(key))).withColumn("_digest", digest(F.col("_key"), seed))
     drawn = drawn.withColumn("_slice", F.substring("_digest", 1, PREFIX))
     earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,13 +47,72 @@ def check_size(n: int, total: int) -> int:
     return min(n, total)
 
 
+def smallest(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> tuple[DataFrame, int]:
+    """The ``n`` rows of smallest digest (all, if fewer; ties by key), and how many rows there are."""
+    own = drawn_by(df, key, seed)
+    digests = df.select(own.alias("_digest"))
+    prefix, rest, total = "", n, None
+    while True:
+        length = len(prefix) + PREFIX
+        inside = digests.filter(F.col("_digest").startswith(prefix)) if prefix else digests
+        counts = inside.groupBy(F.substring("_digest", 1, length).alias("p")).count().orderBy("p").collect()  # 4096 rows at most
+        if total is None and rest >= (total := sum(r["count"] for r in counts)):
+            return df, total
+        for r in counts:
+            if r["count"] >= rest:
+                break
+            rest -= r["count"]
+        prefix = r.p
+        if r["count"] <= EDGE_ROWS or length + PREFIX > DIGEST:
+            break
+    below = df.filter(own < F.lit(prefix))
+    edge = df.filter(own.startswith(prefix)).withColumns({"_digest": own, "_key": composite_key(df, list(key))})
+    return below.union(edge.orderBy("_digest", "_key").limit(rest).select(*df.columns)), total
+
+
+def smallest_of_groups(df: DataFrame, groups: Sequence[str], takes: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """The rows of smallest digest of each group, as many as its row of ``takes`` (groups, _take) says; its other columns come along."""
+    own, named = drawn_by(df, key, seed), [f"_of_{g}" for g in groups]
+    carried = [c for c in takes.columns if c not in (*groups, "_take")]
+    digests = df.select(*[F.col(g).alias(n) for g, n in zip(groups, named, strict=True)], own.alias("_digest"))
+    edges = takes.select(*[F.col(g).alias(n) for g, n in zip(groups, named, strict=True)], *carried, F.col("_take").cast("long").alias("_rest"), F.lit("").alias("_prefix"))
+    by = Window.partitionBy(*named)
+    running = by.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+
+    def same(names: Sequence[str]) -> Column:
+        on = F.lit(True)
+        for a, b in zip(names, named, strict=True):
+            on = on & F.col(a).eqNullSafe(F.col(b))
+        return on
+
+    own_names = [f"_own{n}" for n in named]
+    digests = digests.withColumnsRenamed(dict(zip(named, own_names, strict=True)))
+    for length in range(PREFIX, DIGEST, PREFIX):
+        inside = digests.join(edges, same(own_names) & F.col("_digest").startswith(F.col("_prefix")))
+        counts = inside.groupBy(*named, *carried, "_rest", F.substring("_digest", 1, length).alias("p")).agg(F.count("*").alias("_n"))
+        counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(running), F.lit(0)), "_whole": F.sum("_n").over(by)})
+        upto = F.col("_before") + F.col("_n")
+        # The slice of the last drawn row; the group's last slice if all of it is drawn.
+        reached = counts.filter((F.col("_before") < F.col("_rest")) & ((upto >= F.col("_rest")) | (upto == F.col("_whole"))))
+        edges = reached.select(*named, *carried, (F.col("_rest") - F.col("_before")).alias("_rest"), F.col("p").alias("_prefix"), "_n").persist()
+        if (edges.agg(F.max("_n")).first()[0] or 0) <= EDGE_ROWS:
+            break
+        edges = edges.drop("_n")
+    met = df.withColumns({"_digest": own, "_key": composite_key(df, list(key))}).join(edges, same(groups))
+    met = met.filter(F.substring("_digest", F.lit(1), F.length("_prefix")) <= F.col("_prefix"))
+    below = ~F.col("_digest").startswith(F.col("_prefix"))
+    place = F.row_number().over(Window.partitionBy(*named).orderBy("_digest", "_key"))
+    ranked = met.filter(~below).withColumn("_place", place).filter(F.col("_place") <= F.col("_rest"))
+    return met.filter(below).select(*df.columns, *carried).union(ranked.select(*df.columns, *carried))
+
+
 def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """Exactly min(n, rows) rows without replacement, each with _weight = rows / n."""
-    total = df.count()
-    n = check_size(n, total)
-    return placed(df.withColumn("_all", F.lit(0)), ["_all"], key, seed).filter(F.col("_place") <= n).drop("_place", "_all").withColumn("_weight", F.lit(total / n if n else 0.0))
+    check_size(n, n)
+    drawn, total = smallest(df, n, key, seed)
+    return drawn.withColumn("_weight", F.lit(total / min(n, total) if total else 0.0))
 
 
 def subsample(df: DataFrame, limit: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """At most ``limit`` rows, drawn uniformly; smaller tables stay whole."""
-    return placed(df.withColumn("_all", F.lit(0)), ["_all"], key, seed).filter(F.col("_place") <= limit).drop("_place", "_all")
+    return smallest(df, limit, key, seed)[0]

@@ -1,33 +1,40 @@
 """Order statistics without a global sort in one task.
 
-Values are counted first, dealt into equal-width slices of their range, summed
+Values are counted first, dealt into slices between sampled quantiles, summed
 inside each slice by a window and shifted by the slices before it. One task sees
-the distinct values of one slice, never all rows.
+the distinct values of one slice, never all rows, however the values lie.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES = 1024
+SLICES, RANK_ERROR = 256, 0.0005
+
+
+def sliced(values: DataFrame, value: str) -> DataFrame:
+    """``values`` with _slice, a number that grows with ``value`` and holds about as many rows as any other."""
+    known = values.select(F.col(value).cast("double").alias("_sliced"))
+    found = known.approxQuantile("_sliced", [i / SLICES for i in range(1, SLICES)], RANK_ERROR)
+    splits = [-math.inf, *(sorted(set(filter(math.isfinite, found))) or [0.0]), math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_sliced", outputCol="_slice", handleInvalid="keep")
+    return cut.transform(values.withColumn("_sliced", F.col(value).cast("double"))).drop("_sliced")
 
 
 def cumulative(values: DataFrame, value: str, sums: Sequence[str]) -> DataFrame:
     """``values`` (one row per ``value``) with before_<sum> for each of ``sums``: the sum over smaller values."""
-    ends = values.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high")).first()
-    low, high = (ends.low or 0.0), (ends.high or 0.0)
-    wide = F.lit((high - low) or 1.0)
-    cut = F.least(F.floor((F.col(value).cast("double") - F.lit(low)) / wide * SLICES), F.lit(SLICES - 1)).alias("_slice")
-    sliced = values.withColumn("_slice", cut)
-    totals = sliced.groupBy("_slice").agg(*[F.sum(s).alias(f"_all_{s}") for s in sums])
+    dealt = sliced(values, value)
+    totals = dealt.groupBy("_slice").agg(*[F.sum(s).alias(f"_all_{s}") for s in sums])
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
     offsets = totals.select("_slice", *[F.coalesce(F.sum(f"_all_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums])
     inside = Window.partitionBy("_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    running = sliced.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums])
+    running = dealt.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums])
     joined = running.join(F.broadcast(offsets), "_slice")  # at most SLICES rows
     return joined.select(*values.columns, *[(F.col(f"_off_{s}") + F.col(f"_in_{s}")).alias(f"before_{s}") for s in sums])
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, IntegralType, NumericType, StringType, TimestampNTZType, TimestampType
-from pyspark.sql.window import Window
 
 # Fixed values of the kind rules.
 SAMPLE_ROWS, DATE_SAMPLE, DATE_SHARE = 5000, 200, 0.9
@@ -35,10 +34,14 @@ def datetime_share(df: DataFrame, column: str) -> DataFrame:
 
 
 def step_share(df: DataFrame, column: str) -> DataFrame:
-    """One row (share): how many neighbours of the sorted values differ by exactly 1."""
+    """One row (share): how many neighbours of the sorted values differ by exactly 1, without sorting them.
+
+    That is how many distinct values have their successor among the values.
+    """
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    step = F.col("v") - F.lag("v").over(Window.orderBy("v"))  # at most SAMPLE_ROWS rows
-    return values.select(step.alias("step")).filter(F.col("step").isNotNull()).agg(F.coalesce(F.avg((F.col("step") == 1).cast("int")), F.lit(0.0)).alias("share"))
+    distinct = values.distinct()
+    followed = distinct.join(distinct.select((F.col("v") - 1).alias("v")), "v", "left_semi").agg(F.count("*").alias("steps"))
+    return values.agg(F.count("*").alias("n")).crossJoin(followed).select(F.coalesce(F.try_divide("steps", F.col("n") - 1), F.lit(0.0)).alias("share"))  # one row each
 
 
 def is_identifier(ratio: float, rows: int, missing: int, named: bool, steps: float) -> bool:

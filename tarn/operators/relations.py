@@ -67,10 +67,10 @@ def scale_comparison(original: DataFrame, reduced: DataFrame) -> DataFrame:
     return n.crossJoin(m)  # one row each
 
 
-def causes(changes: DataFrame, without_outliers: DataFrame, threshold: float = EDGE, border: float = 0.05) -> DataFrame:
-    """(a, b, cause) of changed relations: outliers left out, closeness to the threshold, or the representatives."""
+def causes(changes: DataFrame, without_outliers: DataFrame, threshold: float = EDGE, margin: float = WEAKER, border: float = 0.05) -> DataFrame:
+    """(a, b, outcome, cause) of changed relations: outliers left out, closeness to the threshold, or the representatives."""
     clean = without_outliers.select("a", "b", F.col("r").alias("r_clean"))
-    joined = outcomes(changes, threshold).filter(F.col("outcome") != "kept").join(clean, ["a", "b"])
+    joined = outcomes(changes, threshold, margin).filter(F.col("outcome") != "kept").join(clean, ["a", "b"])
     outliers = F.abs(F.col("r_o") - F.col("r_clean")) >= 0.5 * F.col("gap")
     near = (F.abs(F.abs("r_o") - threshold) <= border) & F.col("outcome").isin("vanished", "new")
     return joined.select("a", "b", "outcome", F.when(outliers, "outliers left out").when(near, "near the threshold").otherwise("representatives").alias("cause"))

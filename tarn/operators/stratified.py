@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions.expressions import level
-from tarn.operators.drawing import check_size, placed
+from tarn.operators.drawing import check_size, smallest_of_groups
 
 LEVELS = (2, 50)  # fixed values: fewest and most levels of a stratification column
 
@@ -56,7 +56,5 @@ def stratified_sample(df: DataFrame, n: int, column: str, key: Sequence[str], se
     n = check_size(n, df.count())
     levelled = df.withColumn("_stratum", level(column))
     sizes = levelled.groupBy("_stratum").agg(F.count("*").alias("size"))
-    alloc = allocate(sizes, n, ["_stratum"]).select(F.col("_stratum").alias("_of"), "size", "alloc")
-    drawn = placed(levelled, ["_stratum"], key, seed)
-    kept = drawn.join(alloc, F.col("_stratum") == F.col("_of")).filter(F.col("_place") <= F.col("alloc"))
-    return kept.withColumn("_weight", F.col("size") / F.col("alloc")).select(*df.columns, "_weight")
+    takes = allocate(sizes, n, ["_stratum"]).select("_stratum", F.col("alloc").alias("_take"), (F.col("size") / F.col("alloc")).alias("_weight"))
+    return smallest_of_groups(levelled, ["_stratum"], takes, key, seed).select(*df.columns, "_weight")

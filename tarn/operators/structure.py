@@ -73,12 +73,13 @@ def nearest_distances(points: DataFrame, targets: DataFrame, key: Sequence[str])
     return points.select(*names, "features").mapInPandas(measure, schema)
 
 
-def coverage(original: DataFrame, reduced: DataFrame, key: Sequence[str], seed: int = 0, limit: int = COVERAGE_ROWS) -> dict[str, float]:
-    """Distances of a draw of the original to the reduced side, against a random draw of equal size."""
+def coverage(original: DataFrame, reduced: DataFrame, key: Sequence[str], seed: int = 0, limit: int = COVERAGE_ROWS, drawn: DataFrame | None = None) -> dict[str, float]:
+    """Distances of a draw of the original (``drawn``, if there is one) to the reduced side, against a random draw of equal size."""
     size = reduced.count()
     if not size:
         raise ValueError("the reduced side is empty")
-    drawn = subsample(original, limit, key, seed).persist()
+    held = drawn is not None
+    drawn = drawn if held else subsample(original, limit, key, seed).persist()
     own = nearest_distances(drawn, reduced, key).persist()
     base = nearest_distances(drawn, random_sample(original, size, key, seed + 1), key)
     mean, fair = own.agg(F.avg("distance")).first()[0], base.agg(F.avg("distance")).first()[0]
@@ -86,7 +87,9 @@ def coverage(original: DataFrame, reduced: DataFrame, key: Sequence[str], seed:
     scale = fair if fair > 1e-12 else 1.0
     p95 = quantiles(own, "distance", [0.95])[0.95]
     sampled = drawn.count()
-    drawn.unpersist(), own.unpersist()
+    own.unpersist()
+    if not held:
+        drawn.unpersist()
     return {"score": round(100 * min(1.0, ratio), 1), "mean_distance": round(mean / scale, 4), "p95_distance": round(p95 / scale, 4), "vs_random": round(ratio, 4), "sampled": sampled}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.expressions import level
 from tarn.operators import catfidelity, charts, clustering, drawing, features, fidelity, ordered, profile, relations, stratified, structure, units, vocabulary
-from tarn.plans import search
+from tarn.plans import cli, search
 from tarn.sources import delimited, reports, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder that driver and executors share; a local one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tarn-{name}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/tarn-{name}"
 
 
 # --- SQL parts -------------------------------------------------------------
@@ -53,7 +55,13 @@ UNITS = """units AS (SELECT unit, arg_min(stratum, (l_linenumber, l_partkey, l_s
   count(*) AS rows, count(DISTINCT stratum) AS mixed FROM keyed GROUP BY unit)"""
 DRAWN = """drawn AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || unit), unit) AS place,
   count(*) OVER (PARTITION BY stratum) AS n FROM units)"""
-TAKEN = "taken AS (SELECT unit, stratum, rows, mixed FROM drawn WHERE place <= least(n, greatest(1, round_even(n * 0.1, 0)::BIGINT)))"
+
+
+def taken_sql(ratio: float) -> str:
+    return f"taken AS (SELECT unit, stratum, rows, mixed FROM drawn WHERE place <= least(n, greatest(1, round_even(n * {ratio}, 0)::BIGINT)))"
+
+
+TAKEN = taken_sql(RATIO)
 KEPT = """kept AS (SELECT k.*, t.total / l.kept_rows AS w FROM keyed k SEMI JOIN taken USING (unit)
   JOIN (SELECT stratum, count(*)::DOUBLE AS total FROM keyed GROUP BY stratum) t USING (stratum)
   JOIN (SELECT stratum, count(*) AS kept_rows FROM keyed SEMI JOIN taken USING (unit) GROUP BY stratum) l USING (stratum))"""
@@ -226,7 +234,7 @@ def limit_sample(spark, sf_dir):
 SELECT value, round(rows / (SELECT sum(rows) FROM c)::DOUBLE, 6) AS orig_ratio, round(rows / (SELECT sum(rows) FROM t)::DOUBLE, 6) AS ratio_after_limit, rows FROM t"""
 )
 def limit_report(spark, sf_dir):
-    return vocabulary.limit_values(read(spark, sf_dir, "part"), {"p_brand": 5})[1][0].kept
+    return vocabulary.limit_values(read(spark, sf_dir, "part"), {"p_brand": 5})[1].select(F.inline("kept"))
 
 
 @query(
@@ -318,7 +326,7 @@ def corr_preservation(spark, sf_dir):
     return fidelity.correlation_preservation(changes_of(spark, sf_dir))
 
 
-@query("SELECT 'same' AS a, 'l_quantity' AS b, 0.0::DOUBLE AS r")
+@query("SELECT 'same' AS a, 'l_quantity' AS b, CASE WHEN stddev_pop(same) = 0 OR stddev_pop(l_quantity) = 0 THEN 0.0::DOUBLE ELSE corr(same, l_quantity) END AS r FROM (SELECT *, 1.5::DOUBLE AS same FROM lineitem)")
 def corr_constant_guard(spark, sf_dir):
     return fidelity.correlation_edges(read(spark, sf_dir, "lineitem").withColumn("same", F.lit(1.5)), ["same", "l_quantity"])
 
@@ -333,6 +341,7 @@ SCORES = " UNION ALL ".join(column_sql(f"{c}::VARCHAR", c) for c in COLUMNS)
 COMBOS = [["l_returnflag", "l_linestatus"], ["l_returnflag", "l_linenumber"]]
 COMBO_SCORES = " UNION ALL ".join(column_sql(f"{a}::VARCHAR || chr(31) || {b}::VARCHAR", f"{a}+{b}") for a, b in COMBOS)
 AGAIN = "again AS (SELECT unit, count(*) AS rows FROM kept GROUP BY unit)"
+COMBO_SCORE = column_sql("l_returnflag || chr(31) || l_linestatus", "x")
 SIZES = f"""{ks_sql('SELECT rows::DOUBLE AS v FROM units', 'SELECT rows::DOUBLE FROM again')},
 size AS (SELECT round(100 * (1 - least(1, ks)), 1) AS score, round(ks, 4) AS ks, (SELECT round(avg(rows), 3) FROM units) AS mean_orig, (SELECT round(avg(rows), 3) FROM again) AS mean_reduced,
   (SELECT max(rows) FROM units) AS max_orig, (SELECT max(rows) FROM again) AS max_reduced FROM ks)"""
@@ -353,10 +362,11 @@ def unit_size_score(spark, sf_dir):
     return catfidelity.unit_size_score(*units_of(spark, sf_dir), UNIT, STRATA, ORDER)
 
 
-@query(
-    f"""{UNIT_PARTS}, {AGAIN}, {SIZES}, c AS (SELECT round(avg(score), 1) AS s FROM ({SCORES})), k AS (SELECT round(avg(score), 1) AS s FROM ({column_sql("l_returnflag || chr(31) || l_linestatus", "x")}))
-SELECT round((c.s + k.s + size.score) / 3, 1) AS total, c.s AS columns, k.s AS combos, size.score AS unit_size FROM c, k, size"""
-)
+TOTALS = f"""c AS (SELECT round(avg(score), 1) AS s FROM ({SCORES})), k AS (SELECT round(avg(score), 1) AS s FROM ({COMBO_SCORE})),
+totals AS (SELECT round((c.s + k.s + size.score) / 3, 1) AS total, c.s AS columns, k.s AS combos, size.score AS unit_size FROM c, k, size)"""
+
+
+@query(f"{UNIT_PARTS}, {AGAIN}, {SIZES}, {TOTALS} SELECT * FROM totals")
 def grouped_similarity(spark, sf_dir):
     return catfidelity.grouped_similarity(*units_of(spark, sf_dir), COLUMNS, UNIT, STRATA, ORDER)
 
@@ -384,12 +394,12 @@ PROFILES = {
 
 @query(
     " UNION ALL ".join(
-        f"SELECT {i} AS position, '{c}' AS name, '{k}' AS kind, '{t}' AS dtype, round(count(DISTINCT {c}) / count({c})::DOUBLE, 4) AS unique_ratio, round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_ratio, {k != 'identifier'} AS selected FROM (SELECT * FROM customer LIMIT 5000)"
+        f"SELECT {i} AS position, '{c}' AS name, '{k}' AS kind, '{t}' AS dtype, round(count(DISTINCT {c}) / count({c})::DOUBLE, 4) AS unique_ratio, round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_ratio, {k != 'identifier'} AS selected FROM customer"
         for i, (c, (k, t)) in enumerate(PROFILES.items())
     )
 )
 def classify_columns(spark, sf_dir):
-    return profile.classify(read(spark, sf_dir, "customer")).drop("reason")
+    return profile.classify(read(spark, sf_dir, "customer"), sample_rows=None).drop("reason")
 
 
 @query("SELECT avg(CASE WHEN s = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS share FROM (SELECT p_partkey - lag(p_partkey) OVER (ORDER BY p_partkey) AS s FROM part) WHERE s IS NOT NULL")
@@ -397,7 +407,7 @@ def integer_id(spark, sf_dir):
     return profile.step_share(read(spark, sf_dir, "part"), "p_partkey")
 
 
-@query("SELECT 1.0::DOUBLE AS share")
+@query("SELECT avg(CASE WHEN try_strptime(day, '%Y/%m/%d') IS NULL THEN 0.0 ELSE 1.0 END)::DOUBLE AS share FROM (SELECT year(o_orderdate) || '/' || month(o_orderdate) || '/' || day(o_orderdate) AS day FROM orders)")
 def datetime_share(spark, sf_dir):
     days = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy/M/d").alias("day"))
     return profile.datetime_share(days, "day")
@@ -424,7 +434,7 @@ def drop_missing(spark, sf_dir):
 
 @query("SELECT unnest(['c_nationkey', 'c_acctbal', 'c_mktsegment']) AS name")
 def default_selection(spark, sf_dir):
-    return profile.classify(read(spark, sf_dir, "customer")).filter("selected").select("name")
+    return profile.classify(read(spark, sf_dir, "customer"), sample_rows=None).filter("selected").select("name")
 
 
 @query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS z FROM orders")
@@ -565,7 +575,13 @@ def reduce_lineitem(spark, sf_dir):
     return attempt_frame(spark, search.choose_method(p, first.size)[1])
 
 
-@query()
+RATIO_TOTALS = " UNION ALL ".join(
+    f"SELECT {r}::DOUBLE AS ratio, (SELECT count(*) FROM (WITH {KEYED}, {UNITS}, {DRAWN}, {taken_sql(r)} SELECT unit FROM taken)) AS units_kept, total FROM (WITH {KEYED}, {UNITS}, {DRAWN}, {taken_sql(r)}, {KEPT}, {AGAIN}, {SIZES}, {TOTALS} SELECT total FROM totals)"
+    for r in search.RATIOS
+)
+
+
+@query(f"WITH tried AS ({RATIO_TOTALS}) SELECT * FROM tried WHERE ratio = coalesce((SELECT min(ratio) FROM tried WHERE total >= {search.TARGET}), (SELECT max(ratio) FROM tried))")
 def ratio_search(spark, sf_dir):
     made = search.search_ratio(read(spark, sf_dir, "lineitem"), UNIT, STRATA, ORDER, COLUMNS)
     return spark.createDataFrame([(made.ratio, made.reduction.units_kept, made.scores["total"])], "ratio double, units_kept long, total double")
@@ -688,44 +704,317 @@ def change_causes(spark, sf_dir):
     line, _ = units_of(spark, sf_dir)
     edge = ordered.quantiles(line, "l_extendedprice", [0.999])[0.999]
     clean = fidelity.correlation_edges(line.filter(F.col("l_extendedprice") <= edge), NUMBERS)
-    return relations.causes(changes_of(spark, sf_dir), clean, 0.005, 0.001)
+    return relations.causes(changes_of(spark, sf_dir), clean, threshold=0.005, margin=0.01, border=0.001)
 
 
 # --- sources and sinks -----------------------------------------------------
 
 
-@query()
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{scratch(spark, name)}/{np.random.default_rng().integers(2**62)}"
+
+
+def draw_sql(seed: int, name: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:{name}:' || id), 1, 8))::BIGINT + 1) / 4294967297::DOUBLE)"
+
+
+def normal_sql(seed: int, name: str) -> str:
+    return f"(sqrt(-2 * ln({draw_sql(seed, name + 'a')})) * cos(2 * pi() * {draw_sql(seed, name + 'b')}))"
+
+
+def pick_sql(values: tuple[str, ...], u: str) -> str:
+    return f"list_extract({list(values)}, floor({u} * {len(values)})::INT + 1)"
+
+
+def sales_sql(rows: int, seed: int) -> str:
+    """The columns of the synthetic sales table with outliers and missing values."""
+    u = draw_sql(seed, "group")
+    edges = np.cumsum([g[1] for g in synthetic.GROUPS[:-1]]).tolist()
+
+    def of_group(i: int) -> str:
+        show = lambda g: f"'{g[i]}'" if i == 0 else f"{float(g[i])}::DOUBLE"
+        return "CASE " + " ".join(f"WHEN u < {e!r} THEN {show(g)}" for e, g in zip(edges, synthetic.GROUPS, strict=False)) + f" ELSE {show(synthetic.GROUPS[-1])} END"
+
+    far = lambda c, k: f"CASE WHEN {draw_sql(seed, 'outlier')} < 0.001 THEN {c} * {k} + {k} ELSE {c} END"
+    some = lambda c, value: f"CASE WHEN {draw_sql(seed, 'missing ' + c)} >= 0.02 THEN {value} END AS {c}"
+    return f"""SELECT date, store_id, region, {some('plan', 'plan')}, channel, is_member, age, {some('income', far('income', 40.0))}, {far('visits', 25.0)} AS visits, {some('score', 'score')}, tenure,
+{far('spend', 60.0)} AS spend, discount_rate, cluster, memo FROM (SELECT id, strftime(DATE '2024-01-01' + floor({draw_sql(seed, 'day')} * 366)::INT, '%Y-%m-%d') AS date,
+printf('S%03d', floor({draw_sql(seed, 'store')} * 400)::INT) AS store_id, {pick_sql(synthetic.REGIONS, draw_sql(seed, 'region'))} AS region, {pick_sql(synthetic.PLANS, f"pow({draw_sql(seed, 'plan')}, 1.5)")} AS plan,
+{pick_sql(synthetic.CHANNELS, draw_sql(seed, 'channel'))} AS channel, {draw_sql(seed, 'member')} < 0.4 AS is_member, round(age + 4 * {normal_sql(seed, 'age')}, 1) AS age,
+round(income * (1 + 0.15::DOUBLE * {normal_sql(seed, 'income')}), 0) AS income, greatest(0.0::DOUBLE, round(visits + 2 * {normal_sql(seed, 'visits')}, 0)) AS visits, round(score + 6 * {normal_sql(seed, 'score')}, 1) AS score,
+round(12 * {draw_sql(seed, 'tenure')} + visits / 4, 1) AS tenure, round(spend * (1 + 0.25::DOUBLE * {normal_sql(seed, 'spend')}), 2) AS spend, round(0.3::DOUBLE * {draw_sql(seed, 'discount')}, 3) AS discount_rate,
+cluster, 'visit note of a customer in group ' || cluster || ' number ' || id AS memo
+FROM (SELECT id, {of_group(0)} AS cluster, {of_group(2)} AS age, {of_group(3)} AS income, {of_group(4)} AS visits, {of_group(5)} AS score, {of_group(6)} AS spend FROM (SELECT id, {u} AS u FROM range({rows}) AS ids(id))))"""
+
+
+def customers_sql(rows: int, seed: int) -> str:
+    return f"""SELECT printf('C%06d', id) AS customer_id, strftime(DATE '2020-01-01' + floor({draw_sql(seed, 'signup')} * 1500)::INT, '%Y-%m-%d') AS signup, tier, round(40 + 12 * {normal_sql(seed, 'age')}, 1) AS age,
+round(worth * (1 + 0.3::DOUBLE * {normal_sql(seed, 'worth')}), 2) AS ltv, floor(worth / 150 + 10 * {draw_sql(seed, 'orders')})::BIGINT AS orders, floor(3 * {draw_sql(seed, 'refunds')})::BIGINT AS refunds,
+floor(11 * {draw_sql(seed, 'nps')})::BIGINT AS nps, {draw_sql(seed, 'active')} < 0.8 AS active FROM (SELECT id, tier, CASE tier WHEN 'gold' THEN 5200.0::DOUBLE WHEN 'silver' THEN 1900.0::DOUBLE ELSE 600.0::DOUBLE END AS worth
+FROM (SELECT id, CASE WHEN {draw_sql(seed, 'tier')} < 0.6 THEN 'bronze' WHEN {draw_sql(seed, 'tier')} < 0.9 THEN 'silver' ELSE 'gold' END AS tier FROM range({rows}) AS ids(id)))"""
+
+
+@query(" UNION ALL ".join(f"SELECT *, 'sales_{i}' AS file FROM ({sales_sql(500, 7 + i)})" for i in range(2)))
 def merge_group(spark, sf_dir):
     """A synthetic folder written, found, merged."""
-    folder = f"{scratch(spark, 'merge')}/{np.random.default_rng().integers(2**62)}"
+    folder = folder_of(spark, "merge")
     for i in range(2):
         delimited.write_delimited(synthetic.sales(spark, 500, 7 + i).coalesce(1), f"{folder}/sales_{i}.csv")
-    return delimited.merge_group(spark, delimited.find_files(spark, folder))
+    merged = delimited.merge_group(spark, delimited.find_files(spark, folder))
+    return merged.withColumn("file", F.split(delimited.SOURCE, r"\.").getItem(0)).drop(delimited.SOURCE)
 
 
 @query("SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip(spark, sf_dir):
     """customer written as CSV, sniffed, read and typed again."""
-    folder = f"{scratch(spark, 'csv')}/{np.random.default_rng().integers(2**62)}"
+    folder = folder_of(spark, "csv")
     delimited.write_delimited(read(spark, sf_dir, "customer").coalesce(1), folder)
     return delimited.merge_group(spark, delimited.find_files(spark, folder)).drop(delimited.SOURCE)
 
 
-@query()
+SMALL_TABLES = {"region": ",", "nation": ";", "part": "|", "supplier": "\t"}
+
+
+def header_sql(table: str) -> str:
+    return f"SELECT '{table}' AS file, column_name AS name, row_number() OVER () - 1 AS position FROM (DESCRIBE {table})"
+
+
+def written_tables(spark: SparkSession, sf_dir: str, tables: dict[str, str]) -> str:
+    folder = folder_of(spark, "tables")
+    for name, separator in tables.items():
+        delimited.write_delimited(read(spark, sf_dir, name).limit(50).coalesce(1), f"{folder}/{name}", separator=separator)
+    return folder
+
+
+@query(" UNION ALL ".join(f"SELECT *, '{sep}' AS separator FROM ({header_sql(t)})" for t, sep in SMALL_TABLES.items()))
+def header_columns(spark, sf_dir):
+    """Tables written with four delimiters: delimiter and columns from the files' first lines."""
+    files = delimited.find_files(spark, written_tables(spark, sf_dir, SMALL_TABLES))
+    rows = [(name.partition("/")[0], c, i, kind.separator) for name, kind in delimited.headers(spark, files).items() for i, c in enumerate(kind.header)]
+    return spark.createDataFrame(rows, "file string, name string, position long, separator string")
+
+
+LISTED = " UNION ALL ".join(f"SELECT '{f}' AS file, string_agg(name, ',' ORDER BY position) AS header FROM ({header_sql(t)})" for f, t in (("a", "region"), ("b", "nation"), ("c", "region")))
+
+
+@query(f"SELECT header, string_agg(file, ',' ORDER BY file) AS files, count(*) AS n, count(*) > 1 AS merge FROM ({LISTED}) GROUP BY header")
+def schema_groups(spark, sf_dir):
+    files = [(f, read(spark, sf_dir, t).columns) for f, t in (("a", "region"), ("b", "nation"), ("c", "region"))]
+    grouped = profile.group_by_header(spark.createDataFrame(files, "file string, header array<string>"))
+    return grouped.select(F.array_join("header", ",").alias("header"), F.array_join("files", ",").alias("files"), "n", "merge")
+
+
+@query(f"{UNIT_PARTS}, {AGAIN}, {SIZES}, {TOTALS} SELECT 'A' AS \"group\", totals.*, 'l_orderkey' AS unit_columns, 'l_returnflag,l_linestatus' AS strata_columns FROM totals")
 def unit_report(spark, sf_dir):
     """A report document written and read again."""
     line, kept = units_of(spark, sf_dir)
     scores = catfidelity.grouped_similarity(line, kept, COLUMNS, UNIT, STRATA, ORDER).first().asDict()
-    path = f"{scratch(spark, 'report')}/{np.random.default_rng().integers(2**62)}"
+    path = folder_of(spark, "report")
     reports.write_report(spark, {"group": "A", "score": scores, "unit_columns": UNIT, "strata_columns": STRATA}, path)
-    return spark.read.json(path)
+    return spark.read.json(path).select("group", "score.*", *[F.array_join(c, ",").alias(c) for c in ("unit_columns", "strata_columns")])
 
 
-@query()
+def read_back(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query(f"WITH {SAMPLED} SELECT w AS weight, o_orderkey, o_orderstatus, o_totalprice FROM samp")
+def reduced_csv(spark, sf_dir):
+    """A reduced table as its CSV says."""
+    path = folder_of(spark, "reduced")
+    delimited.write_reduced(sample_of(spark, sf_dir)[1].select("o_orderkey", "o_orderstatus", "o_totalprice", "_weight"), path)
+    return read_back(spark, path, "weight double, o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query(SQL["stratum_report"])
+def stratum_csv(spark, sf_dir):
+    path = folder_of(spark, "stratum")
+    made = stratum_report(spark, sf_dir)
+    reports.write_table(made, path)
+    return read_back(spark, path, made.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query(SQL["distribution_table"])
+def distribution_csv(spark, sf_dir):
+    path = folder_of(spark, "distribution")
+    made = distribution_table(spark, sf_dir)
+    reports.write_table(made, path)
+    return read_back(spark, path, ", ".join(f"`{n}` {t}" for n, t in made.dtypes))
+
+
+@query(sales_sql(10_000, 7))
 def synthetic_sales(spark, sf_dir):
     return synthetic.sales(spark, 10_000)
 
 
-@query()
+@query(customers_sql(2_000, 7))
 def synthetic_customers(spark, sf_dir):
     return synthetic.customers(spark, 2_000)
+
+
+U_OF_ORDER = "((('0x' || substr(md5('3:{name}:' || o_orderkey), 1, 8))::BIGINT + 1) / 4294967297::DOUBLE)"
+THREE = "o_totalprice AS income, o_totalprice / 2 AS spend, o_custkey::DOUBLE AS visits"
+
+
+def three_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), price.alias("income"), (price / 2).alias("spend"), F.col("o_custkey").cast("double").alias("visits"))
+
+
+@query(
+    f"SELECT id, " + ", ".join(f"CASE WHEN far THEN {c} * {k} + {k} ELSE {c} END AS {c}" for c, k in (("income", 40.0), ("spend", 60.0), ("visits", 25.0)))
+    + f" FROM (SELECT o_orderkey AS id, {THREE}, {U_OF_ORDER.format(name='outlier')} < 0.001 AS far FROM orders)"
+)
+def outliers_in(spark, sf_dir):
+    return synthetic.with_outliers(three_columns(spark, sf_dir), 3)
+
+
+@query(
+    f"SELECT o_orderkey AS id, CASE WHEN {U_OF_ORDER.format(name='missing income')} >= 0.02 THEN o_totalprice END AS income, CASE WHEN {U_OF_ORDER.format(name='missing score')} >= 0.02 THEN o_custkey END AS score,"
+    f" CASE WHEN {U_OF_ORDER.format(name='missing plan')} >= 0.02 THEN o_orderstatus END AS plan FROM orders"
+)
+def missing_in(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("income"), F.col("o_custkey").alias("score"), F.col("o_orderstatus").alias("plan"))
+    return synthetic.with_missing(orders, 3)
+
+
+# --- choices and their reports ---------------------------------------------
+
+
+@query(
+    f"""WITH {HOLED}, r AS (SELECT c, avg(m) AS m, pos FROM (SELECT unnest([1, 2, 3]) AS pos, unnest(['l_discount', 'l_tax', 'l_quantity']) AS c, unnest([(l_discount IS NULL)::INT, (l_tax IS NULL)::INT, (l_quantity IS NULL)::INT]) AS m FROM holed) GROUP BY c, pos)
+SELECT string_agg(printf('%s (%.1f%% missing)', c, 100 * m), ', ' ORDER BY m DESC, pos) AS reason FROM r WHERE m > 0"""
+)
+def missing_reason(spark, sf_dir):
+    return spark.createDataFrame([(profile.missing_reason(holed(spark, sf_dir)),)], "reason string")
+
+
+@query(SQL["classify_columns"].replace("AS kind,", "AS kind, '' AS reason,").replace("'identifier' AS kind, '' AS reason", "'identifier' AS kind, 'identifier columns are left out' AS reason"))
+def inspection(spark, sf_dir):
+    """The listing of columns that the command line shows."""
+    return profile.classify(read(spark, sf_dir, "customer"), sample_rows=None)
+
+
+@query(f"WITH {HOLED} SELECT name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, avg(({c} IS NULL)::INT) AS m FROM holed" for c in ("l_discount", "l_tax", "l_quantity")) + ") WHERE m <= 0.1 AND name <> 'l_quantity'")
+def override_selection(spark, sf_dir):
+    found = profile.classify(holed(spark, sf_dir), sample_rows=None)
+    return spark.createDataFrame([(n,) for n in features.override_selection(found, None, ["l_quantity"], 0.1)], "name string")
+
+
+@query("SELECT column_name AS name FROM (DESCRIBE orders) WHERE column_type IN ('INTEGER', 'BIGINT', 'DOUBLE', 'BOOLEAN')")
+def numeric_columns(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return spark.createDataFrame([(c,) for c in orders.columns if features.is_numeric(orders, c)], "name string")
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@query("SELECT name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS d FROM orders" for c in ORDER_COLUMNS) + ") WHERE d <= 20")
+def display_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in cli.few_level_columns(read(spark, sf_dir, "orders"), ORDER_COLUMNS)], "name string")
+
+
+@query(
+    """WITH lv AS (SELECT o_orderstatus AS v, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS pos FROM orders GROUP BY 1),
+st AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)
+SELECT o_orderkey, 0 AS position, round((o_totalprice - m) / s, 6) AS value FROM orders, st UNION ALL SELECT o_orderkey, pos, CASE WHEN o_orderstatus = v THEN 1.0 ELSE 0.0 END FROM orders, lv"""
+)
+def feature_matrix(spark, sf_dir):
+    rows, _, _ = features.feature_matrix(read(spark, sf_dir, "orders"), ["o_totalprice", "o_orderstatus"])
+    return rows.select("o_orderkey", F.posexplode("features").alias("position", "value")).select("o_orderkey", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH {HOLED}, k AS (SELECT * FROM holed WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL) SELECT count(*) AS rows, (SELECT count(*) FROM holed) - count(*) AS dropped, 'l_discount,l_tax,l_quantity' AS names,
+round(corr(l_discount, l_quantity), 6) AS r FROM k"""
+)
+def prepared(spark, sf_dir):
+    """Rows without missing basis values; features are as correlated as the columns they come from."""
+    made = features.prepare(holed(spark, sf_dir), None, ["l_discount", "l_tax", "l_quantity"])
+    both = F.round(F.corr(F.col("features")[0], F.col("features")[2]), 6)
+    return made.rows.agg(F.count("*").alias("rows"), F.lit(made.dropped).cast("long").alias("dropped"), F.lit(",".join(made.names)).alias("names"), both.alias("r"))
+
+
+@query("SELECT n::BIGINT AS asked, least(n, total)::BIGINT AS taken FROM (SELECT unnest([1, 50, 149, 10000000]) AS n), (SELECT count(*) AS total FROM customer)")
+def size_check(spark, sf_dir):
+    total = read(spark, sf_dir, "customer").count()
+    return spark.createDataFrame([(n, drawing.check_size(n, total)) for n in (1, 50, 149, 10_000_000)], "asked long, taken long")
+
+
+LIMITS = "p_brand=5, ,p_type = 2,"
+
+
+@query(f"SELECT trim(split_part(part, '=', 1)) AS name, trim(split_part(part, '=', 2))::BIGINT AS n FROM (SELECT unnest(string_split('{LIMITS}', ',')) AS part) WHERE trim(part) <> ''")
+def parsed_limits(spark, sf_dir):
+    return spark.createDataFrame(list(vocabulary.parse_limits(LIMITS).items()), "name string, n long")
+
+
+@query(
+    """WITH a AS (SELECT * FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)),
+b AS (SELECT * FROM a WHERE p_type IN (SELECT p_type FROM a GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2)),
+r AS (SELECT 'p_brand' AS name, count(DISTINCT p_brand) AS levels_before, count(*) AS rows_before, (SELECT count(DISTINCT p_brand) FROM a) AS levels_after, (SELECT count(*) FROM a) AS rows_after FROM part
+UNION ALL SELECT 'p_type', count(DISTINCT p_type), count(*), (SELECT count(DISTINCT p_type) FROM b), (SELECT count(*) FROM b) FROM a)
+SELECT *, round(rows_after / rows_before::DOUBLE, 9) AS coverage, printf('%s: %d -> %d values, %d -> %d rows (%.1f%%)', name, levels_before, levels_after, rows_before, rows_after, 100.0 * rows_after / rows_before) AS summary FROM r"""
+)
+def limit_coverage(spark, sf_dir):
+    found = vocabulary.limit_values(read(spark, sf_dir, "part"), vocabulary.parse_limits(LIMITS))[1]
+    return found.select(F.col("column").alias("name"), "levels_before", "rows_before", "levels_after", "rows_after", F.round("row_coverage", 9).alias("coverage"), "summary")
+
+
+@query("SELECT t / 7.0::DOUBLE AS trust, c * 12.4::DOUBLE AS covered, round(50 * (t / 7.0::DOUBLE) + 0.5::DOUBLE * (c * 12.4::DOUBLE), 1) AS score FROM range(8) AS a(t), range(9) AS b(c)")
+def structure_score(spark, sf_dir):
+    grid = [(t / 7, c * 12.4) for t in range(8) for c in range(9)]
+    return spark.createDataFrame([(t, c, structure.structure_score(t, c)) for t, c in grid], "trust double, covered double, score double")
+
+
+@query("SELECT a * 30.0::DOUBLE AS distribution, b * 40.0::DOUBLE AS correlation, c * 25.0::DOUBLE AS structure, round((a * 30.0::DOUBLE + b * 40.0::DOUBLE + c * 25.0::DOUBLE) / 3, 1) AS total FROM range(4) AS x(a), range(3) AS y(b), range(5) AS z(c)")
+def axes_score(spark, sf_dir):
+    grid = [(a * 30.0, b * 40.0, c * 25.0) for a in range(4) for b in range(3) for c in range(5)]
+    return spark.createDataFrame([(*g, structure.overall_score(*g)["total"]) for g in grid], "distribution double, correlation double, structure double, total double")
+
+
+@query("SELECT count(*) AS accounted, count(*) AS members, true AS reps_are_rows FROM orders")
+def cluster_accounts(spark, sf_dir):
+    """Weights and rows left out add up to all rows, so do members; representatives are rows of the table, once each."""
+    p = problem_of(spark, sf_dir)
+    made = clustering.cluster_reduce(p.rows, 300, p.key)
+    known = made.rows.join(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    kept = made.rows.agg((F.round(F.sum("_weight")).cast("long") + made.excluded).alias("accounted"), F.count("*").alias("rows"))
+    members = made.members.agg((F.count_distinct("o_orderkey") + made.excluded).alias("members"))
+    return kept.crossJoin(members).crossJoin(known.agg(F.count_distinct("o_orderkey").alias("found"))).select("accounted", "members", (F.col("rows") == F.col("found")).alias("reps_are_rows"))  # one row each
+
+
+@query(f"WITH {SAMPLED}, d AS (SELECT * FROM orders ORDER BY md5('0:' || o_orderkey), o_orderkey LIMIT 400) SELECT 'original' AS side, o_totalprice AS x, o_custkey::DOUBLE AS y, 2.0::DOUBLE AS size FROM d UNION ALL SELECT 'reduced', o_totalprice, o_custkey::DOUBLE, 6.0::DOUBLE FROM samp")
+def pair_scatter(spark, sf_dir):
+    return charts.pair_scatter(*sample_of(spark, sf_dir), ("o_totalprice", "o_custkey"), ["o_orderkey"], limit=400)
+
+
+def box_sql(side: str, table: str, c: str) -> str:
+    return f"""SELECT '{c}' AS "column", '{side}' AS side, min({c})::DOUBLE AS least, min(CASE WHEN inside THEN {c} END)::DOUBLE AS low, any_value(a)::DOUBLE AS q1, any_value(b)::DOUBLE AS median, any_value(d)::DOUBLE AS q3, max(CASE WHEN inside THEN {c} END)::DOUBLE AS high, max({c})::DOUBLE AS most
+FROM (SELECT {c}, a, b, d, {c} BETWEEN a - 1.5 * (d - a) AND d + 1.5 * (d - a) AS inside FROM {table}, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.5) AS b, quantile_cont({c}, 0.75) AS d FROM {table}))"""
+
+
+@query(f"WITH {SAMPLED} " + " UNION ALL ".join(box_sql(side, t, c) for c in ("o_totalprice", "o_custkey") for side, t in (("original", "orders"), ("reduced", "samp"))))
+def box_plots(spark, sf_dir):
+    return charts.box_plots(*sample_of(spark, sf_dir), ["o_totalprice", "o_custkey"])
+
+
+CLI_KEYED = "keyed AS (SELECT *, user_id::VARCHAR AS unit, event_type AS stratum FROM events)"
+CLI_UNITS = "units AS (SELECT unit, arg_min(stratum, event_id) AS stratum, count(*) AS rows, count(DISTINCT stratum) AS mixed FROM keyed GROUP BY unit)"
+
+
+@query(
+    f"""WITH {CLI_KEYED}, {CLI_UNITS}, {DRAWN}, {taken_sql(0.2)} SELECT (SELECT count(*) FROM events) AS original_rows, sum(rows)::BIGINT AS reduced_rows, (SELECT count(*) FROM units) AS units_total, count(*) AS units_kept,
+(SELECT count(DISTINCT stratum) FROM units) AS strata_total FROM taken"""
+)
+def units_command(spark, sf_dir):
+    """The command line over a folder with the events, whole users kept by their first event's type."""
+    folder = folder_of(spark, "units")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy("event_id").coalesce(1)
+    delimited.write_delimited(events, f"{folder}/in")
+    arguments = [f"{folder}/in", "--unit", "user_id", "--strata", "event_type", "--ratio", "0.2", "--columns", "event_type", "--show-dist", "event_type", "--out", f"{folder}/out"]
+    done = cli.units_main(spark, arguments)[0]
+    names = ("original_rows", "reduced_rows", "units_total", "units_kept", "strata_total")
+    return spark.createDataFrame([tuple(done[n] for n in names)], ", ".join(f"{n} long" for n in names))

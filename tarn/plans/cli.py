@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +19,34 @@ from tarn.sources import delimited, reports, synthetic
 FEW_LEVELS = 20
 
 
-def groups(spark: SparkSession, folder: str) -> list[tuple[str, list[delimited.SourceFile]]]:
-    """(letter, files) of every header found, most files first; files that cannot be read are left out."""
-    by_header: dict[tuple[str, ...], list[delimited.SourceFile]] = {}
-    for f in delimited.find_files(spark, folder):
-        try:
-            by_header.setdefault(tuple(delimited.header_of(spark, f.path)), []).append(f)
-        except ValueError as e:
-            print(f"skipped {f.name}: {e}")
-    if not by_header:
+def groups(spark: SparkSession, folder: str, merge: bool = True) -> list[tuple[str, list[delimited.SourceFile]]]:
+    """(letter, files) of every header found, most files first; files that cannot be read are left out.
+
+    Without ``merge`` every file is a group of its own, in the same order.
+    """
+    files = {f.name: f for f in delimited.find_files(spark, folder)}
+    found = delimited.headers(spark, list(files.values())) if files else {}
+    for name, kind in found.items():
+        if kind.problem:
+            print(f"skipped {name}: {kind.problem}")
+    readable = [(name, list(kind.header)) for name, kind in found.items() if not kind.problem]
+    if not readable:
         raise SystemExit("no readable files")
-    ordered = sorted(by_header.items(), key=lambda kv: (-len(kv[1]), kv[0]))
-    return [(chr(ord("A") + i) if i < 26 else f"G{i}", files) for i, (_, files) in enumerate(ordered)]
+    grouped = profiling.group_by_header(spark.createDataFrame(readable, "file string, header array<string>")).collect()  # one row a file
+    parts = [g.files for g in grouped] if merge else [[name] for g in grouped for name in g.files]
+    return [(chr(ord("A") + i) if i < 26 else f"G{i}", [files[name] for name in names]) for i, names in enumerate(parts)]
+
+
+@contextmanager
+def progress(spark: SparkSession, step: str) -> Iterator[None]:
+    """Jobs run inside are shown under ``step`` wherever Spark shows jobs; time is told at the end."""
+    began = time.time()
+    spark.sparkContext.setJobGroup(step, step)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        print(f"  {step}: {time.time() - began:.1f} s")
 
 
 def reduce_parser() -> argparse.ArgumentParser:
@@ -43,6 +60,7 @@ def reduce_parser() -> argparse.ArgumentParser:
     p.add_argument("--columns", type=lambda s: [c.strip() for c in s.split(",")])
     p.add_argument("--exclude", type=lambda s: [c.strip() for c in s.split(",")], default=[])
     p.add_argument("--max-missing", type=float)
+    p.add_argument("--per-file", action="store_true", help="do not merge files of one header")
     return p
 
 
@@ -50,7 +68,7 @@ def reduce_main(spark: SparkSession, argv: Sequence[str]) -> list[dict]:
     """Reduce every group of files; returns the reports that it writes."""
     a = reduce_parser().parse_args(argv)
     done = []
-    for letter, files in groups(spark, a.folder):
+    for letter, files in groups(spark, a.folder, not a.per_file):
         began = time.time()
         df = delimited.with_row_id(delimited.merge_group(spark, files)).persist()
         shown = df.drop("_row_id", delimited.SOURCE)
@@ -64,8 +82,10 @@ def reduce_main(spark: SparkSession, argv: Sequence[str]) -> list[dict]:
             print(f"group {letter} skipped: {e}")
             continue
         problem = Problem(prepared, ["_row_id"], a.seed)
-        first, curve = search_size(problem, a.target)
-        best, methods = choose_method(problem, first.size)
+        with progress(spark, f"group {letter}: size search"):
+            first, curve = search_size(problem, a.target)
+        with progress(spark, f"group {letter}: comparison of methods"):
+            best, methods = choose_method(problem, first.size)
         report = {
             "group": letter,
             "original_rows": problem.total,
@@ -101,11 +121,12 @@ def units_parser() -> argparse.ArgumentParser:
     p.add_argument("--out", default="results")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--inspect", action="store_true")
-    p.add_argument("--show-dist", action="store_true")
+    p.add_argument("--show-dist", type=names, help="columns whose distribution is shown; those of few values if not given")
     p.add_argument("--dist-top", type=int, default=10)
     p.add_argument("--no-plot", action="store_true")
     p.add_argument("--limit", type=parse_limits, default={})
     p.add_argument("--limit-mode", choices=("top", "sample"), default="top")
+    p.add_argument("--per-file", action="store_true", help="do not merge files of one header")
     return p
 
 
@@ -115,7 +136,7 @@ def shown_columns(df: DataFrame) -> list[str]:
 
 def few_level_columns(df: DataFrame, columns: Sequence[str], most: int = FEW_LEVELS) -> list[str]:
     """Columns of few distinct values, for display."""
-    row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if row[f"d{i}"] <= most]
 
 
@@ -123,22 +144,23 @@ def units_main(spark: SparkSession, argv: Sequence[str]) -> list[dict]:
     """Reduce every group of files keeping whole units; returns the reports that it writes."""
     a = units_parser().parse_args(argv)
     done = []
-    for letter, files in groups(spark, a.folder):
+    for letter, files in groups(spark, a.folder, not a.per_file):
         df = delimited.with_row_id(delimited.merge_group(spark, files)).persist()
         order = ["_row_id"]
         try:
             limited, limits = limit_values(df, a.limit, a.limit_mode, a.seed)
-            for limit in limits:
-                print(limit.summary())
+            told = [r.asDict(recursive=True) for r in limits.collect()]  # one row per limit
+            print(*[x.pop("summary") for x in told], sep="\n")
             summary = units.unit_summary(limited, a.unit, a.strata, order).first().asDict()
             if a.inspect:
                 print(summary)
                 continue
             columns = a.columns or shown_columns(limited)
-            if a.ratio:
-                made = attempt_ratio(limited, a.unit, a.strata, order, a.ratio, columns, a.combo, a.min_units, a.seed)
-            else:
-                made = search_ratio(limited, a.unit, a.strata, order, columns, a.target, a.combo, a.min_units, a.seed)
+            with progress(spark, f"group {letter}: drawing of units"):
+                if a.ratio:
+                    made = attempt_ratio(limited, a.unit, a.strata, order, a.ratio, columns, a.combo, a.min_units, a.seed)
+                else:
+                    made = search_ratio(limited, a.unit, a.strata, order, columns, a.target, a.combo, a.min_units, a.seed)
         except ValueError as e:
             print(f"group {letter} skipped: {e}")
             continue
@@ -154,16 +176,16 @@ def units_main(spark: SparkSession, argv: Sequence[str]) -> list[dict]:
             "unit_columns": list(a.unit),
             "strata_columns": list(a.strata),
             "score": made.scores,
-            "value_limits": [{"column": x.column, "levels_before": x.levels_before, "levels_after": x.levels_after, "rows_before": x.rows_before, "rows_after": x.rows_after, "kept": [r.asDict() for r in x.kept.collect()]} for x in limits],
+            "value_limits": told,
         }
         delimited.write_reduced(kept.drop("_row_id"), f"{a.out}/units_{letter}")
         reports.write_report(spark, report, f"{a.out}/units_report_{letter}")
         reports.write_table(units.stratum_report(limited, kept, a.unit, a.strata, order), f"{a.out}/strata_{letter}")
         table = catfidelity.distribution_table(limited, kept, columns, a.dist_top)
         reports.write_table(table, f"{a.out}/distribution_{letter}")
-        if a.show_dist:
-            few = few_level_columns(limited, columns)
-            table.filter(F.col("column").isin(*few)).show(200, truncate=False) if few else None
+        seen = [c for c in a.show_dist if c in limited.columns] if a.show_dist else few_level_columns(limited, columns)
+        if seen:
+            catfidelity.distribution_table(limited, kept, seen, a.dist_top).show(200, truncate=False)
         catfidelity.column_scores(limited, kept, columns).orderBy("score").limit(10).show(truncate=False)
         print(f"group {letter}: {red.units_total} -> {red.units_kept} units, score {made.scores['total']}", *red.notes, sep="\n  ")
         done.append(report)

@@ -66,6 +66,13 @@ def test_quantiles_and_ranks(spark, data, frame):
     assert sorted(r.v for r in ordered.average_ranks(df.dropna(), ["v"]).collect()) == [1.0, 2.5, 2.5]
 
 
+def test_one_far_value_leaves_the_slices_even(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("v")).union(spark.createDataFrame([(1e12,), (-1e15,), (float("inf"),)], "v double"))
+    sizes = [r["count"] for r in ordered.sliced(df, "v").groupBy("_slice").count().collect()]
+    assert max(sizes) < 300 and len(sizes) > 200
+    assert ordered.quantiles(df, "v", [0.5])[0.5] == 10_000.0
+
+
 def test_correlations(frame, data):
     edges = {(r.a, r.b): r.r for r in fidelity.correlation_edges(frame, ["a", "b", "c"]).collect()}
     assert abs(edges["a", "b"] - np.corrcoef(data["a"], data["b"])[0, 1]) < 1e-9

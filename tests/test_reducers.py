@@ -30,6 +30,21 @@ def test_random_sample_is_exact_and_reproducible(table):
         drawing.random_sample(table, 0, ["id"])
 
 
+def test_draws_by_cutoff_equal_a_full_ranking(spark, monkeypatch):
+    monkeypatch.setattr(drawing, "EDGE_ROWS", 3)
+    df = spark.range(5000).select("id", (F.col("id") % 3).cast("string").alias("g"), F.when(F.col("id") % 50 == 0, "k").otherwise(F.col("id").cast("string")).alias("key"))
+    for n in (1, 77, 4999, 5000, 9000):
+        own = drawing.smallest(df.drop("g"), n, ["id"], 4)
+        placed = drawing.placed(df.withColumn("all", F.lit(0)), ["all"], ["id"], 4).filter(F.col("_place") <= n)
+        assert {r.id for r in own[0].collect()} == {r.id for r in placed.collect()} and own[1] == 5000
+    takes = spark.createDataFrame([("0", 10), ("1", 5000), ("2", 0)], "g string, _take int")
+    own = sorted(r.id for r in drawing.smallest_of_groups(df, ["g"], takes, ["id"], 4).collect())
+    wanted = drawing.placed(df, ["g"], ["id"], 4).filter("(g = '0' and _place <= 10) or g = '1'")
+    assert own == sorted(r.id for r in wanted.collect())
+    # Rows of one key have one digest: exactly as many are drawn.
+    assert drawing.smallest(df, 60, ["key"], 4)[0].count() == 60 == drawing.random_sample(df, 60, ["key"], 4).count()
+
+
 def test_stratified_sample_keeps_shares(table):
     red = stratified.stratified_sample(table, 400, "g", ["id"])
     assert red.count() == 400 and math.isclose(red.agg(F.sum("_weight")).first()[0], 4002, rel_tol=1e-9)
@@ -133,8 +148,9 @@ def values(spark):
 
 def test_limits(values):
     left, done = vocabulary.limit_values(values, {"eqp": 3})
-    assert {r.value: r.rows for r in done[0].kept.collect()} == {"A": 500, "B": 250, "C": 150} and left.count() == 900
-    assert (done[0].levels_before, done[0].levels_after, done[0].row_coverage) == (5, 3, 0.9) and "5 -> 3" in done[0].summary()
+    done = done.collect()
+    assert {r.value: r.rows for r in done[0].kept} == {"A": 500, "B": 250, "C": 150} and left.count() == 900
+    assert (done[0].levels_before, done[0].levels_after, done[0].row_coverage) == (5, 3, 0.9) and "5 -> 3" in done[0].summary
     assert vocabulary.choose_values(values, "eqp", 2, "sample").count() == 2
     assert vocabulary.choose_values(values, "eqp", 9).count() == 5
     assert vocabulary.parse_limits("a=3, ,b = 2") == {"a": 3, "b": 2}

@@ -68,6 +68,20 @@ def test_merge_names_the_source_and_widens_types(spark, tmp_path):
     assert {r["_source_file"] for r in df.collect()} == {"a.csv", "b.csv"}
 
 
+def test_formats_are_read_together_and_values_may_span_lines(spark, tmp_path):
+    put(tmp_path, "a b.csv", "x,y\n1,2\n")
+    put(tmp_path, "b.csv", "x;y\n3;4\n")
+    put(tmp_path, "c.csv", 'x,y\n5,"two\nlines"\n')
+    put(tmp_path, "d.csv", "지역,y\n서울,6\n", "cp949")
+    files = delimited.find_files(spark, str(tmp_path))
+    found = delimited.headers(spark, files)
+    assert [found[n].separator for n in ("a b.csv", "b.csv", "c.csv")] == [",", ";", ","] and found["c.csv"].many_lines and not found["b.csv"].many_lines
+    rows = {(r.x, r.y, r["_source_file"]) for r in delimited.merge_group(spark, [f for f in files if f.name != "d.csv"]).collect()}
+    assert rows == {(1, "2", "a b.csv"), (3, "4", "b.csv"), (5, "two\nlines", "c.csv")}
+    merged, apart = cli.groups(spark, str(tmp_path)), cli.groups(spark, str(tmp_path), merge=False)
+    assert [len(f) for _, f in merged] == [3, 1] and [len(f) for _, f in apart] == [1, 1, 1, 1]
+
+
 def test_report_and_table_sinks(spark, tmp_path):
     reports.write_report(spark, {"a": [1, {"b": "ü"}]}, str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("part*"))
