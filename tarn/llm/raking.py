@@ -24,8 +24,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, LOWER, LEAST_KEEP = 25, 0.75, 0.4  # rounds until the share kept is lowered, by how much, and down to what part of the bound
 MOST_WEIGHT, SAME = 1e12, 1e-9
-DIGITS, CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-FIGURES_SHARE, CAPITALS_SHARE, SHORT_CHARS, LONG_CHARS = 0.1, 0.3, 200, 5000
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CAPITALS_SHARE, SHORT_CHARS, LONG_CHARS = 0.3, 1000, 5000
 NAMES = ("_tokens", "_ratio", "_probability", "_gap", "_kept")
 
 
@@ -37,18 +37,13 @@ def words_in(text: Column) -> Column:
 def form_topic(text: Column) -> Column:
     """The form of a text, which stands for its topic where documents carry none.
 
-    "figures" and "capitals" if so many of the characters are digits or A to Z,
-    else "short", "long" or "medium" by the length; "short" if null.
+    "capitals" if so many of the characters are A to Z, else "short", "medium" or
+    "long" by the length; "short" if null or empty. Rare forms would bound the
+    share kept, so there are few and broad ones.
     """
-    size = F.length(text)
-    share = lambda signs: (size - F.length(F.translate(text, signs, ""))) / size
-    return (
-        F.when(F.coalesce(size, F.lit(0)) < SHORT_CHARS, "short")
-        .when(share(DIGITS) >= FIGURES_SHARE, "figures")
-        .when(share(CAPITALS) >= CAPITALS_SHARE, "capitals")
-        .when(size > LONG_CHARS, "long")
-        .otherwise("medium")
-    )
+    size = F.coalesce(F.length(text), F.lit(0))
+    capitals = F.try_divide(size - F.length(F.translate(text, CAPITALS, "")), size)
+    return F.when(capitals >= CAPITALS_SHARE, "capitals").when(size < SHORT_CHARS, "short").when(size > LONG_CHARS, "long").otherwise("medium")
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -170,7 +165,6 @@ def mix_sql(source: str = "documents", temperature: float = 0.7, keep: float = 0
     """DuckDB SQL for the rows of ``mix`` over ``source``: the rounds are one recursion over the cells."""
     dims = ", ".join(DIMENSIONS)
     each = lambda text: ", ".join(text.format(d=d) for d in DIMENSIONS)
-    chars = lambda signs: f"(length(text) - length(translate(text, '{signs}', '')))::DOUBLE / length(text)"
     columns = f"{dims}, tokens, total, {each('goal_{d}, natural_{d}')}, bound, at_share, weight, round"
 
     def step(table: str, d: str) -> str:
@@ -189,8 +183,8 @@ def mix_sql(source: str = "documents", temperature: float = 0.7, keep: float = 0
     allowed = each("min(CASE WHEN goal_{d} > 0 AND total > 0 THEN natural_{d} / total / goal_{d} END)")
     parts = [
         f"""marked AS (SELECT doc_id, coalesce(source, '{MISSING}') AS source, coalesce(lang, '{MISSING}') AS lang,
-  CASE WHEN coalesce(length(text), 0) < {SHORT_CHARS} THEN 'short' WHEN {chars(DIGITS)} >= {FIGURES_SHARE} THEN 'figures' WHEN {chars(CAPITALS)} >= {CAPITALS_SHARE} THEN 'capitals'
-       WHEN length(text) > {LONG_CHARS} THEN 'long' ELSE 'medium' END AS topic,
+  CASE WHEN (length(text) - length(translate(text, '{CAPITALS}', '')))::DOUBLE / nullif(length(text), 0) >= {CAPITALS_SHARE} THEN 'capitals'
+       WHEN coalesce(length(text), 0) < {SHORT_CHARS} THEN 'short' WHEN length(text) > {LONG_CHARS} THEN 'long' ELSE 'medium' END AS topic,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM {source})""",
         f"cells AS (SELECT {dims}, sum(tokens)::BIGINT AS tokens FROM marked GROUP BY {dims})",
         f"levels AS (SELECT *, sum(tokens) OVER ()::DOUBLE AS total, {each('sum(tokens) OVER (PARTITION BY {d})::DOUBLE AS natural_{d}')} FROM cells)",
