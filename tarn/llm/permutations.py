@@ -24,8 +24,8 @@ from tarn.llm import vectorblocks as V
 from tarn.llm.scratch import write_table
 
 PIVOTS = 256  # fitted on this many vectors, the documented sample
-READ_FILES = 64
-WINDOW = 48  # places on either side of the query's own
+READ_FILES = 32
+WINDOW = 64  # places on either side of the query's own
 RERANK_SHARE = 0.2
 RERANK_LEAST = 20  # of a small block
 
@@ -135,11 +135,12 @@ def nearest(
     whole = table.agg(F.count("*").alias("rows"), F.max(V.length(F.col("v"))).alias("longest")).first()
     slots, longest = V.slots_for(whole.rows, rows), whole.longest or 0.0
     chosen = choose_pivots(table, pivots, longest)
-    # Dealt by id, so that the blocks, and with them the result, depend on the rows alone; the block's rows are in order of id.
-    blocks = V.packed(table.repartition(slots, F.xxhash64("id")).sortWithinPartitions("id", "v"), rows)
+    # Dealt by content, so that the blocks, and with them the result, depend on the rows alone and not on how they lie.
+    dealt = table.withColumn("slot", F.pmod(F.xxhash64("id", "v"), F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "id", "v")
+    blocks = V.packed(dealt, 2 * rows)
     index = write_table(blocks.mapInArrow(tidy(_post_task(chosen, longest)), V.BLOCK_SCHEMA + ", listed binary, begins binary"), "permutations")
     asked = table.filter(F.col("id") % every == 0)
     spread = V.slots_for(asked.count(), V.QUERY_ROWS)
-    queries = V.packed(asked.repartition(spread, F.xxhash64("id")), V.QUERY_ROWS)
+    queries = V.packed(asked.repartition(spread), V.QUERY_ROWS)
     found = V.pairs(index, queries, slots).mapInArrow(tidy(V.search_task(_search(chosen, files, window, share, k), pa.float64())), V.found_schema("double"))
     return V.best(found, k)

@@ -62,20 +62,26 @@ def _pack_task(rows: int):
                 }
             )
 
-        for batch in batches:
-            ids, numbers = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            column = batch.column(2)
-            at = column.offsets.to_numpy()
-            flat = column.values.to_numpy(zero_copy_only=False)
-            parts = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            while len(parts):
-                take = rows - count
-                held.append((ids[:take], numbers[:take], parts[:take]))
-                count += len(parts[:take])
-                ids, numbers, parts = ids[take:], numbers[take:], parts[take:]
-                if count == rows:
+        last = None
+        for whole in batches:
+            slot = whole.column(3).to_numpy(zero_copy_only=False) if whole.num_columns > 3 else np.zeros(whole.num_rows, np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])) if len(slot) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if count and slot[a] != last:
                     yield pack()
                     held, count = [], 0
+                last, batch = slot[a], whole.slice(a, b - a)
+                ids, numbers = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
+                parts = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+                while len(parts):
+                    take = rows - count
+                    held.append((ids[:take], numbers[:take], parts[:take]))
+                    count += len(parts[:take])
+                    ids, numbers, parts = ids[take:], numbers[take:], parts[take:]
+                    if count == rows:
+                        yield pack()
+                        held, count = [], 0
         if count:
             yield pack()
 
@@ -83,8 +89,8 @@ def _pack_task(rows: int):
 
 
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors, in the row order of each partition."""
-    return vectors.select("id", "row", "v").mapInArrow(tidy(_pack_task(rows)), BLOCK_SCHEMA)
+    """Blocks of at most ``rows`` vectors, in the row order of each partition; a block ends where a column ``slot`` changes."""
+    return vectors.select("id", "row", "v", *[c for c in vectors.columns if c == "slot"]).mapInArrow(tidy(_pack_task(rows)), BLOCK_SCHEMA)
 
 
 def matrix(vectors: bytes, dim: int, width: int) -> np.ndarray:
