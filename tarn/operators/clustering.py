@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType
 
-from tarn.operators.drawing import check_size, smallest_of_groups
+from tarn.operators.drawing import check_size, smallest, smallest_of_groups
 from tarn.operators.ordered import quantiles
 from tarn.operators.stratified import allocate
 
 # Fixed values of the reduction.
 MIN_PER_CLUSTER, LEAST_BASE, MOST_BASE, OUTLIER_SHARE, OUTLIER_LEAST_ROWS = 30, 5, 50, 0.001, 10
-SUB_ROWS, LLOYD_ROUNDS, MOST_AT_ONCE = 2_000, 12, 128
+SUB_ROWS, SEED_ROWS, LLOYD_ROUNDS, MOST_AT_ONCE = 2_000, 5_000, 12, 128
 LEAST_GAIN = 0.01  # a round that lowers the squared distances by a smaller share is the last
 
 
@@ -75,15 +75,14 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray, step: int = 1024) ->
     return own, near
 
 
-def fit_centres(df: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k-means centres of the ``features`` of all rows, by MLlib."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    if k > 1:
-        return np.array(KMeans(k=k, seed=seed, maxIter=20).fit(df.select(array_to_vector("features").alias("features"))).clusterCenters())
+def fit_centres(df: DataFrame, k: int, seed: int, key: Sequence[str] = ()) -> np.ndarray:
+    """k-means centres of the ``features`` of all rows: a draw of SEED_ROWS rows gives the first ones, rounds over all rows move them."""
     width = len(df.select("features").first().features)
-    return np.array([df.agg(*[F.avg(F.col("features")[i]) for i in range(width)]).first()], float)
+    if k == 1:
+        return np.array([df.agg(*[F.avg(F.col("features")[i]) for i in range(width)]).first()], float)
+    drawn = smallest(df, SEED_ROWS, key, seed)[0].select(F.lit(0).alias("_cluster"), F.lit(k).alias("_alloc"), "features")
+    first = drawn.groupBy("_cluster").applyInPandas(_sub_centres(seed), "_cluster int, centres array<double>").first()
+    return sub_lloyd(df.select(F.lit(0).alias("_cluster"), "features"), {0: np.array(first.centres).reshape(-1, width)}, width)[0]
 
 
 def points_of(column: pa.Array) -> np.ndarray:
@@ -115,7 +114,7 @@ def without_outliers(df: DataFrame, key: Sequence[str], seed: int = 0, share: fl
     rows = df.count()
     if rows < OUTLIER_LEAST_ROWS or share <= 0:
         return df, 0
-    centres = fit_centres(df, outlier_clusters(rows), seed)
+    centres = fit_centres(df, outlier_clusters(rows), seed, key)
     sizes = {r["_cluster"]: r["count"] for r in assign(df, centres).groupBy("_cluster").count().collect()}  # at most MOST_BASE rows
     held = [i for i in range(len(centres)) if sizes.get(i, 0) > max(1, share * rows)]
     far = assign(df, centres[held] if held else centres).persist()
@@ -210,7 +209,7 @@ def subgroups(df: DataFrame, n: int, key: Sequence[str], seed: int, floor: int,
     k = min(int(min(MOST_BASE, max(LEAST_BASE, round(n / max(floor, 1))))), max(1, df.count()))
     known = {} if known is None else known
     if k not in known:
-        known[k] = fit_centres(df, k, seed)
+        known[k] = fit_centres(df, k, seed, key)
     based = assign(df, known[k]).drop("_distance").persist()
     sizes = based.groupBy("_cluster").agg(F.count("*").alias("size"))
     alloc = floored_allocation(sizes, n, ["_cluster"], floor).persist()  # at most MOST_BASE rows
