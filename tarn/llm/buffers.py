@@ -50,6 +50,16 @@ def runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def bounds(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of ``solid`` bytes; rows, told by ``offsets``, end a run."""
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[offsets] = True
+    begin, end = solid & edge[:-1], solid & edge[1:]
+    begin[1:] |= solid[1:] & ~solid[:-1]
+    end[:-1] |= solid[:-1] & ~solid[1:]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

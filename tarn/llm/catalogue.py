@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import histogramsort, language, normbuckets, packing, permutations, quality, raking, repeats, revisits, simhash
+from tarn.llm import dialogue, histogramsort, language, normbuckets, packing, passages, permutations, quality, raking, repeats, revisits, simhash, spelling
 
 from tarn.llm.scratch import write_table
 
@@ -94,9 +94,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "nats")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), slip=97)
+
+
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_passages(table(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.digest(dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op3_packing, op4_mixing, op5_suffix_repeats, op6_quality, op7_permutations, op8_histogram_sort, op9_simhash, op10_language)}
+    return {f.__name__: f for f in (op1_revisits, op2_norm_buckets, op3_packing, op4_mixing, op5_suffix_repeats, op6_quality, op7_permutations, op8_histogram_sort, op9_simhash, op10_language, op11_spelling, op12_passages, op13_dialogue)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisits": revisits.REVISITS_SQL, "op4_mixing": raking.mix_sql()}
+    return {"op1_revisits": revisits.REVISITS_SQL, "op4_mixing": raking.mix_sql(), "op12_passages": passages.PASSAGES_SQL}
