@@ -7,8 +7,9 @@ dynamic programming picks the rarest two disjoint bigrams of each prefix, the
 pivots: of two near words, the one whose prefix ends earlier in the order has a
 pivot that stands in the other's prefix, at the same place or moved as the edit
 moves it, and the text on one side of it is untouched. Pivots therefore meet
-prefixes of one (bigram, length, place, side, text on that side), and the few
-pairs found are compared by edit distance.
+prefixes of one (bigram, length, place, side, text on that side; where that is
+short, also one half of the other side), and the few pairs found are compared by
+edit distance.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tarn.llm.scratch import write_table
 
 CHUNK_BYTES = 8 << 20
 LONG_RUN = 256
+SHORT = 4
 GRAM = 2
 PREFIX = GRAM + 1
 SLIP = 97
@@ -163,6 +165,33 @@ def gram_order(words: DataFrame) -> dict[str, int]:
     return {r.gram: i for i, r in enumerate(counts)}
 
 
+def _ways(shifts: tuple[tuple[int, int, str], ...]) -> Column:
+    """Each shift twice: for the half of the touched side nearer to the word's begin, and for the other."""
+    ways = [(*s, half) for s in shifts for half in ("first", "second")]
+    return F.explode(F.array(*[F.struct(F.lit(a).alias("longer"), F.lit(m).alias("moved"), F.lit(side).alias("side"), F.lit(half).alias("half")) for a, m, side, half in ways]))
+
+
+def _key() -> Column:
+    """What two near words must share, by a bigram of one of them and a way ``s`` in which they may differ.
+
+    Bigram, length, place and the text on the untouched side. If that is short, one half
+    of the touched side is untouched too, and the key holds it; else the second
+    half has no key. Halves are told by the other word's length, which both sides know.
+    """
+    length, place = F.col("length") + F.col("s.longer"), F.col("place") + F.col("s.moved")
+    before = F.substring("word", F.lit(1), F.col("place"))
+    behind = F.substring("word", F.col("place") + (GRAM + 1), F.col("length"))
+    left = F.col("s.side") == "left"
+    same, touched = F.when(left, before).otherwise(behind), F.when(left, behind).otherwise(before)
+    size = F.when(left, length - place - GRAM).otherwise(place)
+    half = F.floor(size / 2).cast("int")
+    first = F.col("s.half") == "first"
+    part = F.when(first, F.substring(touched, F.lit(1), half)).otherwise(F.right(touched, size - half))
+    short = F.length(same) < SHORT
+    key = F.xxhash64("gram", length, place, "s.side", same, F.when(short, part).otherwise(""), F.when(short, F.col("s.half")).otherwise(""))
+    return F.when(short | first, key)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b), a before b: all pairs of ``words`` (word, n) one edit apart, each once.
 
@@ -171,15 +200,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     signed = write_table(words.mapInArrow(_signatures_task(gram_order(words)), SIGNATURE), "spelling-signatures")
     each = signed.select("word", "n", "last", "length", F.explode("grams").alias("g")).select("word", "n", "last", "length", "g.*")
-    parts = {"left": F.substring("word", F.lit(1), F.col("place")), "right": F.substring("word", F.col("place") + (GRAM + 1), F.col("length"))}
-
-    def key(side: Column, part: Column, longer: Column | int, moved: Column | int) -> Column:
-        return F.xxhash64("gram", F.col("length") + longer, F.col("place") + moved, side, part).alias("key")
-
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), part.alias("part")) for s, part in parts.items()]))
-    posted = each.withColumn("s", sides).select(key(F.col("s.side"), F.col("s.part"), 0, 0), F.col("last").alias("ends"), F.col("word").alias("other"), F.col("n").alias("n_other"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(longer).alias("longer"), F.lit(moved).alias("moved"), F.lit(s).alias("side"), parts[s].alias("part")) for longer, moved, s in SHIFTS]))
-    probes = each.filter("pivot").withColumn("s", shifts).select(key(F.col("s.side"), F.col("s.part"), F.col("s.longer"), F.col("s.moved")), "last", "word", "n")
+    posted = each.withColumn("s", _ways(((0, 0, "left"), (0, 0, "right")))).select(_key().alias("key"), F.col("last").alias("ends"), F.col("word").alias("other"), F.col("n").alias("n_other"))
+    probes = each.filter("pivot").withColumn("s", _ways(SHIFTS)).select(_key().alias("key"), "last", "word", "n")
+    posted, probes = (x.filter(F.col("key").isNotNull()) for x in (posted, probes))
     met = probes.join(posted, "key").filter((F.col("last") <= F.col("ends")) & (F.col("word") != F.col("other")))
     near = met.filter(F.levenshtein("word", "other", 1) == 1)
     first = F.col("word") < F.col("other")
