@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,13 +21,30 @@ SCATTER_ROWS, BINS, BARS = 20_000, 39, 12
 
 
 def axes_of(df: DataFrame, width: int, components: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and principal axes of ``features`` from one covariance aggregation over all rows."""
-    means = [F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(width)]
-    cov = [F.covar_pop(F.col("features")[i], F.col("features")[j]).alias(f"c{i}_{j}") for i in range(width) for j in range(i, width)]
-    row = df.agg(*means, *cov).first()
-    matrix = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)])
-    _, vectors = np.linalg.eigh(matrix)
-    return np.array([row[f"m{i}"] for i in range(width)]), vectors[:, ::-1][:, :components].T
+    """Mean and principal axes of ``features`` from one pass over all rows: each task gives its sums of products."""
+    origin = np.array(df.select("features").first().features, float)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            # Of a point near all others, so that little is lost in the sums.
+            points = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width) - origin
+            points = np.hstack([points, np.ones((len(points), 1))])
+            total += points.T @ points
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
+
+    sums = df.select(F.col("features").cast("array<double>")).mapInArrow(task, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    total = np.zeros((width + 1) ** 2)
+    for r in sums.collect():  # (width + 1) squared rows
+        total[r.at] = r.value
+    total = total.reshape(width + 1, width + 1)
+    rows = total[width, width]
+    mean = total[width, :width] / rows
+    _, vectors = np.linalg.eigh(total[:width, :width] / rows - np.outer(mean, mean))
+    # Of the two directions of an axis, that in which its largest part is positive.
+    axes = vectors[:, ::-1][:, :components].T
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+    return mean + origin, axes
 
 
 def scatter(df: DataFrame, reduced: DataFrame, key: Sequence[str], seed: int = 0, components: int = 2, limit: int = SCATTER_ROWS) -> DataFrame:

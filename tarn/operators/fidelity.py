@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.expressions import js_distance, js_term, level
+from tarn.operators.concordance import kendall
 from tarn.operators.features import is_numeric, number
 from tarn.operators.ordered import average_ranks, ks_statistic
 
@@ -111,9 +112,11 @@ def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def correlation_edges(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
-    """(a, b, r) for every pair of columns, Pearson or Spearman, unweighted."""
-    if method not in ("pearson", "spearman"):
+    """(a, b, r) for every pair of columns, Pearson, Spearman or Kendall, unweighted."""
+    if method not in ("pearson", "spearman", "kendall"):
         raise ValueError(f"unknown method: {method}")
+    if method == "kendall":
+        return kendall(df, columns)
     own = df.select(*[number(c).alias(c) for c in columns])
     if method == "spearman":
         own = average_ranks(own.dropna(), columns)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tarn.operators.clustering import nearest_centre
 from tarn.operators.drawing import random_sample, subsample
+from tarn.operators.neighbours import nearest
 from tarn.operators.ordered import quantiles
 
 # Sizes of the draws that the quadratic measures are taken on.
 TRUST_ROWS, COVERAGE_ROWS, NEIGHBOURS = 3_000, 20_000, 10
+SENT_VALUES = 1_000_000  # 8 MB
 
 
 def project(points: np.ndarray, width: int = 2) -> np.ndarray:
@@ -27,8 +29,8 @@ def project(points: np.ndarray, width: int = 2) -> np.ndarray:
     return out
 
 
-def trust_of(points: np.ndarray, neighbours: int = NEIGHBOURS) -> float:
-    """Venna and Kaski's trustworthiness of the two-component projection; 1 where it is not defined."""
+def trust_of(points: np.ndarray, neighbours: int = NEIGHBOURS, projected: np.ndarray | None = None) -> float:
+    """Venna and Kaski's trustworthiness of ``projected``, or else of the two-component projection; 1 where it is not defined."""
     n = len(points)
     if n <= neighbours + 1 or 2 * n - 3 * neighbours - 1 <= 0:
         return 1.0
@@ -41,7 +43,7 @@ def trust_of(points: np.ndarray, neighbours: int = NEIGHBOURS) -> float:
     rank = np.empty((n, n), np.int32)
     order = np.argsort(gaps(points), axis=1, kind="stable")
     np.put_along_axis(rank, order, np.arange(1, n + 1, dtype=np.int32)[None, :], axis=1)
-    near = np.argsort(gaps(project(points)), axis=1, kind="stable")[:, :neighbours]
+    near = np.argsort(gaps(project(points) if projected is None else projected), axis=1, kind="stable")[:, :neighbours]
     over = np.take_along_axis(rank, near, axis=1) - neighbours
     return float(1 - over[over > 0].sum() * 2 / (n * neighbours * (2 * n - 3 * neighbours - 1)))
 
@@ -58,16 +60,26 @@ def trustworthiness(df: DataFrame, key: Sequence[str], seed: int = 0, limit: int
 
 
 def nearest_distances(points: DataFrame, targets: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, distance) to the nearest of ``targets``: a reduction, at most some ten thousand rows, sent to every task."""
-    block = np.array([r.features for r in targets.select("features").collect()])
-    if not len(block):
+    """(key, distance) to the nearest of ``targets``.
+
+    Up to SENT_VALUES numbers of targets are sent to every task; more are met by
+    cells (``neighbours``), where neither side travels whole.
+    """
+    known = targets.select(F.col("features").cast("array<double>").alias("features"))
+    first = known.first()
+    if first is None:
         raise ValueError("the reduced side is empty")
-    names = list(key)
+    sent = SENT_VALUES // max(1, len(first.features))
+    block = known.limit(sent + 1).collect()
+    if len(block) > sent:
+        met = nearest(points, known.withColumn("_target", F.monotonically_increasing_id()), key, ["_target"])
+        return met.select(*[F.col("point")[c].alias(c) for c in key], "distance")
+    held, names = points.sparkSession.sparkContext.broadcast(np.array([r.features for r in block])), list(key)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield f[names].assign(distance=nearest_centre(np.array(f["features"].tolist()), block, 256)[1])
+                yield f[names].assign(distance=nearest_centre(np.array(f["features"].tolist()), held.value, 256)[1])
 
     schema = points.select(*names).schema.add("distance", "double")
     return points.select(*names, "features").mapInPandas(measure, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.expressions import level
-from tarn.operators import catfidelity, charts, clustering, drawing, features, fidelity, ordered, profile, relations, stratified, structure, units, vocabulary
+from tarn.operators import catfidelity, charts, clustering, drawing, features, fidelity, layout, ordered, profile, relations, stratified, structure, units, vocabulary
 from tarn.plans import cli, search
 from tarn.sources import delimited, reports, synthetic
 
@@ -326,6 +326,18 @@ def corr_preservation(spark, sf_dir):
     return fidelity.correlation_preservation(changes_of(spark, sf_dir))
 
 
+CUSTOMER_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
+TAU = " UNION ALL ".join(
+    f"""SELECT '{a}' AS a, '{b}' AS b, round(sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / sqrt(sum(abs(sign(x.{a} - y.{a})))::DOUBLE * sum(abs(sign(x.{b} - y.{b})))), 9) AS r FROM customer x, customer y"""
+    for a, b in (("c_custkey", "c_nationkey"), ("c_custkey", "c_acctbal"), ("c_nationkey", "c_acctbal"))
+)
+
+
+@query(TAU)
+def corr_kendall(spark, sf_dir):
+    return fidelity.correlation_edges(read(spark, sf_dir, "customer"), CUSTOMER_NUMBERS, "kendall").withColumn("r", F.round("r", 9))
+
+
 @query("SELECT 'same' AS a, 'l_quantity' AS b, CASE WHEN stddev_pop(same) = 0 OR stddev_pop(l_quantity) = 0 THEN 0.0::DOUBLE ELSE corr(same, l_quantity) END AS r FROM (SELECT *, 1.5::DOUBLE AS same FROM lineitem)")
 def corr_constant_guard(spark, sf_dir):
     return fidelity.correlation_edges(read(spark, sf_dir, "lineitem").withColumn("same", F.lit(1.5)), ["same", "l_quantity"])
@@ -634,6 +646,16 @@ def pca_scatter(spark, sf_dir):
     return charts.scatter(df, drawing.random_sample(df, 50, ["vec_id"]), ["vec_id"], components=3)
 
 
+@query()
+def tsne_layout(spark, sf_dir):
+    return layout.tsne(vectors(spark, sf_dir).filter("features IS NOT NULL"), "vec_id")
+
+
+@query()
+def graph_layout(spark, sf_dir):
+    return layout.graph_layout(vectors(spark, sf_dir).filter("features IS NOT NULL"), "vec_id")
+
+
 @query("SELECT o_orderkey, round(least(40, greatest(2, 6 * o_totalprice / avg(o_totalprice) OVER ())), 6) AS size FROM orders")
 def point_size(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
