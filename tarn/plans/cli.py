@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import argparse
 import time
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from tarn.operators import catfidelity, profile as profiling, units
 from tarn.operators.features import override_selection, prepare
 from tarn.operators.vocabulary import limit_values, parse_limits
+from tarn.plans.progress import progress
 from tarn.plans.search import TARGET, Problem, attempt_ratio, choose_method, search_ratio, search_size
 from tarn.sources import delimited, reports, synthetic
 
@@ -37,18 +37,6 @@ def groups(spark: SparkSession, folder: str, merge: bool = True) -> list[tuple[s
     return [(chr(ord("A") + i) if i < 26 else f"G{i}", [files[name] for name in names]) for i, names in enumerate(parts)]
 
 
-@contextmanager
-def progress(spark: SparkSession, step: str) -> Iterator[None]:
-    """Jobs run inside are shown under ``step`` wherever Spark shows jobs; time is told at the end."""
-    began = time.time()
-    spark.sparkContext.setJobGroup(step, step)
-    try:
-        yield
-    finally:
-        spark.sparkContext.setJobGroup("", "")
-        print(f"  {step}: {time.time() - began:.1f} s")
-
-
 def reduce_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("reduce")
     p.add_argument("folder")
@@ -82,10 +70,10 @@ def reduce_main(spark: SparkSession, argv: Sequence[str]) -> list[dict]:
             print(f"group {letter} skipped: {e}")
             continue
         problem = Problem(prepared, ["_row_id"], a.seed)
-        with progress(spark, f"group {letter}: size search"):
-            first, curve = search_size(problem, a.target)
-        with progress(spark, f"group {letter}: comparison of methods"):
-            best, methods = choose_method(problem, first.size)
+        with progress(spark, f"group {letter}: size search") as step:
+            first, curve = search_size(problem, a.target, told=step.attempt)
+        with progress(spark, f"group {letter}: comparison of methods") as step:
+            best, methods = choose_method(problem, first.size, told=step.attempt)
         report = {
             "group": letter,
             "original_rows": problem.total,
@@ -156,11 +144,11 @@ def units_main(spark: SparkSession, argv: Sequence[str]) -> list[dict]:
                 print(summary)
                 continue
             columns = a.columns or shown_columns(limited)
-            with progress(spark, f"group {letter}: drawing of units"):
+            with progress(spark, f"group {letter}: drawing of units") as step:
                 if a.ratio:
                     made = attempt_ratio(limited, a.unit, a.strata, order, a.ratio, columns, a.combo, a.min_units, a.seed)
                 else:
-                    made = search_ratio(limited, a.unit, a.strata, order, columns, a.target, a.combo, a.min_units, a.seed)
+                    made = search_ratio(limited, a.unit, a.strata, order, columns, a.target, a.combo, a.min_units, a.seed, told=step.attempt)
         except ValueError as e:
             print(f"group {letter} skipped: {e}")
             continue
