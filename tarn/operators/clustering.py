@@ -115,10 +115,18 @@ def without_outliers(df: DataFrame, key: Sequence[str], seed: int = 0, share: fl
     if rows < OUTLIER_LEAST_ROWS or share <= 0:
         return df, 0
     centres = fit_centres(df, outlier_clusters(rows), seed, key)
-    sizes = {r["_cluster"]: r["count"] for r in assign(df, centres).groupBy("_cluster").count().collect()}  # at most MOST_BASE rows
+    far = assign(df, centres).persist()
+    sizes = {r["_cluster"]: r["count"] for r in far.groupBy("_cluster").count().collect()}  # at most MOST_BASE rows
     held = [i for i in range(len(centres)) if sizes.get(i, 0) > max(1, share * rows)]
-    far = assign(df, centres[held] if held else centres).persist()
-    edge = quantiles(far, "_distance", [1 - share])[1 - share]
+    if held and len(held) < len(centres):
+        far.unpersist()
+        far = assign(df, centres[held]).persist()
+    # The rows beyond a rough quantile below the one asked for hold it, and are few.
+    low = far.approxQuantile("_distance", [1 - 2 * share], share / 4)[0] if 2 * share < 1 else 0.0
+    tail = far.filter(F.col("_distance") >= F.lit(low))
+    few = tail.count()
+    place = ((1 - share) * (rows - 1) - (rows - few)) / max(few - 1, 1)
+    edge = quantiles(tail, "_distance", [place])[place]
     kept = far.filter(F.col("_distance") <= F.lit(edge)).drop("_cluster", "_distance").persist()
     gone = rows - kept.count()
     far.unpersist()

@@ -87,14 +87,23 @@ def smallest_of_groups(df: DataFrame, groups: Sequence[str], takes: DataFrame, k
 
     own_names = [f"_own{n}" for n in named]
     digests = digests.withColumnsRenamed(dict(zip(named, own_names, strict=True)))
+    held = None
     for length in range(PREFIX, DIGEST, PREFIX):
-        inside = digests.join(edges, same(own_names) & F.col("_digest").startswith(F.col("_prefix")))
-        counts = inside.groupBy(*named, *carried, "_rest", F.substring("_digest", 1, length).alias("p")).agg(F.count("*").alias("_n"))
+        if length == PREFIX:
+            # All rows take part: they are counted before they meet the groups' sizes.
+            counts = digests.groupBy(*own_names, F.substring("_digest", 1, length).alias("p")).agg(F.count("*").alias("_n"))
+            counts = counts.join(edges, same(own_names)).select(*named, *carried, "_rest", "p", "_n")
+        else:
+            inside = digests.join(edges, same(own_names) & F.col("_digest").startswith(F.col("_prefix")))
+            counts = inside.groupBy(*named, *carried, "_rest", F.substring("_digest", 1, length).alias("p")).agg(F.count("*").alias("_n"))
         counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(running), F.lit(0)), "_whole": F.sum("_n").over(by)})
         upto = F.col("_before") + F.col("_n")
         # The slice of the last drawn row; the group's last slice if all of it is drawn.
         reached = counts.filter((F.col("_before") < F.col("_rest")) & ((upto >= F.col("_rest")) | (upto == F.col("_whole"))))
         edges = reached.select(*named, *carried, (F.col("_rest") - F.col("_before")).alias("_rest"), F.col("p").alias("_prefix"), "_n").persist()
+        if held is not None:
+            held.unpersist()
+        held = edges
         if (edges.agg(F.max("_n")).first()[0] or 0) <= EDGE_ROWS:
             break
         edges = edges.drop("_n")

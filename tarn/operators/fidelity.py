@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarn.functions.expressions import js_distance, js_term, level
 from tarn.operators.concordance import kendall
 from tarn.operators.features import is_numeric, number
-from tarn.operators.ordered import average_ranks, ks_statistic
+from tarn.operators.ordered import average_ranks, ks_of_counts
 
 TINY = 1e-9
 METRIC = "name string, kind string, score double, detail map<string,double>"
@@ -28,11 +28,21 @@ def moments(df: DataFrame, value: Column, weight: Column) -> DataFrame:
     return sums.select((F.lit(shift) + mean).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("wxx") / F.col("w") - mean * mean)).alias("std"))
 
 
-def numeric_score(original: DataFrame, reduced: DataFrame, column: str) -> DataFrame:
-    """One row (score, mean_diff_ratio, std_diff_ratio, ks); ``reduced`` has _weight. An empty side scores 0."""
-    o = moments(original, number(column), F.lit(1.0)).select(F.col("mean").alias("mo"), F.col("std").alias("so"))
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(v, n): how often each value of a column occurs, numbers as numbers, others as levels."""
+    value = number(column) if is_numeric(df, column) else level(column)
+    return df.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+
+
+def numeric_score(original: DataFrame, reduced: DataFrame, column: str, counted: DataFrame | None = None) -> DataFrame:
+    """One row (score, mean_diff_ratio, std_diff_ratio, ks); ``reduced`` has _weight. An empty side scores 0.
+
+    ``counted`` holds the original's ``value_counts`` where they are known.
+    """
+    counted = value_counts(original, column) if counted is None else counted
+    o = moments(counted, F.col("v"), F.col("n")).select(F.col("mean").alias("mo"), F.col("std").alias("so"))
     r = moments(reduced, number(column), F.col("_weight")).select(F.col("mean").alias("mr"), F.col("std").alias("sr"))
-    ks = ks_statistic(original, reduced, F.col(column))
+    ks = ks_of_counts(counted, value_counts(reduced, column))
     rows = o.crossJoin(r).crossJoin(ks)  # one row each
     scale = F.when(F.abs("mo") > TINY, F.abs("mo")).otherwise(1.0)
     spread = F.when(F.col("so") > TINY, F.col("so")).otherwise(1.0)
@@ -46,9 +56,9 @@ def numeric_score(original: DataFrame, reduced: DataFrame, column: str) -> DataF
     )
 
 
-def level_shares(original: DataFrame, reduced: DataFrame, key: Column) -> DataFrame:
-    """(value, p, q) over the levels of either side; q is weighted by _weight."""
-    p = original.groupBy(key.alias("value")).agg(F.count("*").cast("double").alias("n"))
+def level_shares(original: DataFrame, reduced: DataFrame, key: Column, counted: DataFrame | None = None) -> DataFrame:
+    """(value, p, q) over the levels of either side; q is weighted by _weight. ``counted``: the original's ``value_counts``."""
+    p = counted.select(F.col("v").alias("value"), F.col("n").cast("double").alias("n")) if counted is not None else original.groupBy(key.alias("value")).agg(F.count("*").cast("double").alias("n"))
     q = reduced.groupBy(key.alias("value")).agg(F.sum("_weight").alias("w"))
     both = p.join(q, "value", "full_outer")
     sums = both.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
@@ -66,9 +76,9 @@ def divergence(shares: DataFrame) -> DataFrame:
     )
 
 
-def categorical_score(original: DataFrame, reduced: DataFrame, column: str) -> DataFrame:
+def categorical_score(original: DataFrame, reduced: DataFrame, column: str, counted: DataFrame | None = None) -> DataFrame:
     """One row (score, js_divergence, max_ratio_gap, levels)."""
-    d = divergence(level_shares(original, reduced, level(column)))
+    d = divergence(level_shares(original, reduced, level(column), counted))
     off = 0.7 * F.col("js") + 0.3 * F.col("max_gap")
     return d.select(
         F.round(100 * (1 - F.least(F.lit(1.0), off)), 1).alias("score"),
@@ -78,14 +88,15 @@ def categorical_score(original: DataFrame, reduced: DataFrame, column: str) -> D
     )
 
 
-def column_metrics(original: DataFrame, reduced: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, kind, score, detail), one row per column."""
+def column_metrics(original: DataFrame, reduced: DataFrame, columns: Sequence[str], counted: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(name, kind, score, detail), one row per column; ``counted`` holds the original's ``value_counts`` of columns."""
     rows = []
     for c in columns:
+        known = (counted or {}).get(c)
         if is_numeric(original, c):
-            s, kind, names = numeric_score(original, reduced, c), "numeric", ("mean_diff_ratio", "std_diff_ratio", "ks")
+            s, kind, names = numeric_score(original, reduced, c, known), "numeric", ("mean_diff_ratio", "std_diff_ratio", "ks")
         else:
-            s, kind, names = categorical_score(original, reduced, c), "categorical", ("js_divergence", "max_ratio_gap", "levels")
+            s, kind, names = categorical_score(original, reduced, c, known), "categorical", ("js_divergence", "max_ratio_gap", "levels")
         detail = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
         rows.append(s.select(F.lit(c).alias("name"), F.lit(kind).alias("kind"), "score", detail.alias("detail")))
     return reduce(DataFrame.unionByName, rows) if rows else original.sparkSession.createDataFrame([], METRIC)

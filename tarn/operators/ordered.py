@@ -70,9 +70,12 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def ks_statistic(original: DataFrame, reduced: DataFrame, value: Column) -> DataFrame:
     """One row (ks): the largest gap between the two unweighted distribution functions; null if a side is empty."""
-    both = original.select(value.cast("double").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("r")).union(
-        reduced.select(value.cast("double").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("r"))
-    )
+    return ks_of_counts(*[df.groupBy(value.cast("double").alias("v")).agg(F.count("*").alias("n")) for df in (original, reduced)])
+
+
+def ks_of_counts(original: DataFrame, reduced: DataFrame) -> DataFrame:
+    """``ks_statistic`` of two tables (v, n) of values and their numbers."""
+    both = original.select("v", F.col("n").alias("o"), F.lit(0).alias("r")).union(reduced.select("v", F.lit(0).alias("o"), F.col("n").alias("r")))
     counted = both.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("o").alias("o"), F.sum("r").alias("r"))
     placed = cumulative(counted, "v", ["o", "r"])
     whole = counted.agg(F.sum("o").alias("all_o"), F.sum("r").alias("all_r"))
