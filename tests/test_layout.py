@@ -89,7 +89,7 @@ def test_field_equals_dense_repulsion(spark):
 @pytest.mark.parametrize("rows", [1000, 80])
 def test_tsne_is_near_the_dense_one(spark, monkeypatch, rows):
     monkeypatch.setattr(layout, "BLOCK_ROWS", rows)
-    steps = 400 if rows == 1000 else 120
+    steps = 400
     points = rings()
     p = joint(points, 15)
     begin = placed(layout.start(frame(spark, points), "id", 0.1)[0].selectExpr("i AS id", "x", "y"), len(points))
@@ -103,7 +103,7 @@ def test_tsne_is_near_the_dense_one(spark, monkeypatch, rows):
 def test_graph_layout_keeps_neighbours(spark, monkeypatch, rows):
     monkeypatch.setattr(layout, "BLOCK_ROWS", rows)
     points = rings(3)
-    found = placed(layout.graph_layout(frame(spark, points), "id", steps=200 if rows == 1000 else 60), len(points))
+    found = placed(layout.graph_layout(frame(spark, points), "id"), len(points))
     assert structure.trust_of(points, projected=found) > structure.trust_of(points) + 0.005
 
 
