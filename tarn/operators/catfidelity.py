@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions.expressions import composite_key, js_distance, js_term, level
+from tarn.functions.tables import written
 from tarn.operators.fidelity import divergence, level_shares
 from tarn.operators.ordered import ks_statistic
-from tarn.operators.units import unit_table
+from tarn.operators.units import laddered_units, unit_table
 
 SCORES = "name string, score double, js double, max_gap double, levels long, coverage double"
 
@@ -122,3 +123,78 @@ def grouped_similarity(
     b = mean_score(combo_scores(original, reduced, combos or [strata])).select(F.col("score").alias("combos"))
     c = unit_size_score(original, reduced, units, strata, order).select(F.col("score").alias("unit_size"))
     return a.crossJoin(b).crossJoin(c).select(F.round((F.col("columns") + F.col("combos") + F.col("unit_size")) / 3, 1).alias("total"), "columns", "combos", "unit_size")  # one row each
+
+
+def _mean_scores(kind: str, rungs: int) -> list[Column]:
+    """Per rung the mean of the rounded scores of one kind of key; 100 for none."""
+    of_kind = [F.avg(F.when(F.col("kind") == kind, F.col(f"s{i}"))) for i in range(rungs)]
+    return [F.coalesce(F.round(x, 1), F.lit(100.0)).alias(f"{kind}{i}") for i, x in enumerate(of_kind)]
+
+
+def ladder_scores(
+    df: DataFrame,
+    columns: Sequence[str],
+    units: Sequence[str],
+    strata: Sequence[str],
+    order: Sequence[str],
+    ratios: Sequence[float],
+    combos: Sequence[Sequence[str]] | None = None,
+    min_units: int = 1,
+    seed: int = 0,
+    table: DataFrame | None = None,
+) -> DataFrame:
+    """(ratio, units_kept, rows_kept, total, columns, combos, unit_size): grouped_similarity of every ratio from one draw.
+
+    A larger ratio keeps the units of a smaller one, so a unit needs only the first rung
+    that keeps it (laddered_units), and rows are counted once by value, stratum and rung;
+    each ratio is a column of weighted sums over those counts. Rows meet their unit's rung
+    in one exchange; the counts are a written table. Combinations with absent columns are skipped. A ratio that keeps no
+    unit has no total. Rows per unit do not change, so unit sizes are compared by the
+    table of units, by their distinct sizes: with n rows there are fewer than sqrt(2n).
+    """
+    rungs = sorted(set(ratios))
+    every = range(len(rungs))
+    named = [("columns", c, level(c)) for c in columns]
+    named += [("combos", "+".join(c), composite_key(df, c)) for c in (combos or [strata]) if all(x in df.columns for x in c)]
+    named = named or [("strata", "", composite_key(df, strata))]
+    table = unit_table(df, units, strata, order) if table is None else table
+    placed = written(laddered_units(table, rungs, min_units, seed).select("unit", "rows", "rung"), "rungs")
+
+    keyed = df.select(
+        composite_key(df, units).alias("_unit"),
+        composite_key(df, strata).alias("_stratum"),
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), v.alias("value")) for k, n, v in named]).alias("_keys"),
+    )
+    rows = keyed.join(placed.select(F.col("unit").alias("_unit"), "rung"), "_unit").select("_stratum", "rung", F.explode("_keys").alias("k"))
+    counts = written(rows.groupBy("k.kind", "k.name", "k.value", "_stratum", "rung").agg(F.count("*").alias("n")), "counts")
+
+    # Every row has one value of each key: the first key's counts are those of the strata.
+    first = counts.filter((F.col("kind") == named[0][0]) & (F.col("name") == named[0][1]))
+    kept = [F.sum(F.when(F.col("rung") <= i, F.col("n"))) for i in every]
+    factors = first.groupBy("_stratum").agg(*[F.coalesce(F.try_divide(F.sum("n"), x), F.lit(0.0)).alias(f"f{i}") for i, x in enumerate(kept)])
+    weighed = counts.join(factors, "_stratum").groupBy("kind", "name", "value").agg(
+        F.sum("n").alias("n"), *[F.sum(F.when(F.col("rung") <= i, F.col("n") * F.col(f"f{i}")).otherwise(0.0)).alias(f"w{i}") for i in every]
+    )
+    sums = weighed.groupBy("kind", "name").agg(F.sum("n").alias("all"), *[F.sum(f"w{i}").alias(f"all{i}") for i in every])
+    shares = weighed.join(F.broadcast(sums), ["kind", "name"]).select(  # one row per key
+        "kind", "name", (F.col("n") / F.col("all")).alias("p"), *[F.coalesce(F.try_divide(f"w{i}", f"all{i}"), F.lit(0.0)).alias(f"q{i}") for i in every]
+    )
+    p = F.col("p")
+    apart = [0.6 * js_distance(F.sum(js_term(p, F.col(f"q{i}")))) + 0.4 * F.max(F.abs(p - F.col(f"q{i}"))) for i in every]
+    per_key = shares.groupBy("kind", "name").agg(*[F.round(100 * (1 - F.least(F.lit(1.0), x)), 1).alias(f"s{i}") for i, x in enumerate(apart)])
+    means = per_key.agg(*_mean_scores("columns", len(rungs)), *_mean_scores("combos", len(rungs)))
+
+    sizes = placed.groupBy("rows").agg(F.count("*").alias("n"), *[F.count_if(F.col("rung") <= i).alias(f"n{i}") for i in every])
+    upto, whole = Window.orderBy("rows"), Window.partitionBy()
+    gaps = sizes.select(
+        *[F.col(f"n{i}") for i in every], *[(F.col("rows") * F.col(f"n{i}")).alias(f"r{i}") for i in every],
+        *[F.abs(F.sum("n").over(upto) / F.sum("n").over(whole) - F.try_divide(F.sum(f"n{i}").over(upto), F.sum(f"n{i}").over(whole))).alias(f"g{i}") for i in every],
+    )
+    fits = gaps.agg(*[x for i in every for x in (
+        F.coalesce(F.round(100 * (1 - F.least(F.lit(1.0), F.max(f"g{i}"))), 1), F.lit(0.0)).alias(f"size{i}"), F.sum(f"n{i}").alias(f"units{i}"), F.sum(f"r{i}").alias(f"rows{i}"))])
+
+    rung = [F.struct(
+        F.lit(float(r)).alias("ratio"), F.col(f"units{i}").alias("units_kept"), F.col(f"rows{i}").alias("rows_kept"),
+        F.when(F.col(f"units{i}") > 0, F.round((F.col(f"columns{i}") + F.col(f"combos{i}") + F.col(f"size{i}")) / 3, 1)).alias("total"),
+        F.col(f"columns{i}").alias("columns"), F.col(f"combos{i}").alias("combos"), F.col(f"size{i}").alias("unit_size")) for i, r in enumerate(rungs)]
+    return means.crossJoin(fits).select(F.explode(F.array(*rung)).alias("r")).select("r.*")  # one row each

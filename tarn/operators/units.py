@@ -45,6 +45,20 @@ def taken_units(table: DataFrame, ratio: float, min_units: int = 1, seed: int =
     return drawn.filter(F.col("_place") <= F.col("_take")).select(*table.columns)
 
 
+def laddered_units(table: DataFrame, ratios: Sequence[float], min_units: int = 1, seed: int = 0) -> DataFrame:
+    """``table`` with rung: the place (from 0) of the first of the rising ``ratios`` that draws the unit; their number if none does.
+
+    The units of every ratio are those that taken_units draws for it.
+    """
+    if not ratios or not all(0 < r <= 1 for r in ratios) or list(ratios) != sorted(ratios):
+        raise ValueError("ratios must rise, be above 0 and at most 1")
+    sizes = table.groupBy("stratum").agg(F.count("*").alias("_units"))
+    takes = [F.least("_units", F.greatest(F.lit(min_units), F.bround(F.col("_units") * F.lit(float(r)), 0).cast("long"))) for r in ratios]
+    upto = sizes.select(F.col("stratum").alias("_of"), F.array(*takes).alias("_takes"))
+    drawn = placed(table, ["stratum"], ["unit"], seed).join(upto, F.col("stratum") == F.col("_of"))
+    return drawn.select(*table.columns, F.size(F.filter("_takes", lambda take: take < F.col("_place"))).alias("rung"))
+
+
 def row_weights(df: DataFrame, kept: DataFrame, strata: Sequence[str]) -> DataFrame:
     """``kept`` with _weight: original rows over kept rows of the row's own stratum."""
     key = composite_key(df, strata)
@@ -55,10 +69,10 @@ def row_weights(df: DataFrame, kept: DataFrame, strata: Sequence[str]) -> DataFr
 
 
 def stratified_units(
-    df: DataFrame, units: Sequence[str], strata: Sequence[str], order: Sequence[str], ratio: float, min_units: int = 1, seed: int = 0
+    df: DataFrame, units: Sequence[str], strata: Sequence[str], order: Sequence[str], ratio: float, min_units: int = 1, seed: int = 0, table: DataFrame | None = None
 ) -> UnitReduction:
-    """Whole units drawn stratum by stratum, with row weights that restore the strata."""
-    table = unit_table(df, units, strata, order)
+    """Whole units drawn stratum by stratum, with row weights that restore the strata; ``table`` is their unit table, if it is there already."""
+    table = unit_table(df, units, strata, order) if table is None else table
     taken = taken_units(table, ratio, min_units, seed)
     unit = composite_key(df, units)
     kept = df.withColumn("_unit", unit).join(taken.select(F.col("unit").alias("_unit")), "_unit", "left_semi").select(*df.columns)

@@ -599,12 +599,18 @@ def ratio_search(spark, sf_dir):
     return spark.createDataFrame([(made.ratio, made.reduction.units_kept, made.scores["total"])], "ratio double, units_kept long, total double")
 
 
-SIZES_OF = {5: [], 100: [10, 16, 27, 45, 74], 1500: [75, 94, 119, 150, 189, 238, 300], 60000: [100, 222, 493, 1095, 2433, 5403, 12000], 500000: [100, 282, 794, 2236, 6300, 17748, 50000]}
+SIZED_TABLES = ("nation", "customer", "part", "orders", "lineitem", "events")
+COUNTED = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in SIZED_TABLES)
 
 
-@query(" UNION ALL ".join(f"SELECT {n}::BIGINT AS rows, unnest({v})::BIGINT AS size" for n, v in SIZES_OF.items() if v))
+@query(
+    f"""WITH t AS ({COUNTED}), b AS (SELECT name, rows, floor(least({search.MOST_SIZE}, greatest({2 * search.LEAST_SIZE}, 0.2::DOUBLE * rows))) AS upper, least({search.LEAST_SIZE}, greatest(10, rows // 20))::DOUBLE AS lower FROM t)
+SELECT DISTINCT name, rows, round_even(lower * pow(upper / lower, i / {search.STEPS - 1}::DOUBLE), 0)::BIGINT AS size FROM b, range({search.STEPS}) AS s(i) WHERE round_even(lower * pow(upper / lower, i / {search.STEPS - 1}::DOUBLE), 0) < rows"""
+)
 def size_candidates(spark, sf_dir):
-    return spark.createDataFrame([(n, s) for n in SIZES_OF for s in search.size_candidates(n)], "rows long, size long")
+    """The sizes that a search would try on each of the tables."""
+    sizes = [(t, n, s) for t in SIZED_TABLES for n in [read(spark, sf_dir, t).count()] for s in search.size_candidates(n)]
+    return spark.createDataFrame(sizes, "name string, rows long, size long")
 
 
 # --- charts ----------------------------------------------------------------
@@ -749,8 +755,8 @@ def pick_sql(values: tuple[str, ...], u: str) -> str:
     return f"list_extract({list(values)}, floor({u} * {len(values)})::INT + 1)"
 
 
-def sales_sql(rows: int, seed: int) -> str:
-    """The columns of the synthetic sales table with outliers and missing values."""
+def sales_sql(ids: str, seed: int) -> str:
+    """The columns of the synthetic sales table with outliers and missing values, one row for each id of a select."""
     u = draw_sql(seed, "group")
     edges = np.cumsum([g[1] for g in synthetic.GROUPS[:-1]]).tolist()
 
@@ -767,22 +773,29 @@ printf('S%03d', floor({draw_sql(seed, 'store')} * 400)::INT) AS store_id, {pick_
 round(income * (1 + 0.15::DOUBLE * {normal_sql(seed, 'income')}), 0) AS income, greatest(0.0::DOUBLE, round(visits + 2 * {normal_sql(seed, 'visits')}, 0)) AS visits, round(score + 6 * {normal_sql(seed, 'score')}, 1) AS score,
 round(12 * {draw_sql(seed, 'tenure')} + visits / 4, 1) AS tenure, round(spend * (1 + 0.25::DOUBLE * {normal_sql(seed, 'spend')}), 2) AS spend, round(0.3::DOUBLE * {draw_sql(seed, 'discount')}, 3) AS discount_rate,
 cluster, 'visit note of a customer in group ' || cluster || ' number ' || id AS memo
-FROM (SELECT id, {of_group(0)} AS cluster, {of_group(2)} AS age, {of_group(3)} AS income, {of_group(4)} AS visits, {of_group(5)} AS score, {of_group(6)} AS spend FROM (SELECT id, {u} AS u FROM range({rows}) AS ids(id))))"""
+FROM (SELECT id, {of_group(0)} AS cluster, {of_group(2)} AS age, {of_group(3)} AS income, {of_group(4)} AS visits, {of_group(5)} AS score, {of_group(6)} AS spend FROM (SELECT id, {u} AS u FROM ({ids}))))"""
 
 
-def customers_sql(rows: int, seed: int) -> str:
+def customers_sql(ids: str, seed: int) -> str:
     return f"""SELECT printf('C%06d', id) AS customer_id, strftime(DATE '2020-01-01' + floor({draw_sql(seed, 'signup')} * 1500)::INT, '%Y-%m-%d') AS signup, tier, round(40 + 12 * {normal_sql(seed, 'age')}, 1) AS age,
 round(worth * (1 + 0.3::DOUBLE * {normal_sql(seed, 'worth')}), 2) AS ltv, floor(worth / 150 + 10 * {draw_sql(seed, 'orders')})::BIGINT AS orders, floor(3 * {draw_sql(seed, 'refunds')})::BIGINT AS refunds,
 floor(11 * {draw_sql(seed, 'nps')})::BIGINT AS nps, {draw_sql(seed, 'active')} < 0.8 AS active FROM (SELECT id, tier, CASE tier WHEN 'gold' THEN 5200.0::DOUBLE WHEN 'silver' THEN 1900.0::DOUBLE ELSE 600.0::DOUBLE END AS worth
-FROM (SELECT id, CASE WHEN {draw_sql(seed, 'tier')} < 0.6 THEN 'bronze' WHEN {draw_sql(seed, 'tier')} < 0.9 THEN 'silver' ELSE 'gold' END AS tier FROM range({rows}) AS ids(id)))"""
+FROM (SELECT id, CASE WHEN {draw_sql(seed, 'tier')} < 0.6 THEN 'bronze' WHEN {draw_sql(seed, 'tier')} < 0.9 THEN 'silver' ELSE 'gold' END AS tier FROM ({ids})))"""
+
+
+ORDER_IDS, CUSTOMER_IDS, PART_IDS = "SELECT o_orderkey AS id FROM orders", "SELECT c_custkey AS id FROM customer", "SELECT p_partkey AS id FROM part"
 
 
-@query(" UNION ALL ".join(f"SELECT *, 'sales_{i}' AS file FROM ({sales_sql(500, 7 + i)})" for i in range(2)))
+def ids_of(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return read(spark, sf_dir, name).select(F.col(key).alias("id"))
+
+
+@query(" UNION ALL ".join(f"SELECT *, 'sales_{i}' AS file FROM ({sales_sql(ids, 7 + i)})" for i, ids in enumerate((CUSTOMER_IDS, PART_IDS))))
 def merge_group(spark, sf_dir):
-    """A synthetic folder written, found, merged."""
+    """Synthetic sales of each customer and each part written to a folder, found, merged."""
     folder = folder_of(spark, "merge")
-    for i in range(2):
-        delimited.write_delimited(synthetic.sales(spark, 500, 7 + i).coalesce(1), f"{folder}/sales_{i}.csv")
+    for i, (name, key) in enumerate((("customer", "c_custkey"), ("part", "p_partkey"))):
+        delimited.write_delimited(synthetic.sales_of(ids_of(spark, sf_dir, name, key), 7 + i), f"{folder}/sales_{i}.csv")
     merged = delimited.merge_group(spark, delimited.find_files(spark, folder))
     return merged.withColumn("file", F.split(delimited.SOURCE, r"\.").getItem(0)).drop(delimited.SOURCE)
 
@@ -791,7 +804,7 @@ def merge_group(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     """customer written as CSV, sniffed, read and typed again."""
     folder = folder_of(spark, "csv")
-    delimited.write_delimited(read(spark, sf_dir, "customer").coalesce(1), folder)
+    delimited.write_delimited(read(spark, sf_dir, "customer"), folder)
     return delimited.merge_group(spark, delimited.find_files(spark, folder)).drop(delimited.SOURCE)
 
 
@@ -805,7 +818,7 @@ def header_sql(table: str) -> str:
 def written_tables(spark: SparkSession, sf_dir: str, tables: dict[str, str]) -> str:
     folder = folder_of(spark, "tables")
     for name, separator in tables.items():
-        delimited.write_delimited(read(spark, sf_dir, name).limit(50).coalesce(1), f"{folder}/{name}", separator=separator)
+        delimited.write_delimited(read(spark, sf_dir, name), f"{folder}/{name}", separator=separator)
     return folder
 
 
@@ -865,14 +878,16 @@ def distribution_csv(spark, sf_dir):
     return read_back(spark, path, ", ".join(f"`{n}` {t}" for n, t in made.dtypes))
 
 
-@query(sales_sql(10_000, 7))
+@query(sales_sql(ORDER_IDS, 7))
 def synthetic_sales(spark, sf_dir):
-    return synthetic.sales(spark, 10_000)
+    """A synthetic visit for each order."""
+    return synthetic.sales_of(ids_of(spark, sf_dir, "orders", "o_orderkey"))
 
 
-@query(customers_sql(2_000, 7))
+@query(customers_sql(CUSTOMER_IDS, 7))
 def synthetic_customers(spark, sf_dir):
-    return synthetic.customers(spark, 2_000)
+    """A synthetic customer for each given one."""
+    return synthetic.customers_of(ids_of(spark, sf_dir, "customer", "c_custkey"))
 
 
 U_OF_ORDER = "((('0x' || substr(md5('3:{name}:' || o_orderkey), 1, 8))::BIGINT + 1) / 4294967297::DOUBLE)"
@@ -968,9 +983,17 @@ def size_check(spark, sf_dir):
 LIMITS = "p_brand=5, ,p_type = 2,"
 
 
-@query(f"SELECT trim(split_part(part, '=', 1)) AS name, trim(split_part(part, '=', 2))::BIGINT AS n FROM (SELECT unnest(string_split('{LIMITS}', ',')) AS part) WHERE trim(part) <> ''")
+@query(
+    f"""WITH l AS (SELECT trim(split_part(part, '=', 1)) AS name, trim(split_part(part, '=', 2))::BIGINT AS n FROM (SELECT unnest(string_split('{LIMITS}', ',')) AS part) WHERE trim(part) <> ''),
+d AS (SELECT 'p_brand' AS name, count(DISTINCT p_brand) AS levels FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part)
+SELECT name, n, levels, least(n, levels) AS kept FROM l JOIN d USING (name)"""
+)
 def parsed_limits(spark, sf_dir):
-    return spark.createDataFrame(list(vocabulary.parse_limits(LIMITS).items()), "name string, n long")
+    """Limits as the command line gives them, beside the levels that they meet."""
+    limits = vocabulary.parse_limits(LIMITS)
+    levels = read(spark, sf_dir, "part").agg(*[F.count_distinct(c).alias(c) for c in limits])
+    rows = [F.struct(F.lit(c).alias("name"), F.lit(n).cast("long").alias("n"), F.col(c).alias("levels"), F.least(F.lit(n).cast("long"), F.col(c)).alias("kept")) for c, n in limits.items()]
+    return levels.select(F.inline(F.array(*rows)))
 
 
 @query(
@@ -985,16 +1008,31 @@ def limit_coverage(spark, sf_dir):
     return found.select(F.col("column").alias("name"), "levels_before", "rows_before", "levels_after", "rows_after", F.round("row_coverage", 9).alias("coverage"), "summary")
 
 
-@query("SELECT t / 7.0::DOUBLE AS trust, c * 12.4::DOUBLE AS covered, round(50 * (t / 7.0::DOUBLE) + 0.5::DOUBLE * (c * 12.4::DOUBLE), 1) AS score FROM range(8) AS a(t), range(9) AS b(c)")
+AXES = """axes AS (SELECT p_brand AS brand, avg(p_retailprice) / (SELECT max(p_retailprice) FROM part) AS trust, 100 * avg((p_retailprice < (SELECT avg(p_retailprice) FROM part))::INT) AS covered, 100 * avg((p_type LIKE '%STEEL%')::INT) AS related FROM part GROUP BY 1)"""
+
+
+def axes_of(spark: SparkSession, sf_dir: str) -> list:
+    """Three measures of the parts of each brand (25 brands) as stand-ins for measured axes."""
+    part = read(spark, sf_dir, "part")
+    mean, most = part.agg(F.avg("p_retailprice"), F.max("p_retailprice")).first()
+    shares = part.groupBy("p_brand").agg(
+        (F.avg("p_retailprice") / F.lit(most)).alias("trust"),
+        (100 * F.avg((F.col("p_retailprice") < F.lit(mean)).cast("int"))).alias("covered"),
+        (100 * F.avg(F.col("p_type").contains("STEEL").cast("int"))).alias("related"),
+    )
+    return shares.collect()
+
+
+@query(f"WITH {AXES} SELECT brand, trust, covered, round(50 * trust + 0.5::DOUBLE * covered, 1) AS score FROM axes")
 def structure_score(spark, sf_dir):
-    grid = [(t / 7, c * 12.4) for t in range(8) for c in range(9)]
-    return spark.createDataFrame([(t, c, structure.structure_score(t, c)) for t, c in grid], "trust double, covered double, score double")
+    rows = [(r.p_brand, r.trust, r.covered, structure.structure_score(r.trust, r.covered)) for r in axes_of(spark, sf_dir)]
+    return spark.createDataFrame(rows, "brand string, trust double, covered double, score double")
 
 
-@query("SELECT a * 30.0::DOUBLE AS distribution, b * 40.0::DOUBLE AS correlation, c * 25.0::DOUBLE AS structure, round((a * 30.0::DOUBLE + b * 40.0::DOUBLE + c * 25.0::DOUBLE) / 3, 1) AS total FROM range(4) AS x(a), range(3) AS y(b), range(5) AS z(c)")
+@query(f"WITH {AXES} SELECT brand, covered AS distribution, related AS correlation, 100 * trust AS structure, round((covered + related + 100 * trust) / 3, 1) AS total FROM axes")
 def axes_score(spark, sf_dir):
-    grid = [(a * 30.0, b * 40.0, c * 25.0) for a in range(4) for b in range(3) for c in range(5)]
-    return spark.createDataFrame([(*g, structure.overall_score(*g)["total"]) for g in grid], "distribution double, correlation double, structure double, total double")
+    rows = [(r.p_brand, r.covered, r.related, 100 * r.trust, structure.overall_score(r.covered, r.related, 100 * r.trust)["total"]) for r in axes_of(spark, sf_dir)]
+    return spark.createDataFrame(rows, "brand string, distribution double, correlation double, structure double, total double")
 
 
 @query("SELECT count(*) AS accounted, count(*) AS members, true AS reps_are_rows FROM orders")

@@ -35,8 +35,12 @@ def _pick(values: tuple, u: Column) -> Column:
 
 
 def sales(spark: SparkSession, rows: int, seed: int = 7, clean: bool = False) -> DataFrame:
-    """Fifteen columns with six latent groups; outliers and missing values unless ``clean``."""
-    base = spark.range(rows)
+    """sales_of ``rows`` new ids."""
+    return sales_of(spark.range(rows), seed, clean)
+
+
+def sales_of(base: DataFrame, seed: int = 7, clean: bool = False) -> DataFrame:
+    """A row for each id: fifteen columns with six latent groups; outliers and missing values unless ``clean``."""
     edge, group, mean = 0.0, F.lit(GROUPS[-1][0]), [F.lit(float(x)) for x in GROUPS[-1][2:]]
     bounds = []
     for g in GROUPS:
@@ -80,11 +84,16 @@ def with_missing(df: DataFrame, seed: int) -> DataFrame:
 
 
 def customers(spark: SparkSession, rows: int, seed: int = 7) -> DataFrame:
-    """Nine columns with values that depend on the tier."""
+    """customers_of ``rows`` new ids."""
+    return customers_of(spark.range(rows), seed)
+
+
+def customers_of(base: DataFrame, seed: int = 7) -> DataFrame:
+    """A row for each id: nine columns with values that depend on the tier."""
     tier = F.when(_u(seed, "tier") < 0.6, "bronze").when(_u(seed, "tier") < 0.9, "silver").otherwise("gold")
     worth = F.when(F.col("tier") == "gold", 5200.0).when(F.col("tier") == "silver", 1900.0).otherwise(600.0)
     return (
-        spark.range(rows)
+        base.select("id")
         .withColumn("tier", tier)
         .select(
             F.format_string("C%06d", F.col("id")).alias("customer_id"),

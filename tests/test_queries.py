@@ -3,9 +3,10 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from tarn.operators import features
+from tarn.operators import catfidelity, features, units
 from tarn.plans import catalogue, search
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,24 @@ def test_ratio_search_keeps_the_last(spark):
     line = catalogue.read(spark, SF, "lineitem")
     made = search.search_ratio(line, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER, catalogue.COLUMNS, target=101)
     assert made.ratio == search.RATIOS[-1]
+
+
+@pytest.mark.parametrize("combos", [None, [["l_returnflag", "l_linenumber"], ["absent", "l_tax"]]])
+def test_ladder_scores_equal_each_ratio_alone(spark, combos):
+    line = catalogue.read(spark, SF, "lineitem").withColumn("l_linestatus", F.when(F.col("l_partkey") % 7 != 0, F.col("l_linestatus")))
+    made = catfidelity.ladder_scores(line, catalogue.COLUMNS, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER, (0.05, 0.3), combos)
+    for r in made.collect():
+        red = units.stratified_units(line, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER, r.ratio)
+        alone = catfidelity.grouped_similarity(line, red.rows, catalogue.COLUMNS, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER, combos).first()
+        assert (r.total, r["columns"], r.combos, r.unit_size) == pytest.approx((alone.total, alone["columns"], alone.combos, alone.unit_size), abs=0.051)
+        assert (r.units_kept, r.rows_kept) == (red.units_kept, red.rows.count())
+
+
+def test_ladder_without_units_has_no_total(spark):
+    few = spark.createDataFrame([(i, "s") for i in range(5)], "u long, s string")
+    made = catfidelity.ladder_scores(few, [], ["u"], ["s"], ["u"], (0.01, 1.0), [["absent"]], min_units=0).orderBy("ratio").collect()
+    assert [(r.units_kept, r.total) for r in made] == [(0, None), (5, 100.0)]
+    with pytest.raises(ValueError):
+        search.search_ratio(few, ["u"], ["s"], ["u"], [], min_units=0, ratios=(0.01,))
+    with pytest.raises(ValueError):
+        search.search_ratio(few, ["u"], ["s"], ["u"], [], ratios=(0.0, 1.5))
