@@ -1,6 +1,7 @@
 """Cluster-based reduction: outliers, proportional allocation, sub-groups, representatives.
 
-Centres are fitted on all rows, in rounds that sum where the rows lie; a draw
+Centres are fitted on all rows: base ones by mini-batches in every task, sub-groups' in
+rounds that sum where the rows lie; a draw
 (SUB_ROWS rows, or four per sub-group in a cluster) only gives the sub-groups'
 first centres, and those of a cluster with very many sub-groups part by part. No
 cluster is ever held by one task.
@@ -26,6 +27,7 @@ from tarn.operators.stratified import allocate
 MIN_PER_CLUSTER, LEAST_BASE, MOST_BASE, OUTLIER_SHARE, OUTLIER_LEAST_ROWS = 30, 5, 50, 0.001, 10
 SUB_ROWS, SEED_ROWS, LLOYD_ROUNDS, MOST_AT_ONCE = 2_000, 5_000, 12, 128
 LEAST_GAIN = 0.01  # a round that lowers the squared distances by a smaller share is the last
+STREAM_BATCH, STREAM_PASSES = 1024, 3
 
 
 @dataclass
@@ -76,13 +78,58 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray, step: int = 1024) ->
 
 
 def fit_centres(df: DataFrame, k: int, seed: int, key: Sequence[str] = ()) -> np.ndarray:
-    """k-means centres of the ``features`` of all rows: a draw of SEED_ROWS rows gives the first ones, rounds over all rows move them."""
+    """k-means centres of the ``features`` of all rows: a draw of SEED_ROWS rows gives the first ones, mini-batches of all rows move them."""
     width = len(df.select("features").first().features)
     if k == 1:
         return np.array([df.agg(*[F.avg(F.col("features")[i]) for i in range(width)]).first()], float)
     drawn = smallest(df, SEED_ROWS, key, seed)[0].select(F.lit(0).alias("_cluster"), F.lit(k).alias("_alloc"), "features")
     first = drawn.groupBy("_cluster").applyInPandas(_sub_centres(seed), "_cluster int, centres array<double>").first()
-    return sub_lloyd(df.select(F.lit(0).alias("_cluster"), "features"), {0: np.array(first.centres).reshape(-1, width)}, width)[0]
+    return stream_centres(df, np.array(first.centres).reshape(-1, width))
+
+
+def _stream_batches(centres: np.ndarray):
+    """Centres moved by the mini-batches of a task; each comes as rows held, summed squared distances, and rows times centre."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved, held, spread = centres.copy(), np.zeros(len(centres)), np.zeros(len(centres))
+        for batch in batches:
+            points = points_of(batch.column("features")) if batch.num_rows else np.zeros((0, centres.shape[1]))
+            for a in range(0, len(points), STREAM_BATCH):
+                part = points[a : a + STREAM_BATCH]
+                own, near = nearest_centre(part, moved)
+                new = np.bincount(own, minlength=len(moved))
+                spread += np.bincount(own, near * near, minlength=len(moved))
+                sums = np.stack([np.bincount(own, x, minlength=len(moved)) for x in part.T], axis=1)
+                on = new > 0
+                held += new
+                # A centre's rate is the share of its rows so far that are new.
+                moved[on] += (sums[on] - new[on, None] * moved[on]) / held[on, None]
+        on = np.flatnonzero(held)
+        whole = np.concatenate([held[on, None], spread[on, None], held[on, None] * moved[on]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(whole.tolist(), pa.list_(pa.float64()))], names=["centre", "sums"])
+
+    return task
+
+
+def stream_centres(df: DataFrame, centres: np.ndarray, passes: int = STREAM_PASSES) -> np.ndarray:
+    """``centres`` after at most ``passes`` passes of mini-batch k-means over all rows and one full round.
+
+    Every task streams its rows in batches of STREAM_BATCH and moves its own copy of the centres, each by
+    its own falling rate; the copies are averaged by the rows that they hold. One job a pass, and a
+    task holds one batch and k centres. The full round leaves true means. A centre without rows stays.
+    """
+    width, before = centres.shape[1], np.inf
+    for _ in range(passes):
+        parts = df.select("features").mapInArrow(_stream_batches(centres), "centre long, sums array<double>")
+        total = parts.groupBy("centre").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 2)]).alias("sums")).collect()  # at most k rows
+        spread = sum(r.sums[1] for r in total)
+        centres = centres.copy()
+        for r in total:
+            centres[r.centre] = np.array(r.sums[2:]) / r.sums[0]
+        if spread >= (1 - LEAST_GAIN) * before:
+            break
+        before = spread
+    return sub_lloyd(df.select(F.lit(0).alias("_cluster"), "features"), {0: centres}, width, rounds=1)[0]
 
 
 def points_of(column: pa.Array) -> np.ndarray:
@@ -193,10 +240,10 @@ def _sub_sums(centres: dict[int, np.ndarray]):
     return task
 
 
-def sub_lloyd(based: DataFrame, centres: dict[int, np.ndarray], width: int) -> dict[int, np.ndarray]:
+def sub_lloyd(based: DataFrame, centres: dict[int, np.ndarray], width: int, rounds: int = LLOYD_ROUNDS) -> dict[int, np.ndarray]:
     """``centres`` of each cluster's sub-groups after k-means rounds over all rows; an empty one stays."""
     before = np.inf
-    for _ in range(LLOYD_ROUNDS):
+    for _ in range(rounds):
         parts = based.select("_cluster", "features").mapInArrow(_sub_sums(centres), "rep_id long, sums array<double>")
         total = parts.groupBy("rep_id").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width + 2)]).alias("sums")).collect()  # about n rows
         spread = sum(r.sums[-1] for r in total)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.expressions import level
-from tarn.operators import catfidelity, charts, clustering, drawing, features, fidelity, layout, ordered, profile, relations, stratified, structure, units, vocabulary
+from tarn.operators import catfidelity, charts, clustering, drawing, features, fidelity, items, layout, ordered, profile, relations, stratified, structure, units, vocabulary
 from tarn.plans import cli, search
 from tarn.sources import delimited, reports, synthetic
 
@@ -1078,3 +1078,32 @@ def units_command(spark, sf_dir):
     done = cli.units_main(spark, arguments)[0]
     names = ("original_rows", "reduced_rows", "units_total", "units_kept", "strata_total")
     return spark.createDataFrame([tuple(done[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+# --- items -----------------------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, bool_and(coalesce(regexp_matches(text, '[.!?]\\s*$'), false)) AS done FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+SELECT conv_id, turn FROM t WHERE NOT done AND (turn < 1 OR EXISTS (SELECT 1 FROM t p WHERE p.conv_id = t.conv_id AND p.turn = t.turn - 1 AND p.done))
+AND (turn < 2 OR EXISTS (SELECT 1 FROM t p WHERE p.conv_id = t.conv_id AND p.turn = t.turn - 2 AND p.done))"""
+)
+def ready_turns(spark, sf_dir):
+    """Turns that are not ended while the two before them are: those to be written next."""
+    turn = F.col("turn")
+    before = F.array(*[F.struct("conv_id", (turn - k).alias("turn")) for k in (1, 2)])
+    return items.ready_items(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], F.col("text").rlike(r"[.!?]\s*$"), F.filter(before, lambda need: need["turn"] >= 0))
+
+
+@query(
+    """SELECT r_name AS region, n_name AS nation, (2 - grouping(r_name) - grouping(n_name))::INT AS depth, count(*) AS orders, count(*) FILTER (o_orderstatus = 'O') AS open_orders, round(sum(o_totalprice), 2) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"""
+)
+def order_rollup(spark, sf_dir):
+    """Orders by region and nation, with totals of regions and of all."""
+    tables = {t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")}
+    # Orders are summed by customer before they travel, so the joins meet one row a customer.
+    per = tables["orders"].groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.sum("o_totalprice").alias("price"))
+    named = per.join(tables["customer"], F.col("o_custkey") == F.col("c_custkey")).join(tables["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    measures = [F.sum("n").alias("orders"), F.sum("open").alias("open_orders"), F.round(F.sum("price"), 2).alias("total")]
+    return items.rolled_up(named.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), "n", "open", "price"), ["region", "nation"], measures)

@@ -10,7 +10,7 @@ from tarn.operators import catfidelity, features, units
 from tarn.plans import catalogue, search
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 
 
 @pytest.fixture(scope="module")

@@ -183,3 +183,22 @@ def test_subgroups_are_fitted_on_all_rows(spark, monkeypatch):
 def test_centres_are_means_of_all_rows(spark):
     df = spark.createDataFrame([(i, [float(i % 7)]) for i in range(60_000)], "k long, features array<double>")
     assert abs(clustering.fit_centres(df, 1, 0)[0][0] - np.mean([i % 7 for i in range(60_000)])) < 1e-9
+
+
+def test_streamed_centres_are_as_tight_as_full_rounds(spark):
+    rng = np.random.default_rng(3)
+    near = rng.normal(rng.integers(0, 12, (20_000, 1)) * 5.0, 1.0, (20_000, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(near)], "id long, features array<double>").repartition(4, "id").persist()
+
+    def spread(centres):
+        return (clustering.nearest_centre(near, centres)[1] ** 2).sum()
+
+    first = near[:: len(near) // 20][:20]
+    full = clustering.sub_lloyd(df.select(F.lit(0).alias("_cluster"), "features"), {0: first}, 3)[0]
+    made = clustering.stream_centres(df, first)
+    assert spread(made) <= 1.02 * spread(full)
+    # A centre that nothing is near stays; empty tables move nothing.
+    far = np.vstack([first, [[1e6] * 3]])
+    assert (clustering.stream_centres(df, far)[-1] == 1e6).all()
+    assert (clustering.stream_centres(df.limit(0), first) == first).all()
+    df.unpersist()
