@@ -1084,15 +1084,15 @@ def units_command(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, bool_and(coalesce(regexp_matches(text, '[.!?]\\s*$'), false)) AS done FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+    """WITH t AS (SELECT conv_id, turn, bool_and(coalesce(length(text) >= 200, false)) AS done FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
 SELECT conv_id, turn FROM t WHERE NOT done AND (turn < 1 OR EXISTS (SELECT 1 FROM t p WHERE p.conv_id = t.conv_id AND p.turn = t.turn - 1 AND p.done))
 AND (turn < 2 OR EXISTS (SELECT 1 FROM t p WHERE p.conv_id = t.conv_id AND p.turn = t.turn - 2 AND p.done))"""
 )
 def ready_turns(spark, sf_dir):
-    """Turns that are not ended while the two before them are: those to be written next."""
+    """Turns of under 200 characters whose two turns before them have more: those to be written next."""
     turn = F.col("turn")
     before = F.array(*[F.struct("conv_id", (turn - k).alias("turn")) for k in (1, 2)])
-    return items.ready_items(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], F.col("text").rlike(r"[.!?]\s*$"), F.filter(before, lambda need: need["turn"] >= 0))
+    return items.ready_items(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], F.length("text") >= 200, F.filter(before, lambda need: need["turn"] >= 0))
 
 
 @query(
