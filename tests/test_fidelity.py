@@ -123,6 +123,14 @@ def test_trust_and_coverage(spark):
         structure.coverage(df, df.limit(0), ["id"])
 
 
+def test_coverage_takes_every_row(spark):
+    rows = spark.range(structure.COVERAGE_ROWS + 5_000).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    found = structure.coverage(rows, rows.filter("id % 1000 = 0"), ["id"])
+    distances = [min(i % 1000, 1000 - i % 1000) if i < structure.COVERAGE_ROWS + 4_001 else i % 1000 for i in range(structure.COVERAGE_ROWS + 5_000)]
+    assert found["sampled"] == len(distances)
+    assert abs(found["p95_distance"] / found["mean_distance"] - np.quantile(distances, 0.95) / np.mean(distances)) < 1e-3
+
+
 def test_overall():
     assert structure.overall_score(90, 60, 30)["total"] == 60.0
     with pytest.raises(ValueError):
