@@ -43,6 +43,7 @@ LEAST_SHARED = 22  # bytes; 99.99 % of the pairs at 0.8 share so many
 SHORT_LIST, BLOCK = 4, 2048
 LONG_LIST, ANCHORS = 1024, 256  # members from which a list is split, and first members that all others of it meet
 SPLIT, SPLITS = 3, 2  # further bytes in the key of a split list, and times a list is split
+PAIRS_AT_ONCE = 64  # whose texts are unpacked together
 PARTNERS = 1  # of each member of a longer list in the first round: chains join a group, the next round finds it whole
 MORE_PARTNERS = 8  # times as many in every further round
 SLICES = 512  # parity bits of each set of shingles
@@ -317,20 +318,28 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=batch.schema.names)
 
 
-def _packed_sets_task(words: int):
-    """(id, compressed text) in, (id, grams) out."""
+def _alike_task(words: int, similarity: float):
+    """(a, b, compressed texts) in, (a, b) of those whose sets of shingles have that Jaccard similarity out."""
+
+    def sets(column: pa.Array, expand: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+        return shingle_sets(pa.array([expand.decompress(x.as_buffer()) for x in column], pa.binary()), words)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = pa.array([expand.decompress(x.as_buffer()) for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(texts, words), pa.list_(pa.int64()))], names=["id", "grams"])
+            for i in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(i, PAIRS_AT_ONCE)
+                both = list(zip(sets(part.column(2), expand), sets(part.column(3), expand), strict=True))
+                same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
+                every = [len(x) + len(y) - n for (x, y), n in zip(both, same, strict=True)]
+                alike = pa.array([n > 0 and m >= similarity * n for m, n in zip(same, every, strict=True)], pa.bool_())
+                yield part.select([0, 1]).filter(alike)
 
     return tidy(task)
 
 
-def _marks_task(words: int, similarity: float, shared):
-    """(doc_id, text, hash, hash_2) in; size, positional bytes, parity bits and, with ``shared``, the prefix instead of the text out."""
+def _marks_task(words: int):
+    """(doc_id, text, hash, hash_2) in; size, positional bytes and parity bits instead of the text out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,11 +347,18 @@ def _marks_task(words: int, similarity: float, shared):
             bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, len(PARITY))
             marks = np.concatenate([positional_bytes(sets), bits], axis=1)
             made = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array(marks[:, k].copy()) for k in range(len(SKETCH))]]
-            names = ["doc_id", "hash", "hash_2", "size", *SKETCH]
-            if shared is not None:
-                made.append(pa.array([prefix(x, similarity, *shared.value) for x in sets], pa.list_(pa.int64())))
-                names.append("head")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=["doc_id", "hash", "hash_2", "size", *SKETCH])
+
+    return tidy(task)
+
+
+def _heads_task(words: int, similarity: float, shared):
+    """(doc_id, text, hash, hash_2) in; the prefix instead of the text out."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = pa.array([prefix(x, similarity, *shared.value) for x in shingle_sets(batch.column(1), words)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), heads], names=["doc_id", "hash", "hash_2", "head"])
 
     return tidy(task)
 
@@ -358,19 +374,14 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return common[order], -order
 
 
-def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
-    both = (
-        pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-        .join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-        .withColumn("same", F.size(F.array_intersect("x", "y")))
-    )
-    every = F.size("x") + F.size("y") - F.col("same")
-    return both.filter((every > 0) & (F.col("same") >= F.lit(similarity) * every)).select("a", "b")
+    both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike_task(words, similarity), "a long, b long")
 
 
 def _links(
-    posted: DataFrame, lists_of: Callable[[DataFrame], DataFrame], near: Near, sets_of: Callable[[DataFrame], DataFrame], similarity: float, links: DataFrame | None, roots: DataFrame | None
+    posted: DataFrame, lists_of: Callable[[DataFrame], DataFrame], near: Near, texts_of: Callable[[DataFrame], DataFrame], words: int, similarity: float, links: DataFrame | None, roots: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
     """(a, b) of ``links`` and of all links between texts ``posted`` (key, state, node, root) in one list; and (node, root)."""
     longs = ", ".join(f"x{k} long" for k in range(len(SKETCH)))
@@ -381,7 +392,7 @@ def _links(
         return lists_of(posted).select("key", "state", "size", "node", "root", *[F.col(s).alias(f"x{k}") for k, s in enumerate(SKETCH)])
 
     lists = with_sketch(posted)
-    grams = tried = None
+    held = tried = None
     partners = PARTNERS
     while True:
         # One order in all lists: two texts that meet in many of them make the same pair.
@@ -389,9 +400,9 @@ def _links(
         met = write_table(dealt.mapInArrow(_lists_task(partners, near, LONG_LIST), f"a long, b long, key long, size long, {longs}, state long"), "like-lists")
         pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "like-pairs")
-        if grams is None:
-            grams = write_table(sets_of(met.select(F.explode(F.array("a", "b")).alias("node")).filter(F.col("node").isNotNull()).distinct()), "like-sets")
-        fresh = write_table(_alike(pairs, grams, similarity), "like-links")
+        if held is None:
+            held = write_table(texts_of(met.select(F.explode(F.array("a", "b")).alias("node")).filter(F.col("node").isNotNull()).distinct()), "like-held")
+        fresh = write_table(_alike(pairs, held, words, similarity), "like-links")
         if roots is None or not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             roots = components(links)
@@ -414,20 +425,18 @@ def grouped_texts(docs: DataFrame, words: int, similarity: float, exact: bool) -
     text = F.coalesce("text", F.lit(""))
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("hash_2"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words)) if exact else None
-    schema = f"doc_id {kind}, hash long, hash_2 long, size long, {', '.join(f'{s} long' for s in SKETCH)}" + ", head array<long>" * exact
-    marked = write_table(rows.mapInArrow(_marks_task(words, similarity, shared), schema), "like-marks")
-    first = marked.groupBy("hash", "hash_2").agg(F.min(F.struct("doc_id", "size", *SKETCH, *["head"] * exact)).alias("row"))
+    schema = f"doc_id {kind}, hash long, hash_2 long, size long, {', '.join(f'{s} long' for s in SKETCH)}"
+    marked = write_table(rows.mapInArrow(_marks_task(words), schema), "like-marks")
+    first = marked.groupBy("hash", "hash_2").agg(F.min(F.struct("doc_id", "size", *SKETCH)).alias("row"))
     # Written, so that the numbers stay: a node is a text, whatever ids its rows have.
     texts = write_table(first.select("hash", "hash_2", "row.*").withColumn("node", F.monotonically_increasing_id()), "like-texts")
     ids = texts.select("doc_id", "hash", "hash_2", "node")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def texts_of(nodes: DataFrame) -> DataFrame:
         # Merge joins at every size: what is asked for grows with the corpus and is not to be broadcast.
         wanted = ids.hint("merge").join(nodes, "node", "left_semi")
         packed = rows.mapInArrow(tidy(packed_texts), f"doc_id {kind}, text binary, hash long, hash_2 long")
-        held = packed.hint("merge").join(wanted, ["doc_id", "hash", "hash_2"]).select("node", "text")
-        return held.mapInArrow(_packed_sets_task(words), "id long, grams array<long>").dropDuplicates(["id"])
+        return packed.hint("merge").join(wanted, ["doc_id", "hash", "hash_2"]).select("node", "text").dropDuplicates(["node"])
 
     keys = [((F.shiftrightunsigned(m, 32) if half else F.col(m).bitwiseAND(F.lit(0xFFFFFFFF))) + F.lit((2 * i + half) << 32)) for i, m in enumerate(MARK) for half in (0, 1)]
     group = F.shiftrightunsigned("key", 32).alias("state")
@@ -437,10 +446,14 @@ def grouped_texts(docs: DataFrame, words: int, similarity: float, exact: bool) -
         met = posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(_apart_task), "key long, state long, node long, root long")
         return met.hint("merge").join(texts.select("node", "size", *SKETCH), "node")
 
-    links, roots = _links(posted, lists_of, may_be_alike(similarity, LEAST_SHARED), sets_of, similarity, None, None)
+    links, roots = _links(posted, lists_of, may_be_alike(similarity, LEAST_SHARED), texts_of, words, similarity, None, None)
     if exact:
-        heads = texts.join(roots, "node", "left").select(F.explode("head").alias("key"), F.lit(-1).cast("long").alias("state"), "node", F.coalesce("root", "node").alias("root"))
-        _, roots = _links(heads, lists_of, may_be_alike(similarity, 0), sets_of, similarity, links, roots)
+        shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+        headed = rows.mapInArrow(_heads_task(words, similarity, shared), f"doc_id {kind}, hash long, hash_2 long, head array<long>")
+        grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        met = headed.hint("merge").join(grouped, ["doc_id", "hash", "hash_2"])
+        heads = met.select(F.explode("head").alias("key"), F.lit(-1).cast("long").alias("state"), "node", "root")
+        _, roots = _links(heads, lists_of, may_be_alike(similarity, 0), texts_of, words, similarity, links, roots)
     return marked.select("doc_id", "hash", "hash_2"), ids.join(roots, "node", "left").select("hash", "hash_2", "doc_id", F.coalesce("root", "node").alias("group"))
 
 
