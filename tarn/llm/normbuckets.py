@@ -117,9 +117,11 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector_column: str, every: i
     queries = V.packed(asked.repartition(spread, "id"), V.QUERY_ROWS)
     longest = buckets.orderBy(F.desc("longest"), "block").limit(1)
     rows_schema = V.found_schema("long")
-    first = V.pairs(longest.withColumn("block", F.lit(0).cast("long")), queries, 1).mapInArrow(tidy(V.search_task(_first_pass(k), pa.int64())), rows_schema)
+    named = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    met = named.crossJoin(F.broadcast(longest))  # one block
+    first = met.mapInArrow(tidy(V.search_task(_first_pass(k), pa.int64())), rows_schema)
     floors = first.select(F.col("query_row").alias("row"), "score")
-    armed = asked.join(floors, "row", "left").select("id", "row", F.concat(F.array(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))), "v").alias("v"))
+    armed = asked.hint("merge").join(floors, "row", "left").select("id", "row", F.concat(F.array(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))), "v").alias("v"))
     ready = write_table(V.packed(armed.repartition(spread, "id"), V.QUERY_ROWS), "norm-queries")
     found = V.pairs(buckets, ready, slots).mapInArrow(tidy(V.search_task(_pruned(k), pa.int64())), rows_schema)
     return V.best(found, k)

@@ -19,6 +19,7 @@ from tarn.llm.buffers import tidy
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+SLOTS_A_CORE = 4
 BLOCK_SCHEMA = "block long, ids binary, rows binary, vectors binary, dim long, longest double, shortest double"
 
 
@@ -103,11 +104,14 @@ def pairs(candidates: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
     """Every candidate block beside every query block.
 
     Candidate blocks stay where their slot puts them; the stated query set, in
-    blocks, is sent to each slot once, and the two meet in an equi-join on it.
+    blocks, is sent to each slot once, and the two meet in an equi-join on it. There are
+    at most SLOTS_A_CORE slots a core, so what is sent grows as the queries do. A merge join at
+    every size: Spark takes the exploded queries for as small as their files and would broadcast them.
     """
+    slots = min(slots, SLOTS_A_CORE * candidates.sparkSession.sparkContext.defaultParallelism)
     named = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
     sent = named.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return candidates.withColumn("slot", F.pmod(F.shiftright("block", 32), F.lit(slots)).cast("int")).join(sent, "slot")
+    return candidates.withColumn("slot", F.pmod(F.shiftright("block", 32), F.lit(slots)).cast("int")).hint("merge").join(sent, "slot")
 
 
 def slots_for(rows: int, block: int = BLOCK_ROWS) -> int:

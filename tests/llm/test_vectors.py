@@ -98,3 +98,12 @@ def test_fewer_candidates_than_k_and_empty(spark):
 
 def test_ties_go_to_smaller_ids():
     assert list(vectorblocks.top_rows(np.array([1, 2, 2, 0]), np.array([9, 8, 7, 1]), 2)) == [2, 1]
+
+
+def test_queries_sent_to_all_blocks_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, i, [float(i), 1.0]) for i in range(40)], "id long, row long, v array<double>")
+    blocks = vectorblocks.packed(rows, 4)
+    met = vectorblocks.pairs(blocks, blocks, 1_000)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == blocks.count() ** 2
+    assert met.agg({"slot": "max"}).first()[0] < vectorblocks.SLOTS_A_CORE * spark.sparkContext.defaultParallelism
