@@ -203,7 +203,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     posted = each.withColumn("s", _ways(((0, 0, "left"), (0, 0, "right")))).select(_key().alias("key"), F.col("last").alias("ends"), F.col("word").alias("other"), F.col("n").alias("n_other"))
     probes = each.filter("pivot").withColumn("s", _ways(SHIFTS)).select(_key().alias("key"), "last", "word", "n")
     posted, probes = (x.filter(F.col("key").isNotNull()) for x in (posted, probes))
-    met = probes.join(posted, "key").filter((F.col("last") <= F.col("ends")) & (F.col("word") != F.col("other")))
+    # Merge joins, here and below: words grow with the corpus, and Spark takes exploded rows for as small as the table they come from.
+    met = probes.hint("merge").join(posted, "key").filter((F.col("last") <= F.col("ends")) & (F.col("word") != F.col("other")))
     near = met.filter(F.levenshtein("word", "other", 1) == 1)
     first = F.col("word") < F.col("other")
     pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("word", "other", "a"), ("other", "word", "b"), ("n", "n_other", "n_a"), ("n_other", "n", "n_b"))]
@@ -219,7 +220,7 @@ def roots(forms: DataFrame) -> DataFrame:
     links = write_table(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         further = links.select(F.col("word").alias("via"), F.col("root").alias("beyond"))
-        after = links.join(further, F.col("root") == F.col("via"), "left")
+        after = links.hint("merge").join(further, F.col("root") == F.col("via"), "left")
         links = write_table(after.select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "spelling-roots")
         if links.filter("moved").isEmpty():
             return links.select("word", "root")
@@ -252,7 +253,8 @@ def group_variants(docs: DataFrame, shortest: int = 5, least: int = 3, outweigh:
     told = write_table(linked.select("word", "n_near", F.when(outweighs, F.col("best.other")).alias("form"), F.when(outweighs, -F.col("best.less")).alias("form_n")), "spelling-forms")
     ends = roots(told.filter(F.col("form").isNotNull()).select("word", "form"))
     return (
-        words.join(told, "word", "left")
+        words.hint("merge").join(told, "word", "left")
+        .hint("merge")
         .join(ends, "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
     )

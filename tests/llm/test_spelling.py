@@ -107,3 +107,9 @@ def test_crc_of_slices():
     prefix = np.array([zlib.crc32(str(i).encode()) for i in range(300)], np.uint32)
     found = spelling.crc_states(prefix, data, start, size)
     assert [int(x) for x in found] == [zlib.crc32(data[s : s + n].tobytes(), int(p)) for s, n, p in zip(start, size, prefix, strict=True)]
+
+
+def test_no_join_broadcasts_words(spark):
+    words = spark.createDataFrame([("water", 9), ("wader", 3), ("waters", 4)], "word string, n long")
+    plans = [spelling.near_pairs(words), spelling.group_variants(spark.createDataFrame([("1", "water water water waters waters waters")], "doc_id string, text string"))]
+    assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
