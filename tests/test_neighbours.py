@@ -69,3 +69,13 @@ def test_distances_to_a_reduction(spark, monkeypatch, sent):
     found = {r.id: r.distance for r in structure.nearest_distances(frame(spark, points), frame(spark, targets), ["id"]).collect()}
     want = brute(points, targets, 1, False)
     assert {i: round(d, 9) for i, d in found.items()} == {i: x[0][1] for i, x in want.items()}
+
+
+def test_a_point_travels_once_to_a_slot_of_many_cells(spark):
+    from tarn.operators import neighbours
+
+    rows = spark.createDataFrame([((i,), [float(i)], float("inf")) for i in range(8)], "point struct<id: long>, features array<double>, bound double")
+    pivots, sizes = np.arange(8.0)[:, None], np.ones(8, int)
+    within = np.arange(8)[:, None] // 4 == np.arange(2)[None, :]
+    met = neighbours._visits(rows, pivots, sizes, np.ones(8), within, 8, False).collect()
+    assert len(met) == 16 and all(len(r.cells) == 4 for r in met)
