@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from tarn.operators import catfidelity, features, units
+from tarn.operators import catfidelity, features, structure, units
 from tarn.plans import catalogue, search
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,17 @@ def test_ladder_without_units_has_no_total(spark):
         search.search_ratio(few, ["u"], ["s"], ["u"], [], min_units=0, ratios=(0.01,))
     with pytest.raises(ValueError):
         search.search_ratio(few, ["u"], ["s"], ["u"], [], ratios=(0.0, 1.5))
+
+
+def test_rows_of_a_search_lie_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(search, "PART_ROWS", 100)
+    problem = catalogue.problem_of(spark, SF)
+    parts = [r["count"] for r in problem.rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) == -(-problem.total // 100) and max(parts) < 200
+    problem.rows.unpersist()
+
+
+def test_trustworthiness_takes_its_draw_and_not_all_rows_into_one_task(spark):
+    made = structure.trustworthiness(catalogue.problem_of(spark, SF).rows, ["o_orderkey"], limit=50)
+    assert made.first().sampled == 50
+    assert "Coalesce 1" not in made._jdf.queryExecution().executedPlan().toString()
