@@ -19,12 +19,13 @@ after two splits are compared whole, and their
 work grows with the square of the list. ``exact`` adds
 what it may leave: every text's first shingles in one order for all texts, of which
 two texts at the bound share one at least, are met in lists that join groups that
-are still apart.
+are still apart. Long texts share some rare shingle with many others, so these pairs are
+held against their counts of shingles by slices of the hashes before their texts travel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,15 @@ SPLIT, SPLITS = 3, 2  # further bytes in the key of a split list, and times a li
 PAIRS_AT_ONCE = 64  # whose texts are unpacked together
 PARTNERS = 1  # of each member of a longer list in the first round: chains join a group, the next round finds it whole
 MORE_PARTNERS = 8  # times as many in every further round
-SLICES = 512  # parity bits of each set of shingles
+SLICES, PLANES = 512, 4  # slices of each set of shingles, and bits of the count of each; the first is its parity
+PAIRS_REFINED = 1 << 16  # whose counts are compared together
 ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5000, 3, 1 << 17  # only order the shingles: any order finds all pairs
 
 U = np.uint64
 SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=U)) | U(1)
 MARK = [f"m{k}" for k in range(POSITIONS // 8)]
 PARITY = [f"s{k}" for k in range(SLICES // 64)]
+COUNTS = [*PARITY, *[f"c{k}" for k in range((PLANES - 1) * SLICES // 64)]]
 SKETCH = [*MARK, *PARITY]
 # For each group of positions, the positions outside it by SPLIT.
 FURTHER = np.array([[p for p in range(POSITIONS) if p // GROUP != g] for g in range(POSITIONS // GROUP)]).reshape(POSITIONS // GROUP, -1, SPLIT)
@@ -91,6 +94,55 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def counts(grams: np.ndarray) -> np.ndarray:
+    """How many of the ``grams`` are in each of SLICES slices of the hashes, as PLANES rows of bits; the first is their parity."""
+    held = np.bincount((grams.view(U) % U(SLICES)).astype(np.int64), minlength=SLICES)
+    return np.concatenate([np.packbits((held >> k & 1).astype(np.uint8)) for k in range(PLANES)]).view(np.int64)
+
+
+def apart_by_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of ``counts``, as unsigned, the sum over all slices of the shorter way round from one count to the other.
+
+    Counts are known modulo 2 ** PLANES; an element of one set only moves one count by one, so the sum
+    is at most the number of such elements. All is done on the rows of bits.
+    """
+    gap, lent = [], np.zeros_like(a[..., : a.shape[-1] // PLANES])
+    for x, y in zip(np.split(a, PLANES, axis=-1), np.split(b, PLANES, axis=-1), strict=True):
+        gap.append(x ^ y ^ lent)
+        lent = (~x & y) | (~(x ^ y) & lent)
+    # Differences over a half of the circle are turned round: their bits are inverted and one is added.
+    carry, total = gap[-1], 0
+    for k, d in enumerate(gap[:-1]):
+        turned = d ^ gap[-1]
+        total = total + (np.bitwise_count(turned ^ carry).astype(np.int64).sum(axis=-1) << k)
+        carry = turned & carry
+    return total + (np.bitwise_count(carry).astype(np.int64).sum(axis=-1) << PLANES - 1)
+
+
+def counts_allow(similarity: float) -> Near:
+    """Which of (size, COUNTS) can have that Jaccard similarity; no pair that has it is ruled out.
+
+    Parity bits of sets of over some 1,000 elements are as good as random; counts tell such sets apart
+    up to some 8,000. They are compared only where parity allows the similarity.
+    """
+    words = SLICES // 64
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = a[..., 0].astype(np.int64), b[..., 0].astype(np.int64)
+        most = (x + y) * (1 - similarity) / (1 + similarity) + 1e-6
+        odd = sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int64) for k in range(1, 1 + words))
+        hit = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (odd <= most)
+        wide = (*hit.shape, a.shape[-1])
+        a, b = np.broadcast_to(a, wide), np.broadcast_to(b, wide)
+        at = np.nonzero(hit)
+        for i in range(0, len(at[0]), PAIRS_REFINED):
+            part = tuple(x[i : i + PAIRS_REFINED] for x in at)
+            hit[part] = apart_by_counts(a[part][:, 1:], b[part][:, 1:]) <= most[part]
+        return hit
+
+    return near
+
+
 def may_be_alike(similarity: float, least_shared: int) -> Near:
     """Which of (size, positional bytes, parity bits) share ``least_shared`` bytes and can have that Jaccard similarity.
 
@@ -339,15 +391,15 @@ def _alike_task(words: int, similarity: float):
 
 
 def _marks_task(words: int):
-    """(doc_id, text, hash, hash_2) in; size, positional bytes and parity bits instead of the text out."""
+    """(doc_id, text, hash, hash_2) in; size, positional bytes and counts instead of the text out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1), words)
-            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, len(PARITY))
+            bits = np.array([counts(x) for x in sets], np.int64).reshape(-1, len(COUNTS))
             marks = np.concatenate([positional_bytes(sets), bits], axis=1)
-            made = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array(marks[:, k].copy()) for k in range(len(SKETCH))]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=["doc_id", "hash", "hash_2", "size", *SKETCH])
+            made = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array(marks[:, k].copy()) for k in range(len(MARK) + len(COUNTS))]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=["doc_id", "hash", "hash_2", "size", *MARK, *COUNTS])
 
     return tidy(task)
 
@@ -381,15 +433,15 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
 
 
 def _links(
-    posted: DataFrame, lists_of: Callable[[DataFrame], DataFrame], near: Near, texts_of: Callable[[DataFrame], DataFrame], words: int, similarity: float, links: DataFrame | None, roots: DataFrame | None
+    posted: DataFrame, lists_of: Callable[[DataFrame], DataFrame], near: Near, texts_of: Callable[[DataFrame], DataFrame], words: int, similarity: float, links: DataFrame | None, roots: DataFrame | None, sketch: Sequence[str] = tuple(SKETCH)
 ) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of ``links`` and of all links between texts ``posted`` (key, state, node, root) in one list; and (node, root)."""
-    longs = ", ".join(f"x{k} long" for k in range(len(SKETCH)))
-    names = [f"x{k}" for k in range(len(SKETCH))]
+    """(a, b) of ``links`` and of all links between texts ``posted`` (key, state, node, root) in one list; and (node, root). ``near`` is given the size and ``sketch``."""
+    longs = ", ".join(f"x{k} long" for k in range(len(sketch)))
+    names = [f"x{k}" for k in range(len(sketch))]
     columns = ["key", "state", "size", "node", "root", *names]
 
     def with_sketch(posted: DataFrame) -> DataFrame:
-        return lists_of(posted).select("key", "state", "size", "node", "root", *[F.col(s).alias(f"x{k}") for k, s in enumerate(SKETCH)])
+        return lists_of(posted).select("key", "state", "size", "node", "root", *[F.col(s).alias(f"x{k}") for k, s in enumerate(sketch)])
 
     lists = with_sketch(posted)
     held = tried = None
@@ -425,9 +477,9 @@ def grouped_texts(docs: DataFrame, words: int, similarity: float, exact: bool) -
     text = F.coalesce("text", F.lit(""))
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(1), text).alias("hash_2"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, hash long, hash_2 long, size long, {', '.join(f'{s} long' for s in SKETCH)}"
+    schema = f"doc_id {kind}, hash long, hash_2 long, size long, {', '.join(f'{s} long' for s in (*MARK, *COUNTS))}"
     marked = write_table(rows.mapInArrow(_marks_task(words), schema), "like-marks")
-    first = marked.groupBy("hash", "hash_2").agg(F.min(F.struct("doc_id", "size", *SKETCH)).alias("row"))
+    first = marked.groupBy("hash", "hash_2").agg(F.min(F.struct("doc_id", "size", *MARK, *COUNTS)).alias("row"))
     # Written, so that the numbers stay: a node is a text, whatever ids its rows have.
     texts = write_table(first.select("hash", "hash_2", "row.*").withColumn("node", F.monotonically_increasing_id()), "like-texts")
     ids = texts.select("doc_id", "hash", "hash_2", "node")
@@ -444,7 +496,7 @@ def grouped_texts(docs: DataFrame, words: int, similarity: float, exact: bool) -
 
     def lists_of(posted: DataFrame) -> DataFrame:
         met = posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(_apart_task), "key long, state long, node long, root long")
-        return met.hint("merge").join(texts.select("node", "size", *SKETCH), "node")
+        return met.hint("merge").join(texts.select("node", "size", *MARK, *COUNTS), "node")
 
     links, roots = _links(posted, lists_of, may_be_alike(similarity, LEAST_SHARED), texts_of, words, similarity, None, None)
     if exact:
@@ -453,7 +505,7 @@ def grouped_texts(docs: DataFrame, words: int, similarity: float, exact: bool) -
         grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         met = headed.hint("merge").join(grouped, ["doc_id", "hash", "hash_2"])
         heads = met.select(F.explode("head").alias("key"), F.lit(-1).cast("long").alias("state"), "node", "root")
-        _, roots = _links(heads, lists_of, may_be_alike(similarity, 0), texts_of, words, similarity, links, roots)
+        _, roots = _links(heads, lists_of, counts_allow(similarity), texts_of, words, similarity, links, roots, COUNTS)
     return marked.select("doc_id", "hash", "hash_2"), ids.join(roots, "node", "left").select("hash", "hash_2", "doc_id", F.coalesce("root", "node").alias("group"))
 
 

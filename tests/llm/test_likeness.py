@@ -257,3 +257,24 @@ def test_streamed_lists_give_every_row_once():
         ends = [set(x[0].tolist()) for x in whole]
         assert sum(len(x) for x in ends) == len(set().union(*ends))  # no list in two calls
         assert {int(k) for x in passed for k in x[0]} == {int(k) for k in np.unique(keys) if (keys == k).sum() > 100 and k != 2}
+
+
+def test_counts_keep_pairs_at_the_bound_and_rule_out_unlike_long_texts():
+    rng = np.random.default_rng(5)
+    near = likeness.counts_allow(0.8)
+    mark = lambda x: np.concatenate([[len(x)], likeness.counts(x)]).view(np.uint64)
+    for size in (1, 3, 40, 400, 1500, 3000, 9000):
+        union = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        ends = (len(union) - int(np.ceil(0.8 * len(union)))) // 2
+        a, b = union[: len(union) - ends], union[ends:]
+        assert near(mark(a)[None, None], mark(b)[None, None]).all() and near(mark(a)[None], mark(union)[None]).all()
+        assert likeness.apart_by_counts(mark(a)[1:], mark(b)[1:]) <= 2 * ends
+        assert (likeness.counts(a)[: len(likeness.PARITY)] == likeness.parity(a)).all()
+    for size in (1200, 3500, 6500):
+        marks = np.stack([mark(np.unique(rng.integers(-(2**63), 2**63 - 1, size))) for _ in range(40)])
+        unlike = ~np.eye(40, dtype=bool)
+        assert not near(marks[:, None], marks[None, :])[unlike].any()
+    few, many = np.arange(7), np.arange(9000) ** 2
+    held = [np.bincount((x.view(np.uint64) % np.uint64(512)).astype(int), minlength=512) for x in (few, many)]
+    gap = (held[1] - held[0]) % 2**likeness.PLANES
+    assert likeness.apart_by_counts(mark(few)[1:], mark(many)[1:]) == np.minimum(gap, 2**likeness.PLANES - gap).sum()
