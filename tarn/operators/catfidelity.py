@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tarn.functions.expressions import composite_key, js_distance, js_term, level
 from tarn.functions.tables import written
 from tarn.operators.fidelity import divergence, level_shares
-from tarn.operators.ordered import ks_statistic
+from tarn.operators.ordered import ks_of_counts
 from tarn.operators.units import laddered_units, unit_table
 
 SCORES = "name string, score double, js double, max_gap double, levels long, coverage double"
@@ -80,10 +80,15 @@ def mean_score(scores: DataFrame) -> DataFrame:
 
 
 def unit_size_score(original: DataFrame, reduced: DataFrame, units: Sequence[str], strata: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row on rows per unit: score, ks, and mean and most on both sides; 0 if a side is empty."""
-    o, r = unit_table(original, units, strata, order), unit_table(reduced, units, strata, order)
-    ks = ks_statistic(o, r, F.col("rows"))
-    both = o.agg(F.avg("rows").alias("mo"), F.max("rows").alias("xo")).crossJoin(r.agg(F.avg("rows").alias("mr"), F.max("rows").alias("xr"))).crossJoin(ks)  # one row each
+    """One row on rows per unit: score, ks, and mean and most on both sides; 0 if a side is empty.
+
+    Units are counted by their rows once a side; those counts, fewer than sqrt(2n) for n rows, give all figures.
+    """
+    rows = [df.groupBy(composite_key(df, units)).agg(F.count("*").cast("double").alias("v")) for df in (original, reduced)]
+    sizes = [per_unit.groupBy("v").agg(F.count("*").alias("n")) for per_unit in rows]
+    o, r = (written(counted, "unit-sizes") for counted in sizes)
+    means = [df.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias(f"m{k}"), F.max("v").cast("long").alias(f"x{k}")) for k, df in (("o", o), ("r", r))]
+    both = means[0].crossJoin(means[1]).crossJoin(ks_of_counts(o, r))  # one row each
     return both.select(
         F.coalesce(F.round(100 * (1 - F.least(F.lit(1.0), F.col("ks"))), 1), F.lit(0.0)).alias("score"),
         F.round("ks", 4).alias("ks"),

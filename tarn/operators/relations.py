@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.tables import written
+
 EDGE, WEAKER = 0.3, 0.1
 
 
@@ -43,7 +45,7 @@ def ranked_changes(changes: DataFrame) -> DataFrame:
 
 def difference_matrix(changes: DataFrame) -> DataFrame:
     """One row per column with the change of its relation to every other column; 0 on the diagonal."""
-    gap = changes.select("a", "b", (F.col("r_r") - F.col("r_o")).alias("d"))
+    gap = written(changes.select("a", "b", (F.col("r_r") - F.col("r_o")).alias("d")), "changes")  # a row a pair, of two passes over the tables
     both = gap.union(gap.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     names = sorted({r.a for r in both.select("a").distinct().collect()})  # column names
     return both.groupBy("a").pivot("b", names).agg(F.first("d")).na.fill(0.0).withColumnRenamed("a", "name")

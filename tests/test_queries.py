@@ -106,3 +106,11 @@ def test_trustworthiness_takes_its_draw_and_not_all_rows_into_one_task(spark):
     made = structure.trustworthiness(catalogue.problem_of(spark, SF).rows, ["o_orderkey"], limit=50)
     assert made.first().sampled == 50
     assert "Coalesce 1" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_unit_reports_are_made_once(spark):
+    line, kept = catalogue.units_of(spark, SF)
+    assert all("tarn-weighted" in f for f in kept.inputFiles())
+    scored = catfidelity.unit_size_score(line, kept, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER)
+    assert all("tarn-unit-sizes" in f for f in scored.inputFiles())
+    assert all("tarn-changes" in f for f in catalogue.difference_matrix(spark, SF).inputFiles())
