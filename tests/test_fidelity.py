@@ -148,3 +148,9 @@ def test_charts(frame):
     assert len(hist) == 39 and abs(sum(r.original * (r.high - r.low) for r in hist) - 1) < 1e-9
     assert [r.value for r in charts.category_bars(frame, weighted(frame), "g").collect()] == ["x", "y", "z"]
     assert relations.cluster_reflection(frame, frame.filter("g <> 'z'"), "g").filter("status = 'not reflected'").count() == 1
+
+
+def test_ranks_of_few_values_exchange_no_rows(frame):
+    made = ordered.average_ranks(frame.select(F.floor("a").alias("a"), F.floor("b").alias("b")), ["a", "b"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
