@@ -168,9 +168,11 @@ def ladder_scores(
     keyed = df.select(
         composite_key(df, units).alias("_unit"),
         composite_key(df, strata).alias("_stratum"),
-        F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), v.alias("value")) for k, n, v in named]).alias("_keys"),
+        *[v.alias(f"_v{i}") for i, (_, _, v) in enumerate(named)],
     )
-    rows = keyed.join(placed.select(F.col("unit").alias("_unit"), "rung"), "_unit").select("_stratum", "rung", F.explode("_keys").alias("k"))
+    # Values alone travel to their unit; which key they are of is told after the join.
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.col(f"_v{i}").alias("value")) for i, (k, n, _) in enumerate(named)])
+    rows = keyed.join(placed.select(F.col("unit").alias("_unit"), "rung"), "_unit").select("_stratum", "rung", F.explode(keys).alias("k"))
     counts = written(rows.groupBy("k.kind", "k.name", "k.value", "_stratum", "rung").agg(F.count("*").alias("n")), "counts")
 
     # Every row has one value of each key: the first key's counts are those of the strata.

@@ -114,3 +114,12 @@ def test_parts_of_unit_reports_are_made_once(spark):
     scored = catfidelity.unit_size_score(line, kept, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER)
     assert all("tarn-unit-sizes" in f for f in scored.inputFiles())
     assert all("tarn-changes" in f for f in catalogue.difference_matrix(spark, SF).inputFiles())
+
+
+def test_values_alone_travel_to_their_units(spark, monkeypatch):
+    made, kept = {}, catfidelity.written
+    monkeypatch.setattr(catfidelity, "written", lambda df, name: made.setdefault(name, df) and kept(df, name))
+    line = catalogue.read(spark, SF, "lineitem")
+    catfidelity.ladder_scores(line, catalogue.COLUMNS, catalogue.UNIT, catalogue.STRATA, catalogue.ORDER, (0.1,))
+    plan = made["counts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "_v0" in plan.partition("Join")[2] and "array(" not in plan.partition("Join")[2]
