@@ -25,6 +25,11 @@ NULL_TOKENS = (
 )
 SOURCE = "_source_file"
 HEAD_LINES, HEAD_CHARS = 200, 8192
+# What reads as a number looks so; of what looks so, the cast decides. A failed cast costs an exception, so none is tried on other texts.
+FORMS = {
+    "bigint": r"^[\x00-\x20\x7f]*+[+-]?+0*+[0-9]{0,19}+[\x00-\x20\x7f]*+$",
+    "double": r"(?i)^[\x00-\x20\x7f]*+[+-]?+(?:nan|inf|infinity|0x[0-9a-f.]*+p[+-]?+[0-9]++|[0-9]*+(?:\.[0-9]*+)?+(?:e[+-]?+[0-9]++)?+)[fd]?+[\x00-\x20\x7f]*+$",
+}
 JAVA_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "latin-1": "ISO-8859-1"}
 
 
@@ -162,7 +167,7 @@ def _typed(df: DataFrame, untouched: Sequence[str] = ()) -> DataFrame:
     cleaned = df.select(*[F.when(F.col(f"`{c}`").isin(*NULL_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in names], *untouched)
 
     def reads(c: Column, kind: str) -> Column:
-        return F.count(F.trim(c).try_cast(kind)) == F.count(c)
+        return F.count(F.when(c.rlike(FORMS[kind]), F.trim(c).try_cast(kind))) == F.count(c)
 
     tests = [t.alias(f"{k}{i}") for i, c in enumerate(names) for k, t in (("n", F.count(F.col(f"`{c}`"))), ("l", reads(F.col(f"`{c}`"), "bigint")), ("d", reads(F.col(f"`{c}`"), "double")), ("b", F.count_if(F.col(f"`{c}`").isin("True", "False", "true", "false", "TRUE", "FALSE")) == F.count(F.col(f"`{c}`"))))]
     row = cleaned.agg(*tests).first()

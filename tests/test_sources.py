@@ -4,8 +4,9 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from tarn.plans import cli
+from tarn.plans import catalogue, cli
 from tarn.sources import delimited, reports, synthetic
 
 
@@ -50,6 +51,30 @@ def test_types_and_null_tokens(spark, tmp_path):
     assert delimited.read_delimited(spark, str(path), rows=1)[0].count() == 1
 
 
+def test_no_cast_is_tried_on_texts_unlike_numbers_and_none_is_lost(spark):
+    read = ["5", "+5", "-0", " 7 ", "\t8", "9223372036854775807", "-9223372036854775808", "0" * 30 + "12", "1.", ".5", "-1.5e-3", "1E5f", "2d", "0x1p3", "0X.8P-1D", "NaN", "nan", "-Infinity", "iNF", "+inf", " 3\x1f"]
+    other = ["", " ", "S001", "2024-01-01", "north", "1.5.2", "e5", "0x", "note 7", "9223372036854775808", "٣", "1_0", "--1", "12ab", "True", "infinit"]
+    df = spark.createDataFrame([(v,) for v in read + other], "v string")
+    for kind, form in delimited.FORMS.items():
+        cast = df.withColumn("cast", F.trim("v").try_cast(kind)).withColumn("like", F.col("v").rlike(form))
+        assert cast.filter("cast IS NOT NULL AND NOT like").isEmpty()
+        assert cast.filter(F.col("v").isin("S001", "2024-01-01", "north", "note 7", "12ab", "True") & F.col("like")).isEmpty()
+    assert df.filter(F.trim("v").try_cast("double").isNotNull()).count() >= len(read)
+
+
+def test_wide_integers_and_odd_doubles_keep_their_types(spark, tmp_path):
+    path = put(tmp_path, "t.csv", "a,b,c,d,e\n9223372036854775807,9223372036854775808,0x1p3,2024-01-01,1\n-1,1,inf,2024-01-02,1x\n")
+    df, _ = delimited.read_delimited(spark, str(path))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "double", "d": "string", "e": "string"}
+    assert {tuple(r)[:3] for r in df.collect()} == {(2**63 - 1, 2.0**63, 8.0), (-1, 1.0, float("inf"))}
+
+
+def test_ids_of_tables_in_few_parts_are_dealt(spark):
+    ids = catalogue.ids_of(spark, "/root/testdata/sf0.001", "customer", "c_custkey")
+    held = [r["count"] for r in ids.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == spark.sparkContext.defaultParallelism and max(held) < sum(held) / 2
+
+
 def test_empty_file_and_empty_group_are_errors(spark, tmp_path):
     path = put(tmp_path, "e.csv", "  \n")
     with pytest.raises(ValueError):
