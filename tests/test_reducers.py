@@ -202,3 +202,39 @@ def test_streamed_centres_are_as_tight_as_full_rounds(spark):
     assert (clustering.stream_centres(df, far)[-1] == 1e6).all()
     assert (clustering.stream_centres(df.limit(0), first) == first).all()
     df.unpersist()
+
+
+def test_few_rows_are_drawn_in_one_pass(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS g").persist()
+    for n in (1, 500, 19_990, 30_000):
+        drawn = drawing.few_smallest(df, n, ["id"], 4)
+        assert sorted(r.id for r in drawn.collect()) == sorted(r.id for r in drawing.smallest(df, n, ["id"], 4)[0].collect())
+        assert n > 500 or all("tarn-draw" in f for f in drawn.inputFiles())
+    same = spark.range(3_000).selectExpr("id", "'k' AS key")
+    assert drawing.few_smallest(same, 60, ["key"], 4).count() == 60
+    takes = spark.createDataFrame([(0, 40), (1, 0), (2, 9_000)], "g long, _take long")
+    whole, once = (sorted(r.id for r in drawing.smallest_of_groups(df, ["g"], takes, ["id"], 4, once=o).collect()) for o in (False, True))
+    assert whole == once and len(once) == 40 + 6_666
+    df.unpersist()
+
+
+def test_features_alone_go_to_python_and_members_stay_where_they_are(spark):
+    rng = np.random.default_rng(5)
+    points = np.round(rng.normal(size=(4_000, 3)), 2)
+    df = spark.createDataFrame([(i, f"t{i % 7}", [float(v) for v in x]) for i, x in enumerate(points)], "id long, t string, features array<double>").repartition(4)
+    centres = rng.normal(size=(6, 3))
+    made = clustering.assign(df, centres)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    gaps = ((points[:, None] - centres) ** 2).sum(2)
+    held = {r.id: r for r in made.collect()}
+    assert len(held) == 4_000 and all(held[i]["_cluster"] == gaps[i].argmin() and held[i]["_distance"] == pytest.approx(gaps[i].min() ** 0.5) and held[i].t == f"t{i % 7}" for i in held)
+    assert made.filter("id < 0").collect() == []
+    grouped = made.select("id", "t", "features", F.col("_cluster").cast("long").alias("rep_id")).persist()
+    best = clustering.representatives(grouped, ["id"], False)
+    assert {"tarn-means", "tarn-gaps"} == {m for f in best.inputFiles() for m in ("tarn-means", "tarn-gaps") if m in f}
+    wanted = set()
+    for c in range(6):
+        at = np.flatnonzero(gaps.argmin(1) == c)
+        wanted.add(int(at[((points[at] - points[at].mean(0)) ** 2).sum(1).round(9).argmin()]))
+    assert {r.id for r in best.collect()} == wanted and best.agg(F.sum("_weight")).first()[0] == 4_000
+    grouped.unpersist()
