@@ -38,6 +38,14 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches whose string or binary column has at most ``most`` bytes, or one row."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(column))
+        for a, b in chunks(offsets, most):
+            yield batch.slice(a, b - a)
+
+
 def words_at(data: np.ndarray, width: int, big: bool = False) -> np.ndarray:
     """A view with the ``width``-byte word that starts at every byte; pad ``data`` first."""
     kind = np.dtype(f"{'>' if big else '<'}u{width}")

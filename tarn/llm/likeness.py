@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.buffers import tidy, utf8
+from tarn.llm.buffers import portions, tidy, utf8
 from tarn.llm.components import components
 from tarn.llm.scratch import write_table
 from tarn.llm.shingles import shingle_sets
@@ -354,7 +354,7 @@ def _sets_task(words: int):
     """(id, text) in, (id, grams) out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), words), pa.list_(pa.int64()))], names=["id", "grams"])
 
     return tidy(task)
@@ -363,7 +363,7 @@ def _sets_task(words: int):
 def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose second column, the text, is compressed: less to shuffle than Spark's own block compression leaves."""
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in portions(batches, 1):
         data, at = utf8(batch.column(1))
         raw = memoryview(data)
         packed = pa.array([squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
@@ -394,7 +394,7 @@ def _marks_task(words: int):
     """(doc_id, text, hash, hash_2) in; size, positional bytes and counts instead of the text out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             bits = np.array([counts(x) for x in sets], np.int64).reshape(-1, len(COUNTS))
             marks = np.concatenate([positional_bytes(sets), bits], axis=1)
@@ -408,7 +408,7 @@ def _heads_task(words: int, similarity: float, shared):
     """(doc_id, text, hash, hash_2) in; the prefix instead of the text out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             heads = pa.array([prefix(x, similarity, *shared.value) for x in shingle_sets(batch.column(1), words)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), heads], names=["doc_id", "hash", "hash_2", "head"])
 

@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_ROWS = 20_000
 KEPT_UNITS = 400_000  # in each of a worker's two generations, about 50 bytes each
 UNITS_AT_ONCE = 1000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SIGNS = b",.!?;:#%&*$()-"
 OTHER_KIND = 8
 FULL_ENOUGH = 0.995

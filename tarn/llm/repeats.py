@@ -20,12 +20,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tarn.llm.buffers import chunks, runs, tidy, utf8
+from tarn.llm.buffers import chunks, portions, runs, tidy, utf8
 from tarn.llm.scratch import write_table
 from tarn.llm.suffixsort import Block
 
@@ -34,7 +35,8 @@ GRAM = 20
 SLICE = 1 << 20
 CHUNK_BYTES = 4 << 20
 LONGEST_RUN = 512
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19  # of rows sorted together; meanwhile a worker takes some 100 times as much
+ROW_BYTES = 32  # of a row in a block beside its string
 # A k-gram with more than this share of the candidate runs is heavy; at most 1/share can be.
 HEAVY_SHARE = 1 / 1000
 HEAVY_LEAST = 20_000
@@ -176,7 +178,7 @@ def _repeated_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _packed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compressed texts: less to shuffle than Spark's own block compression leaves."""
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in portions(batches, 1):
         data, at = utf8(batch.column(1))
         raw = memoryview(data)
         packed = [squeeze.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -227,6 +229,32 @@ def _strings_task(length: int, heavy: frozenset[int]):
     return task
 
 
+def dealt_blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column in blocks that end between two values of it, at the first such place past ``least`` bytes.
+
+    Batches are cut where blocks end: a block holds less than ``least`` bytes and, beyond them, the rows of one value.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        dealt = batch.column(0).to_numpy(zero_copy_only=False)
+        weight = np.cumsum(pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES)
+        low, done = 0, 0  # first row, and bytes of the batch, not yet in a block
+        while low < len(dealt):
+            full = low + int(np.searchsorted(weight[low:], done + least - size))  # the row that fills the block
+            last = held[-1].column(0)[-1].as_py() if size >= least else dealt[min(full, len(dealt) - 1)]
+            high = len(dealt) if size < least and full >= len(dealt) else int(np.searchsorted(dealt, last, side="right"))
+            if high > low:
+                held.append(batch.slice(low, high - low))
+                size += int(weight[high - 1]) - done
+                low, done = high, int(weight[high - 1])
+            if low < len(dealt) and held:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _sorting_task(length: int):
     def spans(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         return _batch(("key", key), ("start", start), ("n", count + (length - 1)))
@@ -259,33 +287,15 @@ def _sorting_task(length: int):
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by ``dealt``; a block ends between two values of it."""
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            while batch.num_rows:
-                dealt = batch.column(0).to_numpy(zero_copy_only=False)
-                take = batch.num_rows
-                if held and size >= BLOCK_BYTES:
-                    last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
-                    take = int(np.searchsorted(dealt, last, side="right"))
-                    if take < batch.num_rows:
-                        held.append(batch.slice(0, take))
-                        yield sort(pa.Table.from_batches(held))
-                        held, size, batch = [], 0, batch.slice(take)
-                        continue
-                held.append(batch.slice(0, take))
-                size += held[-1].nbytes
-                batch = batch.slice(take)
-        if held:
-            yield sort(pa.Table.from_batches(held))
+        for block in dealt_blocks(batches, BLOCK_BYTES):
+            yield sort(block)
 
     return task
 
 
 def _removed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the spans of each text and cut them out."""
-    for batch in batches:
+    for batch in portions(batches, 1):
         rows = []
         for text, spans in zip(_texts(batch.column(1)), batch.column(2), strict=True):
             merged: list[list[int]] = []

@@ -28,15 +28,17 @@ class Block:
         self.words = words_at(self.text, 8, big=True)
         rises = np.diff(self.text.astype(np.int16), append=0)
         rises[self.end] = 1  # the empty suffix counts as type S
-        here = np.arange(len(self.text))
+        # Half the memory of longs, where that is enough.
+        kind = np.int32 if len(self.text) < 2**31 else np.int64
+        here = np.arange(len(self.text), dtype=kind)
         decided = np.minimum.accumulate(np.where(rises != 0, here, len(here) - 1)[::-1])[::-1]
         self.small = rises[decided] > 0
         next_small = np.minimum.accumulate(np.where(self.small, here, len(here) - 1)[::-1])[::-1]
         last = self.begin + windows - 1
         count = next_small[last] - self.begin + 1  # up to the first directly sorted suffix
-        self.owner = np.repeat(np.arange(len(windows)), count)
-        offset = runs(count)
-        self.at = self.begin[self.owner] + offset
+        self.owner = np.repeat(np.arange(len(windows), dtype=kind), count)
+        offset = runs(count).astype(kind)
+        self.at = self.begin.astype(kind)[self.owner] + offset
         self.head = offset == 0
         self.is_window = offset < windows[self.owner]
         self.offset = offset
@@ -48,9 +50,9 @@ class Block:
 
     def sorted_small(self) -> np.ndarray:
         """Type S suffixes in order of their first ``length`` bytes."""
-        order = np.flatnonzero(self.direct)
-        group = np.zeros(len(order), np.int64)
-        tied = np.arange(len(order))
+        order = np.flatnonzero(self.direct).astype(self.at.dtype)
+        group = np.zeros(len(order), self.at.dtype)
+        tied = np.arange(len(order), dtype=self.at.dtype)
         for depth in range(0, self.length, 8):
             ids, word = order[tied], self.word(order[tied], depth)
             by = np.argsort(word, kind="stable") if depth == 0 else np.lexsort((word, group[tied]))
@@ -88,7 +90,7 @@ class Block:
                 waiting[c].append(part)
 
         for c in range(256):
-            wave = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+            wave = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, self.at.dtype)
             waiting[c] = []
             while len(wave):
                 out.append(wave)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,3 +110,32 @@ def test_cut_passes_clashing_columns_through(spark):
     out = {r.doc_id: r for r in repeats.cut_repeats(df).collect()}
     assert out[1].text == passage and out[2].text == "x " and out[2].n_chars == 2 and out[3].text is None
     assert all(r[n] == "k" for r in out.values() for n in ("text_is_null", "_cut", "rest", "own", "c0"))
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_blocks_end_between_values_and_hold_one_value_too_many_at_most(rows_a_batch):
+    rng = random.Random(4)
+    dealt = sorted(rng.randint(0, 400) for _ in range(3000))
+    value = [rng.choice([None, b"", b"x" * rng.randint(1, 300)]) for _ in dealt]
+    table = pa.table({"dealt": dealt, "key": dealt, "start": dealt, "windows": dealt, "value": pa.array(value, pa.binary())})
+    blocks = list(repeats.dealt_blocks(iter(table.to_batches(max_chunksize=rows_a_batch)), 4000))
+    assert pa.concat_tables(blocks).equals(table)
+    held = [set(b["dealt"].to_pylist()) for b in blocks]
+    assert len(blocks) > 50 and sum(map(len, held)) == len(set(dealt))
+    for b in blocks:
+        last = b["dealt"][-1].as_py()
+        assert sum(repeats.ROW_BYTES + len(v or b"") for d, v in zip(b["dealt"].to_pylist(), b["value"].to_pylist(), strict=True) if d != last) < 4000
+
+
+def test_sorting_holds_little_of_a_large_batch():
+    """The arrays of blocks, as traced: a batch of 10,000 strings is not one block."""
+    rng = np.random.default_rng(3)
+    n, windows = 10_000, 150
+    value = [x.tobytes() for x in rng.integers(97, 123, (n, windows + 99), dtype=np.uint8)]
+    column = lambda x: pa.array(x, pa.int64())
+    batch = pa.RecordBatch.from_arrays([column(range(n)), column(range(n)), column([0] * n), column([windows] * n), pa.array(value, pa.binary())], names=["dealt", "key", "start", "windows", "value"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in repeats._sorting_task(100)(iter([batch])))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 0 and most < 60e6
