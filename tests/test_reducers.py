@@ -238,3 +238,42 @@ def test_features_alone_go_to_python_and_members_stay_where_they_are(spark):
         wanted.add(int(at[((points[at] - points[at].mean(0)) ** 2).sum(1).round(9).argmin()]))
     assert {r.id for r in best.collect()} == wanted and best.agg(F.sum("_weight")).first()[0] == 4_000
     grouped.unpersist()
+
+
+def test_equal_rows_are_fitted_as_one_point(spark, monkeypatch):
+    """Features of few values: no row itself is fitted, and the result is that of all rows."""
+
+    def rows_fitted(*_, **__):
+        raise AssertionError("rows were fitted one by one")
+
+    for name in ("stream_centres", "sub_lloyd"):
+        monkeypatch.setattr(clustering, name, rows_fitted)
+    rng = np.random.default_rng(8)
+    values = np.minimum(rng.geometric(0.3, size=(4000, 2)), 8).astype(float)
+    values[:3] = 500.0
+    df = spark.createDataFrame([(i, f"t{i % 5}", [float(x) for x in v]) for i, v in enumerate(values)], "k long, t string, features array<double>").repartition(3)
+    made = clustering.cluster_reduce(df, 40, ["k"], floor=5)
+    members = {r.k: r.rep_id for r in made.members.collect()}
+    assert made.excluded == 3 and set(members) == set(range(3, 4000))
+    groups = {g: sorted(k for k in members if members[k] == g) for g in set(members.values())}
+    # The member nearest to the mean of all rows of its group, the smallest key of equals.
+    want = {}
+    for held in groups.values():
+        gap = ((values[held] - values[held].mean(0)) ** 2).sum(1)
+        want[min(k for k, g in zip(held, gap, strict=True) if np.isclose(g, gap.min(), rtol=1e-9, atol=1e-12))] = float(len(held))
+    assert {r.k: r._weight for r in made.rows.collect()} == want
+    rep = np.array([members[k] for k in range(3, 4000)])
+    spread = sum(((values[3:][rep == g] - values[3:][rep == g].mean(0)) ** 2).sum() for g in groups)
+    best = clustering.lloyd(values[3:] + rng.normal(size=(3997, 2)) * 1e-9, len(groups), 0)
+    assert spread < 1.5 * (clustering.nearest_centre(values[3:], best)[1] ** 2).sum() + 1e-9
+    means = clustering.cluster_reduce(df, 40, ["k"], virtual=True, floor=5).rows.collect()
+    assert sum(r._weight for r in means) == 3997 and np.isclose(sum(r._weight * np.array(r.features) for r in means), values[3:].sum(0)).all()
+    # Features that are nearly all different stay rows.
+    assert clustering.different_points(df.select("k", F.array(F.col("k").cast("double")).alias("features"))) is None
+
+
+def test_counted_points_move_as_their_rows_would():
+    rng = np.random.default_rng(9)
+    points, rows = rng.normal(size=(60, 2)), rng.integers(1, 9, 60).astype(float)
+    begin = points[:6]
+    assert np.allclose(clustering.moved_centres(points, begin, rows), clustering.moved_centres(np.repeat(points, rows.astype(int), axis=0), begin, np.ones(int(rows.sum()))))
