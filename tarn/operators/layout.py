@@ -30,6 +30,7 @@ BLOCK_ROWS, SLICES = 2_000, 256
 STEPS, STEPS_ALONE = 4, 25
 PERPLEXITY, TSNE_STEPS, EARLY_SHARE, EXAGGERATION = 30.0, 400, 0.25, 12.0
 GRID, SPACING = 512, 0.25
+MET_AT_ONCE = 64
 GRAPH_NEIGHBOURS, NEGATIVES, PUSHES, GRAPH_STEPS = 15, 4_096, 5, 200
 # 1 / (1 + A d^2B) is near 1 up to a distance of 0.1 and then falls like exp(0.1 - d).
 A, B = 1.577, 0.8951
@@ -198,11 +199,23 @@ class Field:
 
 
 def mutual(places: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, float]:
-    """The repulsion at ``places`` from ``others``, and the sum of the kernel."""
-    d = (places**2).sum(1)[:, None] - 2 * places @ others.T + (others**2).sum(1)[None, :]
-    q = 1 / (1 + np.maximum(d, 0))
-    square = q * q
-    return places * square.sum(1)[:, None] - square @ others, float(q.sum())
+    """The repulsion at ``places`` from ``others``, and the sum of the kernel; MET_AT_ONCE places at a time stay in the processor's cache."""
+    # The product of left and right is 1 + d^2.
+    left = np.column_stack([places, (places**2).sum(1) + 1, np.ones(len(places))])
+    right = np.ascontiguousarray(np.column_stack([-2 * others, np.ones(len(others)), (others**2).sum(1)]).T)
+    charges = np.column_stack([np.ones(len(others)), others])
+    push, total = np.empty((len(places), 2)), 0.0
+    room = np.empty((min(MET_AT_ONCE, len(places)), len(others)))
+    for a in range(0, len(places), MET_AT_ONCE):
+        part = places[a : a + MET_AT_ONCE]
+        q = np.matmul(left[a : a + MET_AT_ONCE], right, out=room[: len(part)])
+        np.maximum(q, 1, out=q)
+        np.divide(1, q, out=q)
+        total += float(q.sum())
+        np.multiply(q, q, out=q)
+        sums = q @ charges
+        push[a : a + MET_AT_ONCE] = part * sums[:, :1] - sums[:, 1:]
+    return push, total
 
 
 def pull(block: Block) -> np.ndarray:
@@ -241,13 +254,14 @@ def _tsne_move(field: Field, steps: int, exaggeration: float, rate: float, momen
         begin = at.copy()
         alone = block.own == field.count
         # The sum over pairs that are not both in the block.
-        rest = 0.0 if alone else max(field.total - (mutual(begin, begin)[1] - block.own), 0.0)
-        for _ in range(steps):
+        met = mutual(begin, begin)
+        rest = 0.0 if alone else max(field.total - (met[1] - block.own), 0.0)
+        for step in range(steps):
             # Rows of the block repel each other as they are now, all others as they were.
-            push, now = mutual(at, at)
+            push, now = mutual(at, at) if step else met
             now = max(now, block.own + 1e-9)
             if not alone:
-                push += field.push(at) - mutual(at, begin)[0]
+                push = push + field.push(at) - (mutual(at, begin) if step else met)[0]
             slope = 4 * (exaggeration * pull(block) - push / (rest + now - block.own))
             block.speed = momentum * block.speed - rate * slope
             length = np.sqrt((block.speed**2).sum(axis=1))[:, None]

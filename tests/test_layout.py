@@ -115,3 +115,12 @@ def test_same_each_time_and_small_tables(spark):
         assert np.isfinite(placed(make(frame(spark, [[1.0, 2.0]] * 3), "id", steps=20), 3)).all()
         assert make(frame(spark, [[1.0, 2.0]]), "id").count() == 1
         assert make(spark.createDataFrame([], "id long, features array<double>"), "id").count() == 0
+
+
+def test_repulsion_in_parts_is_the_whole(monkeypatch):
+    monkeypatch.setattr(layout, "MET_AT_ONCE", 64)
+    rng = np.random.default_rng(7)
+    places, others = rng.normal(size=(150, 2)) * 20, rng.normal(size=(90, 2)) * 20
+    q = 1 / (1 + ((places[:, None, :] - others[None, :, :]) ** 2).sum(2))
+    push, total = layout.mutual(places, others)
+    assert np.allclose(push, (q**2).sum(1)[:, None] * places - q**2 @ others) and total == pytest.approx(q.sum())
